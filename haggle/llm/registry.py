@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import kept_text, line_dedup
+from .simhash import simhash_dedup
+
+
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,5 +46,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op1_simhash_dedup": op1_simhash_dedup, "op2_line_dedup": op2_line_dedup, "op8_exact_dedup": op8_exact_dedup}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}
