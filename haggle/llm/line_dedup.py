@@ -178,7 +178,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def kept_text(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs as rows (doc_id, n_lines, n_dropped, kept_text), with the bitmaps of line_dedup applied."""
-    keep = bitmaps.select("doc_id", "text_key", "n_dropped", kept_lines("keep_bitmap", "n_lines").alias("keep"))
+    # bitmaps grow with the corpus: a sorted join at every size, never a broadcast
+    keep = bitmaps.select("doc_id", "text_key", "n_dropped", kept_lines("keep_bitmap", "n_lines").alias("keep")).hint("merge")
     lines = F.split("text", "\n")
     return text_of(docs, id_col, text_col).join(keep, ["doc_id", "text_key"], "left").select(
         "doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.coalesce(F.col("n_dropped").cast("long"), F.lit(0)).alias("n_dropped"),
