@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import kept_text, line_dedup
+from .pieces import decode, encode
 from .simhash import simhash_dedup
 
 
@@ -40,11 +41,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return decode(encode(docs)).select("doc_id", F.size("ids").alias("n_pieces"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op1_simhash_dedup": op1_simhash_dedup, "op2_line_dedup": op2_line_dedup, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op1_simhash_dedup": op1_simhash_dedup, "op2_line_dedup": op2_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_sentencepiece": op9_sentencepiece}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}

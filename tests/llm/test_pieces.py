@@ -1,0 +1,91 @@
+import random
+
+import numpy as np
+import pytest
+
+from haggle.llm import pieces
+from haggle.llm.lattice import MARK, Lattice, Vocabulary
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return Vocabulary.load(pieces.MODEL)
+
+
+def brute_best(vocabulary, known, text):
+    """The score of the best cut, by a plain table over prefixes."""
+    s = MARK + text.replace(" ", MARK) if text else ""
+    best = [0.0] + [-np.inf] * len(s)
+    for j in range(1, len(s) + 1):
+        for i in range(max(0, j - 24), j):
+            piece = s[i:j]
+            score = known.get(piece)
+            if score is None and j - i == 1:
+                score = vocabulary.unknown_score
+            if score is not None:
+                best[j] = max(best[j], best[i] + score)
+    return best[-1]
+
+
+TEXTS = ["", " ", "  a  b ", "one two", "x\n\ny \t z", "Éclair für ñandú", "日本語 text 🙂🙂", "\n", "word" * 300, "The and attion to thanedble the, anea. Eriner thanea.\n" * 40]
+
+
+def test_best_cut_has_the_best_score_and_decodes_to_the_text(vocabulary):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    usable = [i for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+    known = {model.id_to_piece(i): model.get_score(i) for i in usable}
+    rng = random.Random(1)
+    texts = TEXTS + ["".join(rng.choice("abcthe  éñ,.\nß漢😀") for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    encoder = pieces.Encoder(vocabulary, cached=20)
+    done = []
+    for at in range(0, len(texts), 7):  # words come back after the encoder has forgotten them
+        flat, counts = encoder.encode(texts[at : at + 7])
+        done += [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+    for text, ids in zip(texts, done, strict=True):
+        assert pieces.decode_ids(vocabulary, ids) == text
+        total, run = 0.0, b""
+        for i in ids:
+            if i in usable_set(usable):
+                total += model.get_score(i)
+            else:
+                run += vocabulary.surface[i]
+        total += len(run.decode()) * vocabulary.unknown_score
+        assert total == pytest.approx(brute_best(vocabulary, known, text), rel=1e-12, abs=1e-6)
+
+
+def usable_set(usable, kept={}):
+    return kept.setdefault(len(usable), set(usable))
+
+
+def test_forward_sum_and_posterior_against_enumeration():
+    pieces_ = ["a", "b", "ab", "ba", "abc", "c", "bc"]
+    v = Vocabulary.of(pieces_, [-1.0, -2.0, -1.5, -2.5, -3.0, -1.0, -0.5], [0] * 256, [p.encode() for p in pieces_])
+    words = [b"abcab", b"c", b"", b"abcbacab"]
+    lattice = Lattice.over(v.trie, words)
+    weight = v.scores[lattice.piece]
+
+    def cuts(w):
+        if not w:
+            return [[]]
+        return [[p, *rest] for p in pieces_ if w.startswith(p.encode()) for rest in cuts(w[len(p) :])]
+
+    share, whole = lattice.posterior(weight)
+    for k, w in enumerate(words):
+        ways = [np.exp(sum(v.scores[pieces_.index(p)] for p in c)) for c in cuts(w)]
+        assert whole[k] == pytest.approx(np.log(sum(ways)))
+        for p in pieces_:
+            expected = sum(x * c.count(p) for x, c in zip(ways, cuts(w))) / sum(ways)
+            assert share[(lattice.word == k) & (lattice.piece == pieces_.index(p))].sum() == pytest.approx(expected)
+
+
+def test_encode_and_decode_tables(spark):
+    rows = [(i, t, None) for i, t in enumerate(TEXTS)] + [(99, None, "x"), (1, " ", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    out = pieces.decode(pieces.encode(df)).collect()
+    assert sorted((r.doc_id, r.text) for r in out if r.text is not None) == sorted((r.doc_id, r.decoded) for r in out if r.decoded is not None)
+    assert [r.ids for r in out if r.text is None] == [None] and [r.ids for r in out if r.text == ""] == [[]]
+    assert pieces.encode(df.limit(0)).count() == 0
+    marked = pieces.decode(pieces.encode(spark.createDataFrame([(1, "a▁b")], "doc_id long, text string"))).first()
+    assert marked.decoded == "a b"
