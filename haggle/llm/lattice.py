@@ -32,41 +32,36 @@ class DoubleArray:
             for byte in piece:
                 at = at.setdefault(byte, {})
             at[-1] = i
-        base, check, value = [0], [0], [-1]
-        free, crowded, high = 1, 1, 2  # no slot is free before the first, none taken from the last on
-
-        def room(n: int) -> None:
-            if n > len(base):
-                more = max(n - len(base), len(base))
-                for array, empty in ((base, 0), (check, -1), (value, -1)):
-                    array.extend([empty] * more)
-
-        waiting = [(root, 0)]
+        size = 1 << 14
+        base, check, value = (np.full(size, x, np.int32) for x in (0, -1, -1))
+        check[0] = 0
+        free, high, waiting = 1, 1, [(root, 0)]
         for node, s in waiting:  # grows while it is read: breadth first
             value[s] = node.get(-1, -1)
-            children = sorted(b for b in node if b >= 0)
-            if not children:
+            children = np.array(sorted(b for b in node if b >= 0), np.int64)
+            if not len(children):
                 continue
-            least, room_for = children[0] + 1, children[-1] + 2
-            slot = max(least, free if len(children) == 1 else crowded)
-            for _ in range(64):
-                room(slot - least + room_for)
-                if check[slot] < 0 and all(check[slot - least + c + 1] < 0 for c in children):
+            # the first place where all children fall on free slots
+            at, width = max(0, free - int(children[0]) - 1), 1 << 10
+            while True:
+                if at + width + 300 > size:
+                    base, check, value = (np.concatenate([x, np.full(size, e, np.int32)]) for x, e in ((base, 0), (check, -1), (value, -1)))
+                    size *= 2
+                fits = check[at + children[0] + 1 : at + children[0] + 1 + width] < 0
+                for c in children[1:]:
+                    fits &= check[at + c + 1 : at + c + 1 + width] < 0
+                if fits.any():
                     break
-                slot += 1
-            else:  # nothing fits nearby: behind all others, and search later ones further on
-                slot = high + least
-                room(slot - least + room_for)
-                crowded += 16
-            high = max(high, slot - least + room_for)
-            b = slot - least
+                at, width = at + width, width * 2
+            b = at + int(fits.argmax())
             base[s] = b
-            for c in children:
-                check[b + c + 1] = s
-                waiting.append((node[c], b + c + 1))
-            while free < len(check) and check[free] >= 0:
+            slots = b + children + 1
+            check[slots] = s
+            high = max(high, int(slots[-1]))
+            waiting += [(node[c], t) for c, t in zip(children.tolist(), slots.tolist(), strict=True)]
+            while check[free] >= 0:
                 free += 1
-        return cls(np.array(base, np.int32), np.array(check, np.int32), np.array(value, np.int32))
+        return cls(base[: high + 1].copy(), check[: high + 1].copy(), value[: high + 1].copy())
 
 
 @dataclass
