@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import kept_text, line_dedup
+from .lm_score import lm_score
 from .pieces import decode, encode
 from .simhash import simhash_dedup
 from .toxicity import fit, held_out, toxicity
@@ -44,6 +45,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -59,5 +64,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op1_simhash_dedup": op1_simhash_dedup, "op2_line_dedup": op2_line_dedup, "op6_toxicity": op6_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_sentencepiece": op9_sentencepiece}
+QUERIES = {"op1_simhash_dedup": op1_simhash_dedup, "op2_line_dedup": op2_line_dedup, "op6_toxicity": op6_toxicity, "op7_lm_score": op7_lm_score, "op8_exact_dedup": op8_exact_dedup, "op9_sentencepiece": op9_sentencepiece}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}
