@@ -9,9 +9,11 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import kept_text, line_dedup
 from .lm_score import lm_score
+from .mixing import mix
 from .pieces import decode, encode
 from .simhash import simhash_dedup
 from .toxicity import fit, held_out, toxicity
+from .vector_search import quantised, top_k
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +41,27 @@ FROM keyed l LEFT JOIN common USING (k) GROUP BY l.doc_id
 """
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
@@ -64,5 +87,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op1_simhash_dedup": op1_simhash_dedup, "op2_line_dedup": op2_line_dedup, "op6_toxicity": op6_toxicity, "op7_lm_score": op7_lm_score, "op8_exact_dedup": op8_exact_dedup, "op9_sentencepiece": op9_sentencepiece}
-ORACLES = {"op2_line_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}
+QUERIES = {"op1_simhash_dedup": op1_simhash_dedup, "op2_line_dedup": op2_line_dedup, "op4_mix": op4_mix, "op5_top_k": op5_top_k, "op6_toxicity": op6_toxicity, "op7_lm_score": op7_lm_score, "op8_exact_dedup": op8_exact_dedup, "op9_sentencepiece": op9_sentencepiece}
+ORACLES = {"op5_top_k": OP5_SQL, "op2_line_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}
