@@ -11,6 +11,7 @@ from .line_dedup import kept_text, line_dedup
 from .lm_score import lm_score
 from .mixing import mix
 from .pieces import decode, encode
+from .secrets import named, secret_scan
 from .simhash import simhash_dedup
 from .toxicity import fit, held_out, toxicity
 from .vector_search import quantised, top_k
@@ -81,11 +82,23 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(encode(docs)).select("doc_id", F.size("ids").alias("n_pieces"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(table(spark, sf_dir, "documents"))
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(named(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"),
+    )
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op1_simhash_dedup": op1_simhash_dedup, "op2_line_dedup": op2_line_dedup, "op4_mix": op4_mix, "op5_top_k": op5_top_k, "op6_toxicity": op6_toxicity, "op7_lm_score": op7_lm_score, "op8_exact_dedup": op8_exact_dedup, "op9_sentencepiece": op9_sentencepiece}
+QUERIES = {"op1_simhash_dedup": op1_simhash_dedup, "op2_line_dedup": op2_line_dedup, "op4_mix": op4_mix, "op5_top_k": op5_top_k, "op6_toxicity": op6_toxicity, "op7_lm_score": op7_lm_score, "op8_exact_dedup": op8_exact_dedup, "op9_sentencepiece": op9_sentencepiece, "op10_secret_scan": op10_secret_scan}
 ORACLES = {"op5_top_k": OP5_SQL, "op2_line_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}
