@@ -26,7 +26,7 @@ from .pieces import MODEL
 
 #: Rounds of fitting, and the number of counts that the prior weighs.
 ROUNDS, PRIOR = 2, 2000.0
-#: The most frequent words, whose scores go to every worker; others are joined.
+#: The most frequent words, at most so many, have their scores sent to every worker; others are joined.
 HEAD = 200_000
 _SLICE, _FLUSH = 256, 200_000
 FIRST, NEXT, LAST = 0, 1, 2
@@ -170,7 +170,12 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(np.log10(c + 0.5) - floor), pa.array(score)], names=["word", "c", "base", "score"])
 
     scored = staged(types.mapInArrow(spell, "word binary, c long, base double, score double"), "words")
-    top = scored.orderBy(F.desc("c"), "word").limit(head).collect()
+    # words of whole classes of frequency, most frequent first, as long as they are no more than head
+    rank = F.floor(8 * F.log2(F.col("c") + 1))
+    classes = sorted(scored.groupBy(rank.alias("rank")).agg(F.count("*").alias("n")).collect(), reverse=True)
+    sizes = np.cumsum([r.n for r in classes])
+    whole = [r["rank"] for r, size in zip(classes, sizes, strict=True) if size <= head]
+    top = scored.where(rank >= whole[-1]).collect() if whole else []
     shared = spark.sparkContext.broadcast(
         ({bytes(r.word): i for i, r in enumerate(top)}, np.array([(r.c > 0, r.base, r.score) for r in top], np.float64).reshape(-1, 3))
     )
