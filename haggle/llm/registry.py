@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licenses
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import kept_text, line_dedup
@@ -42,6 +43,10 @@ FROM keyed l LEFT JOIN common USING (k) GROUP BY l.doc_id
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).select("doc_id", "license", "score", "n_units")
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -100,5 +105,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op1_simhash_dedup": op1_simhash_dedup, "op2_line_dedup": op2_line_dedup, "op4_mix": op4_mix, "op5_top_k": op5_top_k, "op6_toxicity": op6_toxicity, "op7_lm_score": op7_lm_score, "op8_exact_dedup": op8_exact_dedup, "op9_sentencepiece": op9_sentencepiece, "op10_secret_scan": op10_secret_scan}
-ORACLES = {"op5_top_k": OP5_SQL, "op2_line_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}
+QUERIES = {"op1_simhash_dedup": op1_simhash_dedup, "op2_line_dedup": op2_line_dedup, "op3_license_scan": op3_license_scan, "op4_mix": op4_mix, "op5_top_k": op5_top_k, "op6_toxicity": op6_toxicity, "op7_lm_score": op7_lm_score, "op8_exact_dedup": op8_exact_dedup, "op9_sentencepiece": op9_sentencepiece, "op10_secret_scan": op10_secret_scan}
+ORACLES = {"op3_license_scan": licenses.oracle(), "op5_top_k": OP5_SQL, "op2_line_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}
