@@ -1,6 +1,348 @@
-"""Every query of the engine by name, and the SQL that gives the same rows."""
+"""Every query of the engine by name, and the SQL that gives the same rows.
+
+The given tables stand in for the engine's own: orders for the feed of deals, events for repeated observations,
+customers and their orders for posts and comments, conversations for threads, pages for stored HTML, and
+part names for titles.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from haggle.functions import html, parsers, text
+from haggle.operators import export, feed, forum, upsert, vectors
+from haggle.sources import schemas
+from haggle.sources.storage import table
+from haggle.streaming.ingest import Ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with SQL for the same rows if there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- the feed -------------------------------------------------------------------------------------------------
+
+_FEED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_FEED_SQL = f"SELECT {', '.join(_FEED)}, {{more}} AS has_more FROM orders ORDER BY o_orderdate {{way}}, o_orderkey {{way}} LIMIT 30 OFFSET {{skip}}"
+
+
+def _page(spark, d, cursor=None, backward=False):
+    return feed.page(table(spark, d, "orders").select(*_FEED), "o_orderdate", "o_orderkey", cursor, backward=backward)
+
+
+def _cursor_after(page: DataFrame) -> tuple:
+    last = page.orderBy("o_orderdate", "o_orderkey").select("o_orderdate", "o_orderkey").first()
+    return (last[0], last[1])
+
+
+@query(_FEED_SQL.format(more="true", way="DESC", skip=0))
+def feed_first_page(spark, d):
+    return _page(spark, d)
+
+
+@query(_FEED_SQL.format(more="true", way="DESC", skip=30))
+def feed_next_page(spark, d):
+    return _page(spark, d, _cursor_after(_page(spark, d)))
+
+
+@query(f"SELECT {', '.join(_FEED)}, false AS has_more FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 29)")
+def feed_previous_page(spark, d):
+    return _page(spark, d, _cursor_after(_page(spark, d)), backward=True)
+
+
+@query("""SELECT facet, value, count(*) AS n FROM (SELECT 'p_brand' AS facet, p_brand AS value FROM part UNION ALL SELECT 'p_type', p_type FROM part UNION ALL SELECT 'p_size', p_size::VARCHAR FROM part) GROUP BY ALL""")
+def facet_values(spark, d):
+    return feed.facets(table(spark, d, "part"), "p_brand", "p_type", "p_size")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS filtered FROM events")
+def filtered_count(spark, d):
+    events = table(spark, d, "events")
+    return events.agg(F.count("*").alias("total"), F.count(F.when(F.col("event_type") == "click", 1)).alias("filtered"))
+
+
+@query("SELECT event_id, ts, user_id, event_type FROM events WHERE event_type = 'click' AND user_id = 7")
+def facet_filter(spark, d):
+    return feed.equal(table(spark, d, "events"), event_type="click", user_id=7, props=None).select("event_id", "ts", "user_id", "event_type")
+
+
+@query("""SELECT preset, count(*) AS n, min(event_id) AS first_id FROM (
+SELECT 'today' AS preset, * FROM events WHERE ts >= '2024-01-30' AND ts < '2024-01-31' UNION ALL
+SELECT 'past_7_days', * FROM events WHERE ts >= '2024-01-23' AND ts < '2024-01-31' UNION ALL
+SELECT 'this_month', * FROM events WHERE ts >= '2024-01-01' AND ts < '2024-02-01' UNION ALL
+SELECT 'this_year', * FROM events WHERE ts >= '2024-01-01' AND ts < '2025-01-01') GROUP BY preset""")
+def date_preset_filter(spark, d):
+    now = datetime(2024, 1, 30, 12)
+    presets = ("today", "past_7_days", "this_month", "this_year")
+    hits = F.array_compact(F.array(*(F.when(feed.in_preset("ts", p, now), F.lit(p)) for p in presets)))
+    return table(spark, d, "events").select("event_id", F.explode(hits).alias("preset")).groupBy("preset").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("SELECT * FROM customer WHERE c_custkey = 42")
+def lookup_by_key(spark, d):
+    return feed.only(table(spark, d, "customer"), "c_custkey", 42)
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey DESC LIMIT 20 OFFSET 20")
+def admin_page(spark, d):
+    return feed.numbered_page(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 2, 20)
+
+
+# --- joins and counts -----------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_name, count(o_orderkey) AS comment_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
+def list_with_child_count(spark, d):
+    return forum.with_child_count(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders"), "c_custkey", "o_custkey", "comment_count")
+
+
+@query("SELECT o_orderkey, o_orderdate, c_name AS user_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def list_with_owner_name(spark, d):
+    return forum.with_owner(table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_custkey"), table(spark, d, "customer"), "o_custkey", "c_custkey", {"user_name": "c_name"}).drop("o_custkey")
+
+
+@query("""SELECT c_custkey, o_orderkey, l_linenumber, l_partkey FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE c_mktsegment = 'BUILDING'""")
+def bridge_join(spark, d):
+    users = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    bridge = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return users.join(bridge, F.col("c_custkey") == F.col("o_custkey")).join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("c_custkey", "o_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+def insert_missing(spark, d):
+    customers = table(spark, d, "customer").select("c_custkey", "c_name")
+    return upsert.insert_missing(customers.where("c_custkey % 2 = 0"), customers.where("c_custkey % 3 = 0"), "c_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)")
+def delete_cascade(spark, d):
+    customers = table(spark, d, "customer")
+    _, orders = upsert.delete_cascade(customers, table(spark, d, "orders").select("o_orderkey", "o_custkey"), customers.where("c_acctbal < 0"), "c_custkey", "o_custkey")
+    return orders
+
+
+# --- upserts --------------------------------------------------------------------------------------------------
+
+_POLICY = {"event_type": upsert.FIRST, "value": upsert.LAST, "props": upsert.LAST}
+_UPSERT_SQL = """SELECT user_id, first(event_type) FILTER (a = 1) AS event_type, first(value) FILTER (z = 1) AS value, first(props) FILTER (z = 1) AS props, min(ts) AS create_at, max(ts) AS update_at
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS z FROM events) GROUP BY user_id"""
+
+
+def _stamped(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.col("first_seen.ts").alias("create_at"), F.col("last_seen.ts").alias("update_at")).drop("first_seen", "last_seen")
+
+
+@query(_UPSERT_SQL)
+def upsert_first_last(spark, d):
+    return _stamped(upsert.fold(table(spark, d, "events"), "user_id", ["ts", "event_id"], _POLICY))
+
+
+@query("""SELECT user_id, event_id, event_type, value, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def upsert_last(spark, d):
+    policy = dict.fromkeys(("event_id", "event_type", "value", "props"), upsert.LAST)
+    return upsert.fold(table(spark, d, "events").withColumn("seq", F.col("event_id")), "user_id", ["ts", "seq"], policy).drop("first_seen", "last_seen")
+
+
+@query(_UPSERT_SQL)
+def stream_upsert(spark, d):
+    schema = table(spark, d, "events").schema
+    ingest = Ingest(spark, schema, "user_id", ["ts", "event_id"], _POLICY)
+    ingest.start(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/events*.parquet"), availableNow=True).awaitTermination()
+    return _stamped(ingest.current())
+
+
+# --- threads --------------------------------------------------------------------------------------------------
+
+
+def _comments(spark, d):
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("post_id"), key.alias("id"), F.when(F.col("turn") > 0, key - 1).alias("parent_id"), F.col("turn").alias("created_at"), F.col("text").alias("content"))
+
+
+@query("SELECT conv_id * 1000 + turn AS id, turn AS created_at FROM conversations WHERE conv_id = 5 AND turn = 2")
+def thread_children(spark, d):
+    return forum.thread(_comments(spark, d), post=5, parent=5001).select("id", "created_at")
+
+
+@query("SELECT conv_id * 1000 + turn AS id, turn AS created_at, text AS content FROM conversations WHERE conv_id = 5")
+def thread_flat(spark, d):
+    return forum.thread(_comments(spark, d), post=5).select("id", "created_at", "content")
+
+
+@query("""WITH RECURSIVE c AS (SELECT conv_id, conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent FROM conversations),
+t AS (SELECT conv_id AS post_id, id, id AS root_id, 0 AS depth, id::VARCHAR AS path FROM c WHERE parent IS NULL
+UNION ALL SELECT t.post_id, c.id, t.root_id, t.depth + 1, t.path || '>' || c.id FROM t JOIN c ON c.parent = t.id) SELECT * FROM t""")
+def thread_tree(spark, d):
+    return forum.paths(_comments(spark, d)).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
+
+
+@query("SELECT a.conv_id * 1000 + a.turn AS id, (b.conv_id IS NOT NULL)::BIGINT AS n_replies, coalesce(b.conv_id * 1000 + b.turn, -1) AS newest_reply FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+def thread_nested(spark, d):
+    return forum.nested_replies(_comments(spark, d)).select("id", F.coalesce(F.size("replies"), F.lit(0)).cast("long").alias("n_replies"), F.coalesce(F.try_element_at("replies", F.lit(1))["id"], F.lit(-1)).alias("newest_reply"))
+
+
+# --- text and HTML --------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT page_id, nullif(regexp_extract(url, '/(\d+)\?', 1), '') AS article_id, coalesce(nullif(regexp_extract(url, 'page=(\d+)', 1), '')::INT, 0) AS page FROM pages")
+def url_id(spark, d):
+    return table(spark, d, "pages").select("page_id", text.captured(F.col("url"), r"/(\d+)\?").alias("article_id"), F.coalesce(text.digits(text.captured(F.col("url"), r"page=(\d+)")), F.lit(0)).alias("page"))
+
+
+@query(r"SELECT page_id, nullif(regexp_extract(url, '^https?://([^/:?#]+)', 1), '') AS host, false AS is_shop FROM pages")
+def url_host(spark, d):
+    return table(spark, d, "pages").select("page_id", text.host(F.col("url")).alias("host"), text.is_shop(F.col("url")).alias("is_shop"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '[\n\t\r]', '', 'g'), E' \t\n\r\f') AS plain FROM pages")
+def strip_tags(spark, d):
+    return table(spark, d, "pages").select("page_id", text.strip_blanks(text.drop_escapes(text.strip_tags(F.col("html")))).alias("plain"))
+
+
+@query(r"SELECT page_id, replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
+def html_title(spark, d):
+    return table(spark, d, "pages").select("page_id", html.fields(F.col("html"), {"title": "title text"})["title"].alias("title"))
+
+
+@query(r"""SELECT page_id, pos, regexp_extract(x, 'href="([^"]*)"', 1) AS href, regexp_extract(x, '>([^<]*)</a>', 1) AS label FROM (
+SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a>')) AS x, unnest(range(len(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a>'))))::INT AS pos FROM pages)""")
+def html_links(spark, d):
+    links = html.rows(F.col("html"), "nav li a", {"href": "= @href", "label": "= text"})
+    return table(spark, d, "pages").select("page_id", F.posexplode(links).alias("pos", "r")).select("page_id", "pos", "r.*")
+
+
+@query(r"""WITH f AS (SELECT page_id, url, len(regexp_extract_all(html, '<li><a href="[^"]*">')) AS n_links FROM pages), t AS (SELECT url, replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages)
+SELECT f.page_id, f.n_links::INT AS n_links, t.title FROM f JOIN t USING (url)""")
+def list_detail_join(spark, d):
+    pages = table(spark, d, "pages")
+    fragments = pages.dropDuplicates(["url"]).select("page_id", "url", F.size(html.rows(F.col("html"), "nav li a", {"href": "= @href"})).alias("n_links"))
+    details = pages.select("url", html.fields(F.col("html"), {"title": "title text"}).alias("f")).select("url", "f.title")
+    return fragments.join(details, "url").select("page_id", "n_links", "title")
+
+
+@query(r"SELECT host, page::INT AS page, 'http://' || host || '/list?page=' || page AS url FROM (SELECT DISTINCT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages), range(1, 6) r(page)")
+def list_page_urls(spark, d):
+    hosts = table(spark, d, "pages").select(text.host(F.col("url")).alias("host")).distinct()
+    return hosts.select("host", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("page")).select("host", "page", F.concat(F.lit("http://"), "host", F.lit("/list?page="), F.col("page").cast("string")).alias("url"))
+
+
+@query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+def request_dedup(spark, d):
+    return table(spark, d, "customer").select("c_nationkey", "c_mktsegment").dropDuplicates(["c_nationkey", "c_mktsegment"])
+
+
+@query("SELECT c_custkey, c_custkey::VARCHAR AS id, c_mktsegment AS seg, 1700000000 + c_custkey AS expiry FROM customer")
+def cookie_fields(spark, d):
+    header = F.concat(F.lit("id="), F.col("c_custkey").cast("string"), F.lit("; seg="), "c_mktsegment", F.lit("; expires="), (F.col("c_custkey") + 1700000000).cast("string"))
+    m = text.cookies(header)
+    return table(spark, d, "customer").select("c_custkey", m["id"].alias("id"), m["seg"].alias("seg"), text.expiry(m).alias("expiry"))
+
+
+@query("""SELECT page_id, '<a href="' || u || '" target="_blank" rel="noopener noreferrer">' || u || '</a>' AS link, contains(lower(html), 'track(') OR contains(lower(html), 'captcha') AS flagged FROM (SELECT *, replace(url, '&', '&amp;') AS u FROM pages)""")
+def page_links(spark, d):
+    return table(spark, d, "pages").select("page_id", text.anchor(F.col("url")).alias("link"), text.mentions(F.col("html"), ["Track(", "captcha"]).alias("flagged"))
+
+
+# --- prices, fees and times -----------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_brand AS shop_name, floor(p_retailprice * 100)::INT AS price FROM part")
+def parse_price(spark, d):
+    amount = F.format_number((F.col("p_retailprice") * 100).cast("int"), 0)
+    subject = F.concat(F.lit("["), "p_brand", F.lit("] "), "p_name", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" 12개 ("), amount, F.lit("원/무료)"))).otherwise(F.concat(F.lit(" "), amount, F.lit("원 무료배송"))))
+    return table(spark, d, "part").select("p_partkey", parsers.shop_of_subject(subject).alias("shop_name"), parsers.price_of_subject(subject).alias("price"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'USD' ELSE 'WON' END AS currency, CASE WHEN p_partkey % 2 = 0 THEN floor(p_retailprice)::INT ELSE floor(p_retailprice * 100)::INT END AS price FROM part")
+def parse_currency(spark, d):
+    shown = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("$"), F.col("p_retailprice").cast("string"))).otherwise(F.concat(F.format_number((F.col("p_retailprice") * 100).cast("int"), 0), F.lit("원")))
+    return table(spark, d, "part").select("p_partkey", parsers.currency_of_price(shown).alias("currency"), parsers.price_of_text(shown).alias("price"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0 WHEN p_partkey % 3 = 2 THEN p_size * 100 ELSE -1 END AS exact_fee, CASE WHEN p_partkey % 3 = 2 THEN p_size * 100 ELSE 0 END AS loose_fee FROM part")
+def parse_delivery(spark, d):
+    shown = F.when(F.col("p_partkey") % 3 == 0, F.lit("무료")).when(F.col("p_partkey") % 3 == 1, F.lit("무료배송")).otherwise(F.concat((F.col("p_size") * 100).cast("string"), F.lit("원")))
+    return table(spark, d, "part").select("p_partkey", F.coalesce(parsers.delivery_exact(shown), F.lit(-1)).alias("exact_fee"), parsers.delivery_loose(shown).alias("loose_fee"))
+
+
+@query("SELECT o_orderkey, o_orderdate - INTERVAL 9 HOUR AS seoul, o_orderdate AS utc, NULL::TIMESTAMP AS unread FROM orders")
+def parse_timestamp(spark, d):
+    shown, other = F.date_format("o_orderdate", "yyyy.MM.dd HH:mm"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    return table(spark, d, "orders").select(
+        "o_orderkey", parsers.time_of(shown, "yyyy.MM.dd HH:mm").alias("seoul"), parsers.time_of(other, "yyyy-MM-dd HH:mm:ss", "UTC").alias("utc"), parsers.time_of(other, "yyyy.MM.dd HH:mm").alias("unread"),
+    )
+
+
+# --- vectors --------------------------------------------------------------------------------------------------
+
+_GRAMS_SQL = """WITH names AS ({names}), w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM names),
+g AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i::INT, 3))) AS g FROM w),
+h AS (SELECT id, ('0x' || substr(md5(g), 1, 8))::UBIGINT::BIGINT AS h FROM g),
+b AS (SELECT id, (abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 1024 + 1)::INT AS bucket, count(*) AS n FROM h GROUP BY ALL),
+v AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS weight FROM b) """
+
+
+@query(_GRAMS_SQL.format(names="SELECT p_partkey AS id, p_name AS name FROM part") + "SELECT id AS p_partkey, bucket, round(weight, 6) AS weight FROM v")
+def trigram_vector(spark, d):
+    return vectors.buckets(table(spark, d, "part"), "p_partkey", "p_name").withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    _GRAMS_SQL.format(names="SELECT min(p_partkey) AS id, p_name AS name FROM part GROUP BY p_name")
+    + """, s AS (SELECT q.id AS query_id, v.id, round(sum(q.weight * v.weight), 6) AS similarity FROM v q JOIN v ON q.bucket = v.bucket AND q.id <> v.id WHERE q.id < 10 GROUP BY ALL)
+SELECT query_id, rank::INT AS rank, id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) WHERE rank <= 5"""
+)
+def trigram_topk(spark, d):
+    titles = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
+    return vectors.similar_titles(titles, titles.where("id < 10"), "id", "p_name", 5).select("query_id", "rank", "id", "similarity")
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE vec_id = 7)
+SELECT vec_id, round(list_dot_product(e, qe) / sqrt(list_dot_product(e, e)) / sqrt(list_dot_product(qe, qe)), 6) AS similarity FROM v, q ORDER BY similarity DESC, vec_id LIMIT 10""")
+def embedding_topk(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return vectors.similar_vectors(rows, rows.where("vec_id = 7").select(F.col("embedding").alias("q")), "vec_id", "embedding", 10)
+
+
+# --- exports and schemas --------------------------------------------------------------------------------------
+
+
+@query('SELECT o_totalprice AS "O totalprice", o_orderkey AS "Order", o_orderdate AS "O orderdate" FROM orders')
+def export_projection(spark, d):
+    return export.headed(export.chosen(table(spark, d, "orders"), ["o_totalprice", "o_orderkey", "o_orderdate"], _FEED), {"o_orderkey": "Order"})
+
+
+@query("SELECT to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_mktsegment': c_mktsegment})::VARCHAR AS json FROM customer")
+def json_rows(spark, d):
+    return export.as_json(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+
+
+@query("""SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 2 = 0 THEN 'O' ELSE o_orderstatus END AS o_orderstatus FROM orders""")
+def schema_evolve(spark, d):
+    orders = table(spark, d, "orders")
+    old = orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_totalprice").cast("string").alias("o_totalprice"), F.lit("x").alias("legacy"))
+    new = orders.where("o_orderkey % 2 = 1").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
+    return schemas.evolve(old, new, {"o_totalprice": "double"}, {"o_orderstatus": "O"}, ["legacy"])
+
+
+@query("""SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'NORMAL' WHEN 'SMALL' THEN 'NOTICE' ELSE p_type END AS post_type,
+concat_ws('; ', CASE WHEN length(p_name) > 9 THEN 'p_name is longer than 9' END, CASE WHEN p_type NOT IN ('ECONOMY', 'SMALL') THEN 'p_type has an unknown code' END) AS faults FROM part""")
+def quality_checks(spark, d):
+    faults = schemas.faults({"p_name": 9}, {"p_type": ("ECONOMY", "SMALL")})
+    return table(spark, d, "part").select("p_partkey", schemas.renamed_codes(F.col("p_type"), {"ECONOMY": "NORMAL", "SMALL": "NOTICE"}).alias("post_type"), F.array_join(faults, "; ").alias("faults"))
