@@ -108,11 +108,11 @@ SITES = {
             "yyyy.MM.dd HH:mm",
             lambda: {
                 "price": P.price_of_subject(F.col("subject")), "delivery_price": P.delivery_loose(F.col("delivery_text")), "recommend_count": _count("recommend_text"), "dislike_count": F.lit(0),
-                "view_count": _count("view_text"), "origin_url": F.concat(F.lit("https://www.fmkorea.com/"), F.substring("href", F.lit(2))),
+                "view_count": _count("view_text"), "origin_url": F.concat(F.lit("https://www.fmkorea.com/"), F.substr(F.col("href"), F.lit(2))),
                 "subject": F.regexp_replace(F.regexp_replace("subject", "<[^>]*>", ""), "[\n\t\r]", ""),
             },
             _policy("", f"{_DETAILS} origin_url community_name delivery_price recommend_count view_count dislike_count update_at"),
-            derived={"article_id": lambda: F.nullif(F.substring("href", F.lit(2)), F.lit(""))},
+            derived={"article_id": lambda: F.nullif(F.substr(F.col("href"), F.lit(2)), F.lit(""))},
         ),
         Site(
             "ppomppu", "ppompu", "PPOMPPU", 5, "https://www.ppomppu.co.kr/zboard/zboard.php?id=ppomppu&page=", "tr.bbs_new1",
@@ -128,7 +128,7 @@ SITES = {
                 "category": F.expr("substring(category, 2, length(category) - 2)"), "shop_name": F.expr("substring(shop_name, 2, length(shop_name) - 2)"),
             },
             _policy(f"{_DETAILS} origin_url community_name", "delivery_price recommend_count view_count dislike_count update_at"),
-            derived={"article_id": lambda: F.nullif(F.col("article_id"), F.lit("")), "time_text": lambda: F.substring("time_text", F.lit(5))},
+            derived={"article_id": lambda: F.nullif(F.col("article_id"), F.lit("")), "time_text": lambda: F.substr(F.col("time_text"), F.lit(5))},
         ),
     )
 }
