@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haggle.sources.storage import shared_folder
+
 
 def with_child_count(parents: DataFrame, children: DataFrame, key: str, foreign_key: str, name: str) -> DataFrame:
     """parents with the number of their children, 0 for none. Children are counted before they meet their parents."""
@@ -30,15 +32,16 @@ def thread(comments: DataFrame, post: object = None, parent: object = None) -> D
 def paths(comments: DataFrame, depth: int = 100) -> DataFrame:
     """Every comment with its root, depth (0 for a root) and path of ids from the root.
 
-    A join for each level until a level is empty; comments that no root leads to are not in a tree and go. A tree
+    A join for each level until a level is empty, each level written out, so none is computed twice. Comments that no root leads to are not in a tree and go. A tree
     deeper than depth is an error, not cut.
     """
     edges = comments.select("post_id", "id", "parent_id")
     level = edges.where("parent_id is null").select("post_id", "id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.array("id").alias("path"))
     found, n = level, 0
     replies = edges.where("parent_id is not null").withColumnsRenamed({"id": "reply", "post_id": "its_post"})
+    shared_folder(comments.sparkSession)
     while True:
-        level = replies.join(level, (F.col("parent_id") == F.col("id")) & (F.col("its_post") == F.col("post_id"))).select("post_id", F.col("reply").alias("id"), "root_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("reply")).alias("path"))
+        level = replies.join(level, (F.col("parent_id") == F.col("id")) & (F.col("its_post") == F.col("post_id"))).select("post_id", F.col("reply").alias("id"), "root_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("reply")).alias("path")).checkpoint()
         if level.isEmpty():
             return found
         n += 1

@@ -56,9 +56,10 @@ def unit(v: Column) -> Column:
 def similar_vectors(rows: DataFrame, query: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     """The k rows nearest to one query vector by cosine: id, similarity (6 digits; ties: the smaller id).
 
-    query is one row with column q. Every task keeps its k best; no full sort.
+    query is one row with column q; without it there is no result. Every task keeps its k best; no full sort.
     """
     v = unit(F.transform(vector_col, lambda x: x.cast("double")))
-    q = F.broadcast(query.limit(1).select(unit(F.transform("q", lambda x: x.cast("double"))).alias("q")))
-    dot = F.aggregate(F.zip_with(v, F.col("q"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return rows.join(q, how="inner").select(id_col, F.round(dot, 6).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
+    asked = query.select(unit(F.transform("q", lambda x: x.cast("double"))).alias("q")).head(1)
+    q = F.array(*map(F.lit, asked[0].q)) if asked else F.array().cast("array<double>")
+    dot = F.aggregate(F.zip_with(v, q, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return rows.where(F.lit(bool(asked))).select(id_col, F.round(dot, 6).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)

@@ -20,9 +20,8 @@ def jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which all executors see; a temporary folder where none is set (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="haggle-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="haggle-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
