@@ -39,6 +39,11 @@ def refold(state: DataFrame, batch: DataFrame, key: str, policy: dict[str, str])
     return both.groupBy(key).agg(*kept, F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
+def insert_stamped(table: DataFrame, rows: DataFrame, **server_set: object) -> DataFrame:
+    """table and new rows, whose server-set columns (author, parent, times) are the same for all and win over what rows bring."""
+    return table.unionByName(rows.withColumns({c: F.lit(v) for c, v in server_set.items()}), allowMissingColumns=True)
+
+
 def insert_missing(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """table and those rows whose key it does not hold."""
     return table.unionByName(rows.join(table.select(key), key, "left_anti"))

@@ -17,7 +17,7 @@ from haggle.functions import html, parsers, text
 from haggle.operators import export, feed, forum, upsert, vectors
 from haggle.sources import schemas
 from haggle.sources.storage import table
-from haggle.streaming.ingest import Ingest
+from haggle.streaming.ingest import Ingest, all_succeeded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,6 +124,17 @@ def bridge_join(spark, d):
     return users.join(bridge, F.col("c_custkey") == F.col("o_custkey")).join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("c_custkey", "o_orderkey", "l_linenumber", "l_partkey")
 
 
+@query("SELECT c_custkey, c_nationkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 99, c_name FROM customer WHERE c_custkey % 5 = 1")
+def insert_stamped(spark, d):
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_name")
+    return upsert.insert_stamped(customers.where("c_custkey % 2 = 0"), customers.where("c_custkey % 5 = 1").drop("c_nationkey"), c_nationkey=99)
+
+
+@query("SELECT user_id, bool_and(event_type <> 'error') AS all_succeeded FROM events GROUP BY user_id")
+def runs_succeeded(spark, d):
+    return all_succeeded(table(spark, d, "events").withColumn("code", F.when(F.col("event_type") == "error", 1).otherwise(0)), "code", "user_id")
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
 def insert_missing(spark, d):
     customers = table(spark, d, "customer").select("c_custkey", "c_name")

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haggle.operators.upsert import fold, refold
@@ -37,6 +38,11 @@ class Ingest:
         return self.table.read(self.latest)
 
 
+def all_succeeded(runs: DataFrame, code_col: str, *by: str) -> DataFrame:
+    """Whether all runs (of each group) ended with code 0; a run without a code has not."""
+    return runs.groupBy(*by).agg(F.bool_and(F.coalesce(F.col(code_col) == 0, F.lit(False))).alias("all_succeeded"))
+
+
 def backoff(fails: int, base: float = 15, most: float = 600, chance: Callable[[], float] = random.random) -> float:
     """Seconds to wait after so many failures: doubled each time up to six times, within most, give or take a fifth."""
     return min(most, base * 2 ** min(fails, 6)) * (0.8 + 0.4 * chance())
