@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,25 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[int, tuple] = {}
+
+
+def kept(shared: Broadcast, make: Callable):
+    """What make makes of a broadcast value, kept by this worker from task to task; only the latest is."""
+    value = shared.value
+    if id(value) not in _kept:
+        _kept.clear()
+        _kept[id(value)] = (value, make(value))
+    return _kept[id(value)][1]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that whatever is made of a part is small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b: long) as rows (node, root), root being the smallest node.
 

@@ -18,12 +18,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import kept, slices
 from .lattice import MARK, Lattice, Vocabulary, in_batches
 
 #: Part of the environment, not of this repository; any SentencePiece model file with byte pieces will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_SLICE = 256
-_CACHED = 200_000
+#: Words that a worker remembers at most (a little more until it starts anew).
+_CACHED = 100_000
 
 
 class Encoder:
@@ -90,58 +91,48 @@ def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
     return (raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace")
 
 
-_encoders: dict[int, Encoder] = {}
-
-
-def _encoder(shared: Broadcast) -> Encoder:
-    """This worker's encoder, which keeps what it has met from task to task."""
-    vocabulary = shared.value
-    if id(vocabulary) not in _encoders:
-        _encoders.clear()
-        _encoders[id(vocabulary)] = Encoder(vocabulary)
-    return _encoders[id(vocabulary)]
-
-
 def _shared(docs: DataFrame, model: str) -> Broadcast:
     """The vocabulary, whose size the model file fixes, on every executor."""
     return docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
 
-def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str = MODEL, decoded_col: str | None = None) -> DataFrame:
     """docs with a column of piece ids (array of int); a column of that name is replaced.
 
     A null text has null ids, an empty text has none. Ids depend on the text alone. Memory grows with
-    the longest run of characters without a blank or newline, not with the length of a text.
+    the longest run of characters without a blank or newline, not with the length of a text. With decoded_col, what decode()
+    makes of the ids comes along in the same pass.
     """
     shared = _shared(docs, model)
-    kept = docs.drop(ids_col)
+    own = docs.drop(ids_col, *([decoded_col] if decoded_col else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
-        for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(at, _SLICE)
-                texts = part.column(text_col)
-                flat, counts = encoder.encode([t or "" for t in texts.to_pylist()])
-                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=texts.is_null())
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, ids_col])
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+        encoder = kept(shared, Encoder)
+        for part in slices(batches):
+            texts = part.column(text_col)
+            flat, counts = encoder.encode([t or "" for t in texts.to_pylist()])
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            columns, names = [*part.columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=texts.is_null())], [*part.schema.names, ids_col]
+            if decoded_col:
+                back = [decode_ids(encoder.vocabulary, flat[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                columns.append(pa.array(back, pa.string(), mask=texts.is_null().to_numpy(zero_copy_only=False)))
+                names.append(decoded_col)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    more = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, *more]))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", model: str = MODEL) -> DataFrame:
     """rows with a column of the text of piece ids (null ids: null). It is what was encoded, but for U+2581 in
     the text, which comes back as a blank."""
     shared = _shared(rows, model)
-    kept = rows.drop(text_col)
+    own = rows.drop(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(at, _SLICE)
-                texts = [None if i is None else decode_ids(vocabulary, i) for i in part.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, text_col])
+        for part in slices(batches):
+            texts = [None if i is None else decode_ids(vocabulary, i) for i in part.column(ids_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, text_col])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text_col, T.StringType())]))
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(text_col, T.StringType())]))

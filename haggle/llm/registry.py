@@ -11,7 +11,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import kept_text, line_dedup
 from .lm_score import lm_score
 from .mixing import mix
-from .pieces import decode, encode
+from .pieces import encode
 from .secrets import named, secret_scan
 from .simhash import simhash_dedup
 from .toxicity import fit, held_out, toxicity
@@ -84,7 +84,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return decode(encode(docs)).select("doc_id", F.size("ids").alias("n_pieces"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    return encode(docs, decoded_col="decoded").select("doc_id", F.size("ids").alias("n_pieces"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

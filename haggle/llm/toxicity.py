@@ -15,17 +15,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept, slices
+
 WINDOW, STRIDE = 64, 54
 WORD_DIM, CHAR_DIM, HIDDEN = 6, 10, 8
 CHAR_BUCKETS = 8192
 #: Labelled rows that the network is trained on at most; a larger set is sampled evenly by a hash of the id.
 TRAINING_ROWS = 2000
-_SLICE = 256
-_CACHED = 150_000
+#: Words that a worker remembers at most (a little more until it starts anew).
+_CACHED = 100_000
 _STRIP = b".,;:!?\"'()[]{}<>*#%&$|-_=+/\\~^`@"
 
 
@@ -335,17 +336,6 @@ class Scorer:
         return _sigmoid(np.clip(best, -30, 30))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
-def _scorer(shared: Broadcast) -> Scorer:
-    net = shared.value
-    if id(net) not in _scorers:
-        _scorers.clear()
-        _scorers[id(net)] = Scorer(net)
-    return _scorers[id(net)]
-
-
 def held_out() -> F.Column:
     """Rows that learn nothing: crc32 of the id as text is divisible by 5."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -370,14 +360,12 @@ def toxicity(docs: DataFrame, net: Network, text_col: str = "text", score_col: s
     A null or empty text is one window without words. Texts alone decide: equal texts have equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    kept = docs.drop(score_col)
+    own = docs.drop(score_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared)
-        for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(at, _SLICE)
-                found = scorer.scores([t or "" for t in part.column(text_col).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, score_col])
-
-    return kept.mapInArrow(run, kept.select("*", F.lit(0.0).alias(score_col)).schema)
+        scorer = kept(shared, Scorer)
+        for part in slices(batches):
+            found = scorer.scores([t or "" for t in part.column(text_col).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, score_col])
+
+    return own.mapInArrow(run, own.select("*", F.lit(0.0).alias(score_col)).schema)
