@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 CELLS = 64
-#: Queries that one task compares at a time; a larger query set goes in several blocks.
+#: Queries in a block, about; a task compares one block at a time.
 QUERY_BLOCK = 4096
 _SCAN = 2048
 
@@ -96,14 +96,16 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, query_block: int =
     numbered = query_rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))))
     results = none
     for b in range(blocks):
-        these = numbered.where(F.col("block") == b).select("vec_id", "v").orderBy("vec_id").collect()
+        own = numbered.where(F.col("block") == b).select("vec_id", "v")
+        these = own.orderBy("vec_id").collect()
         if these:
             ids, queries = np.array([r.vec_id for r in these], np.int64), np.array([r.v for r in these], np.int64)
-            results = results.union(_block_top_k(file, query_rows, ids, queries, low, width, k))
+            results = results.union(_block_top_k(file, own, ids, queries, low, width, k))
     return results
 
 
 def _block_top_k(file: DataFrame, query_rows: DataFrame, ids, queries, low, width, k: int) -> DataFrame:
+    """The result of one block of queries. What is broadcast here has a row for each query of the block."""
     scanned = staged(file.select("vec_id", "cells").mapInArrow(_scan(low, width, ids, queries, k), "query_id long, vec_id long, lower double, upper double"), "scanned")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("lower"), "vec_id")
     floor = scanned.select("query_id", "vec_id", "lower", F.row_number().over(ranked).alias("n")).where(F.col("n") == k).select("query_id", F.col("lower").alias("floor"))
