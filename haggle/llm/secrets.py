@@ -152,11 +152,19 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     rows = staged(rows.select("doc_id", "base", F.transform(free, lambda r: F.struct(r.alias("span"), battery(r["value"]).alias("test"))).alias("runs")), "runs")
     cuts = not_random(rows.select(F.explode("runs").alias("r")).select("r.test.*"))
-    cuts = cuts.agg(F.map_from_entries(F.collect_list(F.struct((F.col("encoding") * 10 + F.col("band")).cast("int").alias("k"), "cut"))).alias("cuts"))
-    kept = F.filter("runs", lambda r: _bin(r["test"]["p"]) < F.coalesce(F.try_element_at("cuts", (r["test"]["encoding"] * 10 + _band(r["test"]["length"])).cast("int")), F.lit(LAST_BIN + 1)))
+    limits = cuts.collect()  # a row for each encoding and band at most
+
+    def passes(r):
+        test = r["test"]
+        cut = F.lit(LAST_BIN + 1)
+        for x in limits:
+            cut = F.when((test["encoding"] == x.encoding) & (_band(test["length"]) == x.band), x["cut"]).otherwise(cut)
+        return _bin(test["p"]) < cut
+
+    kept = F.filter("runs", passes)
     whole = F.concat("base", F.transform(kept, lambda r: r["span"]))
     ordered = F.array_sort(F.transform(whole, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"))))
-    return rows.join(F.broadcast(cuts)).select("doc_id", ordered.alias("spans"))
+    return rows.select("doc_id", ordered.alias("spans"))
 
 
 def named(spans_: Column) -> Column:
