@@ -2,11 +2,14 @@
 
 Lines, paragraphs and the whole text are units. A unit and a template are compared as sets of adjacent word
 pairs: 2 |both| / (|unit| + |template|). Where this is to reach t, the smaller set has at least t / (2 - t) of the
-larger one's size, so most templates drop out by size alone.
+larger one's size, so most templates drop out by size alone. For the same reason the unit must hold most of the
+template's pairs, hence one of any few words that enough of its pairs contain: texts and units without such a
+word are left before they are cut into pairs.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -57,9 +60,23 @@ def templates() -> list[tuple[str, list[str]]]:
     return [(name, bigrams(t)) for name, texts in TEMPLATES.items() for t in texts]
 
 
-def _units(text: Column) -> Column:
-    """The distinct units of a text, in lower case, with one blank between words."""
-    plain = F.regexp_replace(F.lower(text), r"[^a-z0-9\n]+", " ")
+def signature(pairs: list[str], ratio: float) -> list[str]:
+    """Words, long ones first, of which a unit near a template of these pairs must hold one.
+
+    The unit holds the share `ratio` of the pairs at least, so it cannot miss all pairs that contain these words.
+    """
+    need = len(pairs) - math.ceil(ratio * len(pairs) - 1e-6) + 1
+    chosen, covered = [], set()
+    for w in sorted({x for p in pairs for x in p.split()}, key=lambda w: (-len(w), w)):
+        if len(covered) >= need:
+            break
+        chosen.append(w)
+        covered |= {p for p in pairs if w in p.split()}
+    return chosen
+
+
+def _units(plain: Column) -> Column:
+    """The distinct units of a text in plain form, with one blank between words."""
     joined = F.trim(F.regexp_replace(plain, " *\n *", " "))
     paragraphs = F.when(F.instr(plain, "\n\n") + F.instr(plain, "\n \n") > 0, F.transform(F.split(plain, r"\n(?: *\n)+"), lambda p: F.trim(F.regexp_replace(p, " *\n *", " ")))).otherwise(F.array())
     lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(x))
@@ -78,7 +95,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ratio = threshold / (2 - threshold) - 1e-9  # a pair that just reaches the threshold is in
     sizes = [len(b) for _, b in known] or [1]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), _units(text).alias("units"))
+    words = sorted({w for _, b in known for w in signature(b, ratio)})
+    told = rf"\b(?:{'|'.join(words)})\b"
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.regexp_replace(F.lower(text), r"[^a-z0-9\n]+", " ").alias("plain"))
+    rows = rows.select("doc_id", F.when(F.col("plain").rlike(told), F.filter(_units(F.col("plain")), lambda u: u.rlike(told))).otherwise(F.array().cast("array<string>")).alias("units"))
     # the number of blanks bounds the number of bigrams: too short units go before they are cut into words
     blanks = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
     rows = rows.select("doc_id", F.filter("units", lambda u: blanks(u) >= ratio * min(sizes)).alias("units"))
