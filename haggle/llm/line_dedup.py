@@ -170,7 +170,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order, "text_key", "first")
     found = staged(ordered.mapInArrow(first_occurrences(min_docs), _FOUND), "lines")
     totals = found.where(F.col("kind") == TOTAL).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n"), F.max("doc_id").alias("top")).where(F.col("n") >= min_docs)
-    late = found.where(F.col("kind") == OPEN).join(totals.drop("n"), ["h1", "h2"]).where("doc_id <> top").drop("top")
+    # two rows a partition at most: small enough to broadcast, and the rows of a common line stay where they are
+    late = found.where(F.col("kind") == OPEN).join(F.broadcast(totals.drop("n")), ["h1", "h2"]).where("doc_id <> top").drop("top")
     drops = found.where(F.col("kind") == DROP).unionByName(late)
     by_doc = drops.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions"), F.max("n_lines").alias("n_lines"))
     return by_doc.select("doc_id", "text_key", "n_lines", F.size("positions").alias("n_dropped"), _packed("positions", "n_lines").alias("keep_bitmap"))
