@@ -33,18 +33,26 @@ _SLICE = 256
 _CUTS = ((0, 21), (21, 21), (42, 22))
 
 
-def fingerprint(text: bytes, words_in_shingle: int = 3) -> int:
-    """SimHash over the XXH64 hashes (seed 42) of all shingles of the text with A-Z lower-cased."""
+def shingle_hashes(text: bytes, words_in_shingle: int) -> np.ndarray:
+    """The XXH64 hashes (seed 42) of all shingles of the text with A-Z lower-cased; a shorter text is one shingle."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(words_in_shingle, len(words))
     n = len(words) - k + 1
     spans = zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans), np.uint64, n)
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans), np.uint64, n)
+
+
+def fingerprint(text: bytes, words_in_shingle: int = 3) -> int:
+    """SimHash over the hashes of all shingles of the text."""
+    hashes = shingle_hashes(text, words_in_shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 4096):
         bits = np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
