@@ -63,3 +63,18 @@ def test_run_gives_the_rows_of_the_stages(spark, folder):
     at, rows, _ = folder
     out = pipeline.run(spark, at).collect()
     assert max(Counter(r.doc_id for r in out).values()) == 1 and 0 < len(out) < len(rows)
+
+
+def test_positions_give_the_mixture(spark, folder, tmp_path, monkeypatch):
+    """In order of position the rows of run() follow the slots of mix(), whatever files they came from."""
+    from haggle.llm.mixing import mix
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(12)), "en", "a" if i % 4 else "b", 0) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(9)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(pipeline, "STAGES", [x for x in pipeline.STAGES if x[0] in ("mixing sources", "sentencepiece")])
+    want = [r.doc_id for r in sorted(mix(docs).collect(), key=lambda r: (r.slot, r.place))]
+    out = pipeline.run(spark, str(tmp_path)).collect()
+    assert len({r.position for r in out}) == len(rows)
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.position)] == want
