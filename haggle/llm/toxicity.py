@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import kept, slices
 
-WINDOW, STRIDE = 64, 54
+#: Windows overlap by 40 words, so every passage of up to 41 words lies whole in one.
+WINDOW, STRIDE = 64, 24
 WORD_DIM, CHAR_DIM, HIDDEN = 6, 10, 8
 CHAR_BUCKETS = 8192
 #: Labelled rows that the network is trained on at most; a larger set is sampled evenly by a hash of the id.
@@ -48,9 +49,10 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").split()
 
 
-def window_starts(n: int) -> range:
-    """Starts of the windows over n words: every STRIDE words, the last window reaching the end."""
-    return range(0, max(1, n - WINDOW + STRIDE), STRIDE)
+def window_starts(n: int) -> list[int]:
+    """Starts of the windows over n words: every STRIDE words, and a last whole window that ends with the text."""
+    last = max(0, n - WINDOW)
+    return [*range(0, last, STRIDE), last]
 
 
 @dataclass
@@ -317,9 +319,10 @@ class Scorer:
         ids = self._ids(split)
         lens = np.fromiter(map(len, split), np.int64, len(split))
         offs = np.cumsum(lens) - lens
-        times = np.maximum(1, -(-(lens - WINDOW + STRIDE) // STRIDE))
+        last = np.maximum(0, lens - WINDOW)
+        times = -(-last // STRIDE) + 1
         text = np.repeat(np.arange(len(split)), times)
-        start = (np.arange(len(text)) - np.repeat(np.cumsum(times) - times, times)) * STRIDE
+        start = np.minimum((np.arange(len(text)) - np.repeat(np.cumsum(times) - times, times)) * STRIDE, last[text])
         size = np.minimum(WINDOW, lens[text] - start)
         best = np.full(len(split), -np.inf)
         order = np.argsort(size, kind="stable")

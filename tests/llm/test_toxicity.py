@@ -78,3 +78,32 @@ def test_tables(spark, net):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, None), (None, 1), (77, 0)], "doc_id long, toxic int")
     assert isinstance(tox.fit(df, labels), tox.Network)
     assert isinstance(tox.fit(df.limit(0), labels.limit(0)), tox.Network)
+
+
+def test_every_passage_of_40_words_lies_whole_in_a_window():
+    for n in (1, 63, 64, 65, 88, 89, 300, 331):
+        starts = tox.window_starts(n)
+        assert starts == sorted(set(starts)) and starts[-1] == max(0, n - tox.WINDOW)
+        for at in range(max(1, n - 39)):
+            assert any(a <= at and min(n, at + 40) <= a + tox.WINDOW for a in starts)
+
+
+def test_a_passage_scores_alike_at_every_offset():
+    """Toxic only where 'alpha' and 'omega' stand 38 words apart in one text; each alone is clean."""
+    rng = random.Random(6)
+    calm = [f"calm{k}" for k in range(40)]
+
+    def text(n, marks):
+        words = [rng.choice(calm) for _ in range(n)]
+        for at, w in marks:
+            words[at] = w
+        return " ".join(words)
+
+    rows = []
+    for _ in range(300):
+        at = rng.randrange(24)
+        rows += [(text(64, [(at, "alpha"), (at + 39, "omega")]), 1), (text(64, [(at, "alpha")]), 0), (text(64, [(at + 39, "omega")]), 0)]
+    net = tox.train(*map(list, zip(*rows)), epochs=12)
+    words = text(300, []).split()
+    scores = tox.Scorer(net).scores([" ".join([*words[:at], "alpha", *words[at : at + 38], "omega", *words[at + 38 :]]) for at in range(0, 260)])
+    assert (scores >= 0.5).mean() > 0.97
