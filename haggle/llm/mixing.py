@@ -2,38 +2,62 @@
 
 The rows of each source are cut into blocks. Block i of a source of weight w is released at slot floor(i / w) and due
 at slot ceil((i + 1) / w); each slot takes, of the released blocks, the one that is due first. After any number of
-slots every source is then less than one block away from its share. With weights that are multiples of
-1 / period the schedule repeats after a period, so the driver computes one period and every row finds
-its slot by arithmetic. When a source runs out, the weights of the others are scaled up and a new phase begins.
+slots every source is then less than one block away from its share. Weights are rounded to multiples of
+1 / period, each by less than one slot of a period (a source that is due less than one slot gets one). The schedule
+then repeats after a period, so the driver computes one period and every row finds its slot by arithmetic. The
+period grows with the blocks: as long as there are no more than LONGEST / 4 of them, rounding adds less than
+a quarter of a block. Beyond, it adds less than a block for every period of LONGEST slots. When a source runs out, the weights of the others
+are scaled up and a new phase begins.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Slots in a period at least, and sources at most: the driver's work is bounded by both, not by rows.
+#: Slots in a period at least, and sources at most: the driver's work is bounded by the longest period and the sources, not by rows.
 PERIOD, MAX_SOURCES = 1024, 512
+#: Slots in a period at most, where no period is given.
+LONGEST = 1 << 19
 
 
 def whole_shares(weights: list[float], period: int) -> list[int]:
-    """Positive integers in proportion to weights that sum to period: largest remainders, one at least each."""
-    total = sum(weights)
-    spare = period - len(weights)
-    exact = [w / total * spare for w in weights]
-    shares = [1 + int(x) for x in exact]
-    for i in sorted(range(len(weights)), key=lambda i: (int(exact[i]) - exact[i], i))[: period - sum(shares)]:
+    """Positive integers near period * weight that sum to period: largest remainders; what is due less than one gets one."""
+    free, spare = list(range(len(weights))), period
+    while True:
+        total = math.fsum(weights[i] for i in free)
+        small = {i for i in free if weights[i] * spare < total}
+        if not small:
+            break
+        free, spare = [i for i in free if i not in small], spare - len(small)
+    shares = [1] * len(weights)
+    exact = {i: Fraction(weights[i]) for i in free}
+    total = sum(exact.values())
+    due = {i: w * spare / total for i, w in exact.items()}
+    for i, x in due.items():
+        shares[i] = int(x)
+    for i in sorted(free, key=lambda i: (int(due[i]) - due[i], i))[: period - sum(shares)]:
         shares[i] += 1
     return shares
 
 
-def one_period(shares: list[int]) -> list[int]:
-    """Which source each slot of a period takes: earliest deadline first among released blocks."""
+def period_for(blocks: int) -> int:
+    """A power of two, four times the blocks or more, from PERIOD to LONGEST."""
+    return min(LONGEST, max(PERIOD, 1 << (4 * blocks - 1).bit_length())) if blocks else PERIOD
+
+
+def one_period(shares: list[int], blocks: list[int] | None = None) -> list[int]:
+    """Which source each slot of a period takes: earliest deadline first among released blocks.
+
+    With blocks, the slots end with the one that takes the last block of a source.
+    """
     period = sum(shares)
     waiting = [(0, s, 0) for s in range(len(shares))]  # by release
     heapq.heapify(waiting)
@@ -45,6 +69,8 @@ def one_period(shares: list[int]) -> list[int]:
             heapq.heappush(ready, (-(-(i + 1) * period // shares[s]), s, i))
         _, s, i = heapq.heappop(ready)
         slots.append(s)
+        if blocks and i + 1 == blocks[s]:
+            break
         if i + 1 < shares[s]:
             heapq.heappush(waiting, ((i + 1) * period // shares[s], s, i + 1))
     return slots
@@ -61,15 +87,16 @@ class Phase:
     slots: dict[int, list[int]]
 
 
-def phases(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[Phase]:
-    """The phases until all blocks of all sources have a slot."""
+def phases(blocks: list[int], weights: list[float], period: int | None = None) -> list[Phase]:
+    """The phases until all blocks of all sources have a slot. Without a period each phase has one for its blocks."""
     done, offset, out = [0] * len(blocks), 0, []
     while True:
         active = [s for s in range(len(blocks)) if done[s] < blocks[s]]
         if not active:
             return out
-        length = max(period, 2 * len(active))
-        order = one_period(whole_shares([weights[s] for s in active], length))
+        left = [blocks[s] - done[s] for s in active]
+        length = max(period or period_for(sum(left)), 2 * len(active))
+        order = one_period(whole_shares([weights[s] for s in active], length), left)
         slots: dict[int, list[int]] = {s: [] for s in active}
         for t, k in enumerate(order):
             slots[active[k]].append(t)
@@ -78,7 +105,8 @@ def phases(blocks: list[int], weights: list[float], period: int = PERIOD) -> lis
             j = blocks[s] - done[s] - 1
             return j // len(slots[s]) * length + slots[s][j % len(slots[s])] + 1
 
-        span = min(map(end, active))
+        # a source that runs out within the first period ends the phase there
+        span = len(order) if any(len(slots[s]) == n for s, n in zip(active, left, strict=True)) else min(map(end, active))
         full, part = divmod(span, length)
         lo = {s: done[s] for s in active}
         for s in active:
@@ -87,7 +115,7 @@ def phases(blocks: list[int], weights: list[float], period: int = PERIOD) -> lis
         offset += span
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = 64, id_col: str = "doc_id", source_col: str = "source", period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = 64, id_col: str = "doc_id", source_col: str = "source", period: int | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, source, block, place (in the block), slot.
 
     The mixture is the rows in order of slot, then place. Rows of a source keep the order of their ids. weights gives

@@ -68,3 +68,48 @@ def test_given_weights_and_unnamed_sources(spark):
     assert mixing.mix(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(df, weights={"a": -1})
+
+
+def by_slot(plan):
+    """Which source each slot takes, from the phases, by the arithmetic of mix()."""
+    got = {}
+    for p in plan:
+        for s, slots in p.slots.items():
+            for j in range(p.hi[s] - p.lo[s]):
+                got[p.offset + j // len(slots) * p.period + slots[j % len(slots)]] = s
+    assert sorted(got) == list(range(len(got)))
+    return [got[t] for t in range(len(got))]
+
+
+def test_exact_multiples_get_their_exact_slots():
+    for n in (10, 50, 200, 500):
+        assert mixing.whole_shares([0.5] + [0.5 / n] * n, 1024)[0] == 512
+    assert mixing.whole_shares([0.001, 0.333, 0.333, 0.333], 1024)[0] == 1
+    assert mixing.whole_shares([512, 256, 128, 64, 32, 16, 8, 8], 1024) == [512, 256, 128, 64, 32, 16, 8, 8]
+
+
+@pytest.mark.parametrize("sources", [2, 20, 200])
+def test_prefixes_keep_to_the_targets_themselves(sources):
+    """Against the weights, not their rounded shares: one block and a quarter off at most, over many former periods."""
+    rng = random.Random(sources)
+    w = [rng.random() ** 2 + 0.02 for _ in range(sources)]
+    total = sum(w)
+    blocks = [int(30000 * x / total * (1 + rng.random())) + 2 for x in w]
+    plan = mixing.phases(blocks, w)
+    order, had = by_slot(plan), [0] * sources
+    assert len(order) == sum(blocks)
+    first = plan[1].offset
+    assert first > 5000
+    for t in range(first):
+        had[order[t]] += 1
+        if t % 97 == 0 or t > first - 100:
+            assert max(abs(h - (t + 1) * x / total) for h, x in zip(had, w)) < 1.25
+
+
+def test_the_longest_period_repeats(monkeypatch):
+    monkeypatch.setattr(mixing, "LONGEST", 2048)
+    blocks = [5000, 900, 40]
+    plan = mixing.phases(blocks, [5, 2, 1])
+    order = by_slot(plan)
+    assert [order.count(s) for s in range(3)] == blocks and plan[0].period == 2048
+    assert mixing.period_for(0) == mixing.PERIOD and mixing.period_for(10**9) == 2048
