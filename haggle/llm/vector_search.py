@@ -1,9 +1,10 @@
 """Exact k nearest by inner product with a vector-approximation file.
 
 Each dimension's range is cut into 64 cells. The file holds one byte for each component beside the exact
-vectors. A search scans cells only: they bound every inner product from both sides. Whatever the k best lower bounds
-rule out is gone; exact vectors of the others are read in the order of their bounds, in growing waves, until
-no unread one can reach the k-th score.
+vectors. A search first scans cells only: they bound every inner product from both sides, and the k best lower
+bounds over all partitions give each query a floor. Then every partition takes what can reach the floor in the order
+of its upper bounds and reads exact vectors, in growing waves, until no unread one can reach the partition's
+k-th score. A partition so gives k rows for a query at most, and the best k of these are the result.
 """
 
 from __future__ import annotations
@@ -12,121 +13,188 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
 CELLS = 64
-#: Queries in a block, about; a task compares one block at a time.
-QUERY_BLOCK = 4096
-_SCAN = 2048
+#: Components of the queries that one scan carries, about: 16,384 queries of 64 components.
+QUERY_COMPONENTS = 1 << 20
+#: Candidates and queries that a task compares at once.
+_ROWS, _QUERIES = 1024, 1024
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v array<long>): floor(256 x) of each component. Vectors null, empty or with null or non-finite components go."""
-    fit = F.expr("size(x) > 0 and not exists(x, c -> c is null or isnan(c) or abs(c) = double('infinity'))")
+    """(vec_id, v array<long>): floor(256 x) of each component. Vectors null or with null or non-finite components go."""
+    fit = F.expr("not exists(x, c -> c is null or isnan(c) or abs(c) = double('infinity'))")
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).where(F.col("x").isNotNull() & fit).select("vec_id", F.transform("x", lambda c: F.floor(c * 256)).alias("v"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """The vectors of a list column, shorter ones filled up with zeros."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(column), dims), np.int64)
+    row = np.repeat(np.arange(len(column)), size)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+    return out
+
+
+def _edges(dims: int):
+    """mapInArrow function over (v): the least and the greatest of each component in a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = high = None
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix(batch.column("v"), dims)
+                least, most = v.min(axis=0), v.max(axis=0)
+                low, high = (least, most) if low is None else (np.minimum(low, least), np.maximum(high, most))
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims, dtype=np.int32)), pa.array(low), pa.array(high)], names=["i", "low", "high"])
+
+    return run
 
 
 def _encode(low: np.ndarray, width: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = np.clip((_matrix(batch.column("v")) - low) // width, 0, CELLS - 1).astype(np.uint8)
+            cells = np.clip((_matrix(batch.column("v"), len(low)) - low) // width, 0, CELLS - 1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([r.tobytes() for r in cells], pa.binary()), batch.column("v")], names=["vec_id", "cells", "v"])
 
     return run
 
 
-def _bounds(low: np.ndarray, width: np.ndarray, cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), -1).astype(np.float64)
-    least = low + both * width
-    return least, least + width - 1
+class _Queries:
+    """Queries with the bounds that cells put on their inner products."""
+
+    def __init__(self, low: np.ndarray, width: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        self.low, self.width, self.ids, self.vectors = low, width, ids, vectors
+        self.up, self.down = np.maximum(vectors, 0).astype(np.float64), np.minimum(vectors, 0).astype(np.float64)
+
+    def parts(self) -> Iterator[slice]:
+        for at in range(0, len(self.ids), _QUERIES):
+            yield slice(at, at + _QUERIES)
+
+    def box(self, cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        least = self.low + np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), len(self.low)).astype(np.float64) * self.width
+        return least, least + self.width - 1
 
+    def lower(self, q: slice, least, most, own: np.ndarray) -> np.ndarray:
+        found = self.up[q] @ least.T + self.down[q] @ most.T
+        found[self.ids[q, None] == own] = -np.inf
+        return found
 
-def _scan(low, width, ids: np.ndarray, queries: np.ndarray, k: int):
-    """mapInArrow function over (vec_id, cells): for each query the candidates that k lower bounds of the partition don't rule out."""
+    def upper(self, q: slice, least, most, own: np.ndarray) -> np.ndarray:
+        found = self.up[q] @ most.T + self.down[q] @ least.T
+        found[self.ids[q, None] == own] = -np.inf
+        return found
+
+
+def _scan(shared, k: int):
+    """mapInArrow function over (vec_id, cells): the k best lower bounds of a partition for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-        floor = np.full((len(ids), k), -np.inf)  # the k best lower bounds so far
+        asked: _Queries = shared.value
+        best = np.full((len(asked.ids), k), -np.inf)
         for batch in batches:
-            for at in range(0, batch.num_rows, _SCAN):
-                part = batch.slice(at, _SCAN)
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
                 own = part.column("vec_id").to_numpy()
-                least, most = _bounds(low, width, part.column("cells").to_pylist())
-                lower, upper = up @ least.T + down @ most.T, up @ most.T + down @ least.T
-                same = ids[:, None] == own[None, :]
-                lower[same] = upper[same] = -np.inf
-                both = np.concatenate([floor, lower], axis=1)
-                floor = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-                q, c = np.nonzero((upper >= floor.min(axis=1)[:, None]) & np.isfinite(upper))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[c]), pa.array(lower[q, c]), pa.array(upper[q, c])], names=["query_id", "vec_id", "lower", "upper"])
+                least, most = asked.box(part.column("cells").to_pylist())
+                for q in asked.parts():
+                    both = np.concatenate([best[q], asked.lower(q, least, most, own)], axis=1)
+                    best[q] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        q, c = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(best[q, c])], names=["q", "lower"])
+
+    return run
+
+
+def _read(shared, k: int):
+    """mapInArrow function over (vec_id, cells, v): the k best of a partition for each query, by score, then smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, floor = shared.value
+        top = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in asked.ids]  # scores and ids so far
+        kth = floor.copy()  # what a candidate must reach
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                own, exact = part.column("vec_id").to_numpy(), None
+                least, most = asked.box(part.column("cells").to_pylist())
+                for cut in asked.parts():
+                    upper = asked.upper(cut, least, most, own)
+                    able = (upper >= kth[cut, None]) & np.isfinite(upper)
+                    for i in np.flatnonzero(able.any(axis=1)).tolist():
+                        q = cut.start + i
+                        waiting = np.flatnonzero(able[i])
+                        waiting = waiting[np.argsort(-upper[i, waiting], kind="stable")]
+                        if exact is None:
+                            exact = _matrix(part.column("v"), len(asked.low))
+                        done, size = 0, 2 * k
+                        while done < len(waiting) and upper[i, waiting[done]] >= kth[q]:
+                            wave = waiting[done : done + size]
+                            scores = np.concatenate([top[q][0], exact[wave] @ asked.vectors[q]])
+                            ids = np.concatenate([top[q][1], own[wave]])
+                            order = np.lexsort((ids, -scores))[:k]
+                            top[q] = scores[order], ids[order]
+                            if len(order) == k:
+                                kth[q] = max(kth[q], scores[order[-1]])
+                            done, size = done + size, size * 4
+        for q, (scores, ids) in enumerate(top):
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), asked.ids[q])), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, query_components: int = QUERY_COMPONENTS) -> DataFrame:
     """The k highest integer inner products of each query: query_id, rank (from 1), vec_id, score.
 
     vectors: rows of quantised(); is_query: which of them are queries; all others but the query's own id are
-    candidates. Equal scores go to the smaller vec_id. Vectors of another length than most have take no part.
-    Repeated rows of one id are candidates like any others, but queries once only. With fewer than k
-    candidates all are returned; empty tables give nothing. Components must be below 2^24 in size, so that sums are exact.
+    candidates. Equal scores go to the smaller vec_id. A shorter vector counts as filled up with zeros, so products
+    are over the components that both have, and an empty vector scores 0. Repeated rows of one id are
+    candidates each for itself, and one query (the least of its vectors). A null id is no query. With
+    fewer than k candidates all are returned; empty tables give nothing. Components must be below 2^24 in size,
+    so that sums are exact. Each scan of the file carries query_components / components queries.
     """
     spark = vectors.sparkSession
     vectors = staged(vectors, "vectors")
-    sizes = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if sizes is None:
+    dims = vectors.agg(F.max(F.size("v"))).first()[0]
+    if dims is None:
         return none
-    dims = sizes.d
-    vectors = vectors.where(F.size("v") == dims)
-    edge = vectors.select(F.posexplode("v").alias("i", "c")).groupBy("i").agg(F.min("c").alias("low"), F.max("c").alias("high")).orderBy("i").collect()
+    edge = vectors.select("v").mapInArrow(_edges(dims), "i int, low long, high long").groupBy("i").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("i").collect()
     low = np.array([r.low for r in edge], np.int64)
     width = np.array([(r.high - r.low) // CELLS + 1 for r in edge], np.int64)
     file = staged(vectors.mapInArrow(_encode(low, width), "vec_id long, cells binary, v array<long>"), "cells")
-    query_rows = staged(vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    blocks = query_rows.agg(F.ceil(F.count("*") / query_block)).first()[0]
+    query_rows = staged(vectors.where(is_query & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    blocks = -(-query_rows.count() * max(1, dims) // query_components)
     numbered = query_rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))))
     results = none
     for b in range(blocks):
-        own = numbered.where(F.col("block") == b).select("vec_id", "v")
-        these = own.orderBy("vec_id").collect()
-        if these:
-            ids, queries = np.array([r.vec_id for r in these], np.int64), np.array([r.v for r in these], np.int64)
-            results = results.union(_block_top_k(file, own, ids, queries, low, width, k))
+        own = numbered.where(F.col("block") == b).select("vec_id", "v").toArrow().combine_chunks()
+        if own.num_rows:
+            ids = own.column("vec_id").to_numpy()
+            order = np.argsort(ids)
+            asked = _Queries(low, width, ids[order], _matrix(own.column("v").combine_chunks(), dims)[order])
+            results = results.union(_block_top_k(file, asked, k))
     return results
 
 
-def _block_top_k(file: DataFrame, query_rows: DataFrame, ids, queries, low, width, k: int) -> DataFrame:
-    """The result of one block of queries. What is broadcast here has a row for each query of the block."""
-    scanned = staged(file.select("vec_id", "cells").mapInArrow(_scan(low, width, ids, queries, k), "query_id long, vec_id long, lower double, upper double"), "scanned")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("lower"), "vec_id")
-    floor = scanned.select("query_id", "vec_id", "lower", F.row_number().over(ranked).alias("n")).where(F.col("n") == k).select("query_id", F.col("lower").alias("floor"))
-    left = scanned.join(F.broadcast(floor), "query_id", "left").where(F.col("floor").isNull() | (F.col("upper") >= F.col("floor")))
-    by_bound = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id")
-    waiting = staged(left.select("query_id", "vec_id", "upper", F.row_number().over(by_bound).alias("n")), "waiting")
-    exact, query = file.select("vec_id", "v"), query_rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+def _block_top_k(file: DataFrame, asked: _Queries, k: int) -> DataFrame:
+    """The result of one block of queries. What is sent about here has a few rows for each query of the block."""
+    context = file.sparkSession.sparkContext
+    bounds = file.select("vec_id", "cells").where("vec_id is not null").mapInArrow(_scan(context.broadcast(asked), k), "q int, lower double")
+    # partitions give k bounds each, so a query has k rows a partition here
+    by_bound = Window.partitionBy("q").orderBy(F.desc("lower"))
+    floors = bounds.withColumn("n", F.row_number().over(by_bound)).where(F.col("n") == k).select("q", "lower").toArrow()
+    floor = np.full(len(asked.ids), -np.inf)
+    floor[floors.column("q").to_numpy()] = floors.column("lower").to_numpy()
+    found = file.where("vec_id is not null").mapInArrow(_read(context.broadcast((asked, floor)), k), "query_id long, vec_id long, score long")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best, done, size = None, 0, 2 * k
-    while True:
-        wave = waiting.where((F.col("n") > done) & (F.col("n") <= done + size))
-        if best is not None:
-            kth = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-            open_ = waiting.where(F.col("n") > done).join(F.broadcast(kth), "query_id", "left").where(F.col("kth").isNull() | (F.col("upper") >= F.col("kth")))
-            if open_.isEmpty():
-                return best.select("query_id", "rank", "vec_id", "score")
-            wave = open_.where(F.col("n") <= done + size)
-        pairs = wave.select("query_id", "vec_id").distinct().join(exact, "vec_id").join(F.broadcast(query), "query_id")
-        score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
-        scores = pairs.select("query_id", "vec_id", score.alias("score"))
-        if best is not None:
-            scores = scores.unionByName(best.select("query_id", "vec_id", "score"))
-        best = staged(scores.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k), "best")
-        done, size = done + size, size * 4
+    best = found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+    return staged(best.select("query_id", "rank", "vec_id", "score"), "best")
