@@ -2,134 +2,94 @@
 
 The rows of each source are cut into blocks. Block i of a source of weight w is released at slot floor(i / w) and due
 at slot ceil((i + 1) / w); each slot takes, of the released blocks, the one that is due first. After any number of
-slots every source is then less than one block away from its share. Weights are rounded to multiples of
-1 / period, each by less than one slot of a period (a source that is due less than one slot gets one). The schedule
-then repeats after a period, so the driver computes one period and every row finds its slot by arithmetic. The
-period grows with the blocks: as long as there are no more than LONGEST / 4 of them, rounding adds less than
-a quarter of a block. Beyond, it adds less than a block for every period of LONGEST slots. When a source runs out, the weights of the others
-are scaled up and a new phase begins.
+slots every source is then less than one block away from its share. The weights are taken as the exact fractions that the
+given numbers are; nothing is rounded, so the bound holds for the targets themselves and at every length. When a
+source runs out, the weights of the others are scaled up and a new phase begins, whose slots count from zero.
+
+The driver lays out the slots of all blocks; blocks are made larger where there would be more than MAX_BLOCKS. Rows
+find their slot by a join with that bounded table.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
-from dataclasses import dataclass
 from fractions import Fraction
+from math import lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Slots in a period at least, and sources at most: the driver's work is bounded by the longest period and the sources, not by rows.
-PERIOD, MAX_SOURCES = 1024, 512
-#: Slots in a period at most, where no period is given.
-LONGEST = 1 << 19
+#: Blocks that the driver lays out at most, some seconds of its time and 16 MB; with more rows, blocks are larger.
+MAX_BLOCKS = 1 << 20
+#: Sources at most; each is a phase at worst.
+MAX_SOURCES = 4096
 
 
-def whole_shares(weights: list[float], period: int) -> list[int]:
-    """Positive integers near period * weight that sum to period: largest remainders; what is due less than one gets one."""
-    free, spare = list(range(len(weights))), period
-    while True:
-        total = math.fsum(weights[i] for i in free)
-        small = {i for i in free if weights[i] * spare < total}
-        if not small:
-            break
-        free, spare = [i for i in free if i not in small], spare - len(small)
-    shares = [1] * len(weights)
-    exact = {i: Fraction(weights[i]) for i in free}
-    total = sum(exact.values())
-    due = {i: w * spare / total for i, w in exact.items()}
-    for i, x in due.items():
-        shares[i] = int(x)
-    for i in sorted(free, key=lambda i: (int(due[i]) - due[i], i))[: period - sum(shares)]:
-        shares[i] += 1
-    return shares
-
-
-def period_for(blocks: int) -> int:
-    """A power of two, four times the blocks or more, from PERIOD to LONGEST."""
-    return min(LONGEST, max(PERIOD, 1 << (4 * blocks - 1).bit_length())) if blocks else PERIOD
-
-
-def one_period(shares: list[int], blocks: list[int] | None = None) -> list[int]:
-    """Which source each slot of a period takes: earliest deadline first among released blocks.
-
-    With blocks, the slots end with the one that takes the last block of a source.
+def one_phase(parts: list[int], blocks: list[int]) -> list[int]:
+    """Which source each slot takes, up to the slot with the last block of some source.
+
+    parts: the weights as whole numbers of any size; of released blocks the one with the earliest deadline goes first
+    (ties: the first source).
     """
-    period = sum(shares)
-    waiting = [(0, s, 0) for s in range(len(shares))]  # by release
-    heapq.heapify(waiting)
+    whole = sum(parts)
+    waiting = [(0, s, 0) for s in range(len(parts))]  # by release
     ready: list[tuple[int, int, int]] = []  # by deadline
-    slots = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
+    slots: list[int] = []
+    while True:
+        while waiting and waiting[0][0] <= len(slots):
             _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // shares[s]), s, i))
+            heapq.heappush(ready, (-(-(i + 1) * whole // parts[s]), s, i))
         _, s, i = heapq.heappop(ready)
         slots.append(s)
-        if blocks and i + 1 == blocks[s]:
-            break
-        if i + 1 < shares[s]:
-            heapq.heappush(waiting, ((i + 1) * period // shares[s], s, i + 1))
-    return slots
-
-
-@dataclass
-class Phase:
-    """A stretch of slots with the same weights: for each source the blocks lo..hi-1, and its slots in a period."""
-
-    offset: int
-    period: int
-    lo: dict[int, int]
-    hi: dict[int, int]
-    slots: dict[int, list[int]]
-
-
-def phases(blocks: list[int], weights: list[float], period: int | None = None) -> list[Phase]:
-    """The phases until all blocks of all sources have a slot. Without a period each phase has one for its blocks."""
-    done, offset, out = [0] * len(blocks), 0, []
-    while True:
-        active = [s for s in range(len(blocks)) if done[s] < blocks[s]]
-        if not active:
-            return out
-        left = [blocks[s] - done[s] for s in active]
-        length = max(period or period_for(sum(left)), 2 * len(active))
-        order = one_period(whole_shares([weights[s] for s in active], length), left)
-        slots: dict[int, list[int]] = {s: [] for s in active}
-        for t, k in enumerate(order):
-            slots[active[k]].append(t)
-
-        def end(s, slots=slots, length=length):
-            j = blocks[s] - done[s] - 1
-            return j // len(slots[s]) * length + slots[s][j % len(slots[s])] + 1
-
-        # a source that runs out within the first period ends the phase there
-        span = len(order) if any(len(slots[s]) == n for s, n in zip(active, left, strict=True)) else min(map(end, active))
-        full, part = divmod(span, length)
-        lo = {s: done[s] for s in active}
-        for s in active:
-            done[s] += full * len(slots[s]) + sum(t < part for t in slots[s])
-        out.append(Phase(offset, length, lo, {s: done[s] for s in active}, slots))
-        offset += span
-
-
-def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = 64, id_col: str = "doc_id", source_col: str = "source", period: int | None = None) -> DataFrame:
-    """One row for each row of docs: doc_id, source, block, place (in the block), slot.
+        if i + 1 == blocks[s]:
+            return slots
+        heapq.heappush(waiting, ((i + 1) * whole // parts[s], s, i + 1))
+
+
+def schedule(blocks: list[int], weights: list[float]) -> np.ndarray:
+    """The source of every slot, until all blocks of all sources have one."""
+    exact = [Fraction(w) for w in weights]
+    scale = lcm(*(w.denominator for w in exact)) if exact else 1
+    parts = [int(w * scale) for w in exact]
+    left, out = list(blocks), [np.zeros(0, np.int32)]
+    while active := [s for s in range(len(left)) if left[s]]:
+        order = np.array(active, np.int32)[one_phase([parts[s] for s in active], [left[s] for s in active])]
+        for s, n in zip(*np.unique(order, return_counts=True), strict=True):
+            left[s] -= int(n)
+        out.append(order)
+    return np.concatenate(out)
+
+
+def _numbers(order: np.ndarray) -> np.ndarray:
+    """Of each slot the number of its block within its source."""
+    by_source = np.argsort(order, kind="stable")
+    first = np.r_[True, order[by_source][1:] != order[by_source][:-1]] if len(order) else np.zeros(0, bool)
+    at = np.arange(len(order))
+    out = np.empty(len(order), np.int64)
+    out[by_source] = at - np.maximum.accumulate(np.where(first, at, 0))
+    return out
+
+
+def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = 64, id_col: str = "doc_id", source_col: str = "source", carry: list[str] | None = None, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """One row for each row of docs: doc_id, source, block, place (in the block), slot; with carry also those columns as a struct `row`.
 
     The mixture is the rows in order of slot, then place. Rows of a source keep the order of their ids. weights gives
     each source's target share (any scale); without it a source counts as the square root of its rows. A
     source that weights does not name comes after all others, in the same way and by its size. A null source is a
-    source; null ids come first in it; repeated rows all stay. Nothing is dropped or repeated. More than
-    MAX_SOURCES sources are an error. Other columns are not looked at.
+    source; null ids come first in it; repeated rows all stay. Nothing is dropped or repeated. Blocks have block_rows rows,
+    or more where that would give over max_blocks of them. More than MAX_SOURCES sources are an error. Other
+    columns are not looked at.
     """
     spark = docs.sparkSession
-    keys = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *([F.struct(*carry).alias("row")] if carry else []))
     order = [F.col("source"), F.col("doc_id")]
     # ranged by source and id, so that a large source spreads over many partitions
-    ordered = keys.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = staged(ordered.select("doc_id", "source", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq")), "mix")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = staged(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq")), "mix")
     # one row for each source in each partition: partitions and sources together at most, as both are in order
     stretches = numbered.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("seq").alias("start"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -137,25 +97,22 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = 64, id_c
     counts = stretches.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").limit(MAX_SOURCES + 1).collect()
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    blocks = [-(-r.n // block_rows) for r in counts]
     named = [weights is None or r.source in weights for r in counts]
     share = [float(weights[r.source]) if weights and ok else r.n**0.5 for r, ok in zip(counts, named, strict=True)]
     if any(not 0 < w < float("inf") for w in share):
         raise ValueError("weights must be positive")
-    first = phases([b if ok else 0 for b, ok in zip(blocks, named, strict=True)], share, period)
-    taken = sum(b for b, ok in zip(blocks, named, strict=True) if ok)
-    rest = phases([0 if ok else b for b, ok in zip(blocks, named, strict=True)], share, period)
-    for p in rest:
-        p.offset += taken
-    rows = [(counts[s].source, p.lo[s], p.hi[s], p.offset, p.period, slots) for p in first + rest for s, slots in p.slots.items() if p.hi[s] > p.lo[s]]
+    total = sum(r.n for r in counts)
+    size = max(block_rows, -(-total // max(1, max_blocks - len(counts))))
+    blocks = [-(-r.n // size) for r in counts]
+    taken = np.concatenate([schedule([b if ok == first else 0 for b, ok in zip(blocks, named, strict=True)], share) for first in (True, False)])
+    keys = taken.astype(np.int64) << 32 | _numbers(taken)
+    slots = spark.createDataFrame(pa.table({"at": keys, "slot": np.arange(len(keys), dtype=np.int64)}))
     kind = docs.schema[source_col].dataType.simpleString()
-    plan = spark.createDataFrame(rows, f"its_source {kind}, lo long, hi long, offset long, period long, slots array<int>")
-    placed = (
-        numbered.join(F.broadcast(stretches.select(F.col("source").alias("s"), F.col("part").alias("p"), "shift")), F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-        .withColumn("rank", F.col("seq") + F.col("shift"))
-        .select("doc_id", "source", F.floor(F.col("rank") / block_rows).alias("block"), (F.col("rank") % block_rows).cast("int").alias("place"))
-    )
-    j, k = F.col("block") - F.col("lo"), F.size("slots")
-    return placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("its_source")) & (F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi"))).select(
-        "doc_id", "source", "block", "place", (F.col("offset") + F.floor(j / k) * F.col("period") + F.get("slots", (j % k).cast("int"))).alias("slot"),
+    sources = spark.createDataFrame([(r.source, k) for k, r in enumerate(counts)], f"s {kind}, number long")
+    where = stretches.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("part").alias("p"), "shift", "number")
+    rank = F.col("seq") + F.col("shift")
+    block = F.floor(rank / size)
+    placed = numbered.join(F.broadcast(where), F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select(
+        "doc_id", "source", block.alias("block"), (rank % size).cast("int").alias("place"), (F.shiftleft("number", 32) + block).alias("at"), *(["row"] if carry else [])
     )
+    return placed.join(F.broadcast(slots), "at").select("doc_id", "source", "block", "place", "slot", *(["row"] if carry else []))

@@ -1,41 +1,84 @@
 import random
 from collections import defaultdict
+from fractions import Fraction
+from math import ceil, floor
 
 import pytest
 
 from haggle.llm import mixing
 
 
-@pytest.mark.parametrize("shares", [[1], [3, 5], [1, 1, 1], [700, 200, 100, 23, 1], [512, 256, 128, 64, 32, 16, 8, 8]])
-def test_every_prefix_is_less_than_a_block_off(shares):
-    slots, period = mixing.one_period(shares), sum(shares)
-    had = [0] * len(shares)
-    for t, s in enumerate(slots + slots, 1):
+def deviations(order, blocks, weights):
+    """How far any source is from its target at most, slot by slot and exactly; targets are scaled up when a source runs out."""
+    w = [Fraction(x) for x in weights]
+    left, had, begin, worst = list(blocks), [0] * len(blocks), 0, 0
+    active = [s for s in range(len(blocks)) if left[s]]
+    total = sum(w[s] for s in active)
+    for t, s in enumerate(order, 1):
+        assert left[s] > 0
+        left[s] -= 1
         had[s] += 1
-        assert all(abs(shares[k] * t - had[k] * period) < period for k in range(len(shares)))
+        if t % 37 == 0 or t < 5000 or not left[s]:
+            worst = max(worst, max(abs(had[k] - (t - begin) * w[k] / total) for k in active))
+        if not left[s]:
+            begin, had = t, [0] * len(blocks)
+            active = [k for k in active if left[k]]
+            total = sum(w[k] for k in active)
+    assert not any(left)
+    return worst
+
+
+@pytest.mark.parametrize("weights", [[1], [3, 5], [1, 1, 1], [700, 200, 100, 23, 1], [0.5, 0.1, 0.4], [1 / 3, 2 / 3], [0.9, 0.0999, 0.0001], [0.3333, 0.1667, 0.5]])
+def test_every_prefix_is_less_than_a_block_off_the_given_weights(weights):
+    rng = random.Random(1)
+    blocks = [max(1, int(4000 * x / sum(weights) * rng.uniform(0.5, 1.5))) for x in weights]
+    assert deviations(mixing.schedule(blocks, weights).tolist(), blocks, weights) < 1
 
 
-def test_shares_keep_weights():
-    rng = random.Random(1)
-    for _ in range(50):
-        w = [rng.random() + 1e-6 for _ in range(rng.randint(1, 40))]
-        shares = mixing.whole_shares(w, 1024)
-        assert sum(shares) == 1024 and min(shares) >= 1
-        assert all(abs(s / 1024 - x / sum(w)) < (len(w) + 1) / 1024 for s, x in zip(shares, w))
+def test_many_sources():
+    rng = random.Random(2)
+    weights = [rng.random() ** 2 + 0.001 for _ in range(120)]
+    blocks = [int(20000 * x / sum(weights) * (1 + rng.random())) + 1 for x in weights]
+    assert deviations(mixing.schedule(blocks, weights).tolist(), blocks, weights) < 1
 
 
-def walk(blocks, weights, period):
-    """The same schedule, slot by slot: periods of the sources that have blocks left; a new phase when one runs out."""
+def test_a_million_blocks_with_a_small_weight():
+    weights = [0.9, 0.0999, 0.0001]
+    blocks = [900_000, 99_900, 100]
+    order = mixing.schedule(blocks, weights)
+    had = [0, 0, 0]
+    for t, s in enumerate(order.tolist(), 1):
+        had[s] += 1
+        if had[s] == blocks[s]:
+            break
+        assert all(abs(h - t * w) < 1 for h, w in zip(had, weights))
+    assert t > 990_000 and len(order) == sum(blocks)
+
+
+def test_windows_are_kept_slot_by_slot():
+    """Each block stands between its own release and deadline."""
+    weights = [0.61, 0.2, 0.11, 0.08]
+    total = sum(map(Fraction, weights))
+    order = mixing.schedule([6100, 2000, 1100, 800], weights).tolist()
+    number = [0] * 4
+    for t, s in enumerate(order[:9000]):
+        w = Fraction(weights[s]) / total
+        assert floor(number[s] / w) <= t < ceil((number[s] + 1) / w)
+        number[s] += 1
+
+
+def walk(blocks, weights):
+    """A plain schedule: at every slot look at all sources anew."""
     left, out = list(blocks), []
     while any(left):
         active = [s for s in range(len(left)) if left[s]]
-        order = mixing.one_period(mixing.whole_shares([weights[s] for s in active], max(period, 2 * len(active))))
-        t = 0
+        total = sum(Fraction(weights[s]) for s in active)
+        share, had, t = {s: Fraction(weights[s]) / total for s in active}, dict.fromkeys(active, 0), 0
         while all(left[s] for s in active):
-            s = active[order[t % len(order)]]
+            ready = [(ceil((had[s] + 1) / share[s]), s) for s in active if floor(had[s] / share[s]) <= t]
+            s = min(ready)[1]
             out.append((s, blocks[s] - left[s]))
-            left[s] -= 1
-            t += 1
+            left[s], had[s], t = left[s] - 1, had[s] + 1, t + 1
     return out
 
 
@@ -44,72 +87,29 @@ def test_rows_get_the_slots_of_a_walk(spark):
     sizes = {"a": 400, "b": 7, "c": 90, None: 31, "": 1}
     rows = [(i, s) for s, n in sizes.items() for i in rng.sample(range(10000), n)] + [(None, "a"), (5, "c"), (5, "c")]
     df = spark.createDataFrame([(i, s, 1, "x") for i, s in rows], "doc_id long, source string, slot int, block string").repartition(7)
-    out = mixing.mix(df, block_rows=4, period=64).collect()
-    by_source = defaultdict(list)
-    for i, s in rows:
-        by_source[s].append(i)
-    names = sorted(by_source, key=lambda s: (s is not None, s or ""))
-    counts = [len(by_source[s]) for s in names]
-    order = walk([-(-n // 4) for n in counts], [n**0.5 for n in counts], 64)
-    slot_of = {(names[s], b): t for t, (s, b) in enumerate(order)}
-    want = []
-    for s in names:
-        for k, i in enumerate(sorted(by_source[s], key=lambda i: (i is not None, i))):
-            want.append((str(s), k // 4, k % 4, slot_of[(s, k // 4)], i))
-    assert sorted((str(r.source), r.block, r.place, r.slot, r.doc_id) for r in out) == sorted(want)
+    for how, size in (({"block_rows": 4}, 4), ({"block_rows": 1, "max_blocks": 110}, 6)):  # 535 rows in 105 blocks at most
+        out = mixing.mix(df, carry=["doc_id", "block"], **how).collect()
+        by_source = defaultdict(list)
+        for i, s in rows:
+            by_source[s].append(i)
+        names = sorted(by_source, key=lambda s: (s is not None, s or ""))
+        counts = [len(by_source[s]) for s in names]
+        order = walk([-(-n // size) for n in counts], [n**0.5 for n in counts])
+        slot_of = {(names[s], b): t for t, (s, b) in enumerate(order)}
+        want = []
+        for s in names:
+            for k, i in enumerate(sorted(by_source[s], key=lambda i: (i is not None, i or 0))):
+                want.append((str(s), k // size, k % size, slot_of[(s, k // size)], str(i)))
+        assert sorted((str(r.source), r.block, r.place, r.slot, str(r.doc_id)) for r in out) == sorted(want)
+        assert all(r.row.doc_id == r.doc_id and r.row.block == "x" for r in out)
 
 
 def test_given_weights_and_unnamed_sources(spark):
     df = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(300)], "doc_id long, source string")
-    out = mixing.mix(df, weights={"a": 3, "b": 1}, block_rows=1, period=8).collect()
+    out = mixing.mix(df, weights={"a": 3, "b": 1}, block_rows=1).collect()
     by_slot = [r.source for r in sorted(out, key=lambda r: r.slot)]
     assert sorted(r.slot for r in out) == list(range(300)) and set(by_slot[200:]) == {"c"}
     assert by_slot[:80].count("b") == 20
     assert mixing.mix(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(df, weights={"a": -1})
-
-
-def by_slot(plan):
-    """Which source each slot takes, from the phases, by the arithmetic of mix()."""
-    got = {}
-    for p in plan:
-        for s, slots in p.slots.items():
-            for j in range(p.hi[s] - p.lo[s]):
-                got[p.offset + j // len(slots) * p.period + slots[j % len(slots)]] = s
-    assert sorted(got) == list(range(len(got)))
-    return [got[t] for t in range(len(got))]
-
-
-def test_exact_multiples_get_their_exact_slots():
-    for n in (10, 50, 200, 500):
-        assert mixing.whole_shares([0.5] + [0.5 / n] * n, 1024)[0] == 512
-    assert mixing.whole_shares([0.001, 0.333, 0.333, 0.333], 1024)[0] == 1
-    assert mixing.whole_shares([512, 256, 128, 64, 32, 16, 8, 8], 1024) == [512, 256, 128, 64, 32, 16, 8, 8]
-
-
-@pytest.mark.parametrize("sources", [2, 20, 200])
-def test_prefixes_keep_to_the_targets_themselves(sources):
-    """Against the weights, not their rounded shares: one block and a quarter off at most, over many former periods."""
-    rng = random.Random(sources)
-    w = [rng.random() ** 2 + 0.02 for _ in range(sources)]
-    total = sum(w)
-    blocks = [int(30000 * x / total * (1 + rng.random())) + 2 for x in w]
-    plan = mixing.phases(blocks, w)
-    order, had = by_slot(plan), [0] * sources
-    assert len(order) == sum(blocks)
-    first = plan[1].offset
-    assert first > 5000
-    for t in range(first):
-        had[order[t]] += 1
-        if t % 97 == 0 or t > first - 100:
-            assert max(abs(h - (t + 1) * x / total) for h, x in zip(had, w)) < 1.25
-
-
-def test_the_longest_period_repeats(monkeypatch):
-    monkeypatch.setattr(mixing, "LONGEST", 2048)
-    blocks = [5000, 900, 40]
-    plan = mixing.phases(blocks, [5, 2, 1])
-    order = by_slot(plan)
-    assert [order.count(s) for s in range(3)] == blocks and plan[0].period == 2048
-    assert mixing.period_for(0) == mixing.PERIOD and mixing.period_for(10**9) == 2048
