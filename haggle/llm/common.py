@@ -1,4 +1,4 @@
-"""What the operators of this package share: reading, staging and link components."""
+"""What the operators of this package share: reading, staging, joins with hot keys and link components."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spaces between words everywhere in this package: blank and \t \n \v \f \r.
 BLANKS = r"\x20\x09-\x0D"
+#: A key is hot if it holds more than this share of the rows, so there are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,24 +22,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where none is set (local tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Under a local master, where none is set, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         folder = "file://" + tempfile.mkdtemp(prefix="haggle-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
     This cuts the lineage and freezes ids that depend on the layout of partitions; the table outlives
-    the executors that wrote it.
+    the executors that wrote it, until clear() or unstage() removes it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove a staged table that nothing will read again."""
+    _written.remove(df.staged_at)
+    _remove(df.sparkSession, df.staged_at)
+
+
+def mark() -> int:
+    """How many staged tables there are, for clear()."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Remove the tables staged since a mark, but for one: for use when the results that read them are written."""
+    stays = keep.staged_at if keep is not None else None
+    for path in _written[since:]:
+        if path != stays:
+            _remove(spark, path)
+    _written[since:] = [p for p in _written[since:] if p == stays]
 
 
 _kept: dict[int, tuple] = {}
@@ -52,11 +87,31 @@ def kept(shared: Broadcast, make: Callable):
     return _kept[id(value)][1]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of few rows, so that whatever is made of a part is small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows and bytes (one row at least), so that whatever is made of a part is small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).get_total_buffer_size() > most_bytes and batch.slice(at, n).nbytes > most_bytes:
+                n = (n + 1) // 2
+            yield batch.slice(at, n)
+            at += n
+
+
+def join_hot(rows: DataFrame, partners: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with partners, which hold each key once at most, however many rows share a key.
+
+    Rows with a hot key meet their partner by broadcast: there are fewer than 1 / HOT_SHARE such keys, whatever the
+    table. The others meet by a sorted join, in which no key then has more than HOT_SHARE of the rows. rows is read three
+    times, so it should be a staged table. Null keys match nothing.
+    """
+    least = rows.count() * HOT_SHARE
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > least) & (F.col("n") > 1)).select(*keys)
+    hot = staged(hot, "hot")
+    few = F.broadcast(partners.join(F.broadcast(hot), keys, "left_semi"))
+    here = rows.join(F.broadcast(hot), keys, "left_semi").join(few, keys, how)
+    return here.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(partners.hint("merge"), keys, how))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -83,6 +138,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = least_neighbour(large)
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = staged(distinct_pairs(small.union(low.select("a", F.col("m").alias("b")))), "links")
+        unstage(now)
         # a forest of stars: no node that hangs on another has nodes of its own, and none hangs on two
         mixed = after.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
         if mixed.isEmpty() and after.select("a").join(after.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():

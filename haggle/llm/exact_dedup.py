@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import join_hot, staged
 
 
 def _named(things: DataFrame, columns: list[str]) -> DataFrame:
@@ -22,7 +22,7 @@ def _block_names_of(occurrences: DataFrame, contents: DataFrame, route) -> DataF
     """occurrences with column block replaced by name; contents: the same blocks alone.
 
     The bytes of a block cross the network once, to be sorted and numbered; rows find their block's name
-    by a 64-bit key. Should two different blocks have one key, the rows with that key are joined on
+    by a 64-bit key, hot keys by broadcast. Should two different blocks have one key, the rows with that key are joined on
     the bytes themselves.
     """
     keyed = occurrences.withColumn("key", route("block"))
@@ -30,7 +30,7 @@ def _block_names_of(occurrences: DataFrame, contents: DataFrame, route) -> DataF
     clashing = names.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     rows = keyed.drop("block")
     if clashing.isEmpty():
-        return rows.join(names, "key").drop("key")
+        return join_hot(staged(rows, "keyed"), names, ["key"]).drop("key")
     clear = rows.join(clashing, "key", "left_anti").join(names, "key").drop("key")
     doubtful = keyed.join(clashing, "key", "left_semi")
     own = _named(doubtful, ["block"]).withColumn("name", -1 - F.col("name"))
@@ -44,7 +44,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest id stays (a null id is smaller than any other). If the same id comes twice with equal texts,
     exactly one of those rows has kept = true. Other columns of docs are not looked at. An empty
     table gives an empty result. Texts may be of any length: a text of n blocks takes log2(n) rounds
-    of naming, and only names, not bytes, take part in them.
+    of naming, and only names, not bytes, take part in them. Groups may be of any size: join_hot() deals them out.
     """
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(
@@ -62,7 +62,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rest = level.where("width > 1")
         if rest.isEmpty():
             break
-        pairs = (
+        pairs = staged(
             rest.groupBy("row_id", F.shiftright("pos", 1).alias("pos"))
             .agg(
                 F.max("doc_id").alias("doc_id"), F.max("width").alias("width"), F.max("sha").alias("sha"),
@@ -70,18 +70,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))).alias("right"),
                 F.max(F.col("pos") % 2).alias("full"),
             )
-            .withColumn("right", F.coalesce("right", F.lit(0)))
+            .withColumn("right", F.coalesce("right", F.lit(0))),
+            "pairs",
         )
         key = ["left", "right", "full"]
-        level = staged(
-            pairs.join(_named(pairs, key), key).select("row_id", "doc_id", "sha", F.shiftright(F.col("width") + 1, 1).alias("width"), "pos", "name"), "names",
-        )
+        named = staged(_named(pairs, key), "pair-names")
+        level = staged(join_hot(pairs, named, key).select("row_id", "doc_id", "sha", F.shiftright(F.col("width") + 1, 1).alias("width"), "pos", "name"), "names")
         depth += 1
 
     ids = finished[0]
     for more in finished[1:]:
         ids = ids.unionByName(more)
     groups = ids.groupBy("depth", "name").agg(F.max(F.struct("doc_id", (-F.col("row_id")).alias("first"))).alias("keep"), F.count("*").alias("group_size"))
-    return ids.join(groups, ["depth", "name"]).select(
+    return join_hot(ids, staged(groups, "groups"), ["depth", "name"]).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("keep.first") == -F.col("row_id")).alias("kept"), F.col("sha").alias("text_sha256"),
     )
