@@ -1,4 +1,5 @@
 import random
+from functools import partial
 
 import numpy as np
 import pytest
@@ -58,6 +59,7 @@ def test_groups_are_those_of_all_pairs(spark, rows):
     out = near.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     got = {r.doc_id: r.component_id for r in out}
     assert len(got) == len(out) and all(got.get(i, i) == root for i, root in want.items())
+    assert {r.component_id for r in out} == {r.doc_id for r in out if r.kept}
 
 
 def test_many_of_them_are_out_of_reach_of_three_bits(rows):
@@ -90,6 +92,9 @@ def test_a_bucket_whose_centre_is_far_from_its_members(spark, monkeypatch):
         docs += [(10 * g + k, " ".join(edited(rng, base, k))) for k in range(3)]
     out = near.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in out} == {i: root for i, root in brute_roots(docs).items()}
+    monkeypatch.setattr(near, "_links", partial(near._links, finer=False))  # there is one band only
+    small = near.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), longest=3).collect()
+    assert {r.doc_id: r.component_id for r in small} == {r.doc_id: r.component_id for r in out}
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near.near_copies(empty).count() == 0
 
@@ -108,3 +113,32 @@ def test_share_of_equal_minima_is_the_similarity():
         h = rng.integers(0, 1 << 63, 120, np.uint64)
         hits.append((near.band_keys(h[:100]) == near.band_keys(h[20:])).mean())
     assert abs(np.mean(hits) - (80 / 120) ** near.ROWS) < 0.03
+
+
+def test_a_large_star_of_near_copies(spark):
+    """Copies of one text, each with one word changed: only the text itself is near to all of them."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base)] + [" ".join(edited(rng, base, 1)) for _ in range(250)] + [" ".join(edited(rng, base, 9)) for _ in range(40)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    want, df = brute_roots(rows), spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for longest in (4096, 60, 12):
+        got = {r.doc_id: r.component_id for r in near.near_copies(df, longest=longest).collect()}
+        assert all(got.get(i, i) == root for i, root in want.items())
+
+
+def test_connecting_links_connect_what_all_links_do():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        sets = [np.unique(rng.integers(0, 30, 25)) for _ in range(rng.integers(1, 30))]
+        labels = rng.integers(0, 6, len(sets)) if rng.random() < 0.5 else np.arange(len(sets))
+
+        def merged(links):
+            out = labels.copy()
+            for i, j in links:
+                out[out == out[j]] = out[i]
+            return [[bool(x == y) for y in out] for x in out]
+
+        all_links = [(i, j) for i in range(len(sets)) for j in range(i) if near.similar(sets[i], sets[j])]
+        assert merged(near.connecting_links(labels, sets)) == merged(all_links)

@@ -74,7 +74,45 @@ def test_positions_give_the_mixture(spark, folder, tmp_path, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(9)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     monkeypatch.setattr(pipeline, "STAGES", [x for x in pipeline.STAGES if x[0] in ("mixing sources", "sentencepiece")])
+    assert pipeline.POSITION in pipeline.to_pieces(spark, docs, "").columns
     want = [r.doc_id for r in sorted(mix(docs).collect(), key=lambda r: (r.slot, r.place))]
     out = pipeline.run(spark, str(tmp_path)).collect()
     assert len({r.position for r in out}) == len(rows)
     assert [r.doc_id for r in sorted(out, key=lambda r: r.position)] == want
+
+
+def survivors(spark, stage, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, text_sha256 string").repartition(3)
+    out = stage(spark, docs, "")
+    assert out.columns == docs.columns
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+
+LONG = " ".join(f"w{k}" for k in range(100))
+
+
+@pytest.mark.parametrize("stage", ["drop_copies", "drop_near_copies"])
+def test_rows_that_share_ids_or_have_none(spark, stage):
+    """One row of each text stays, also where ids repeat or are null; a text that has no copy always stays."""
+    texts = {7: ["a b", "unique one", "a b"], 9: ["a b"], None: ["a b", "only here", "only here", LONG], 11: ["x y", "x y"], 12: [None, ""], 13: [LONG + " more", LONG + " more"]}
+    rows = [(i, t, "en", "k") for i, ts in texts.items() for t in ts]
+    got = survivors(spark, getattr(pipeline, stage), rows)
+    kept = Counter(t or "" for _, t in got)
+    single = {"a b", "unique one", "only here", "x y", ""}
+    assert all(kept[t] == 1 for t in single)
+    assert kept[LONG] + kept[LONG + " more"] == (2 if stage == "drop_copies" else 1)
+    assert ((9, "a b") in got) == (stage == "drop_copies") and (7, "unique one") in got
+
+
+@pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
+def test_empty_tables(spark, tmp_path, name):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert dict(pipeline.STAGES)[name](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_mixing_keeps_every_row(spark):
+    rows = [(i % 40 if i % 7 else None, f"t{i % 90}", "en", "ab"[i % 2] if i % 5 else None) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = pipeline.mix_sources(spark, docs, "")
+    assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
