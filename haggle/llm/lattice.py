@@ -16,6 +16,18 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 
 
+def log_scores(scores: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """Scores of a model file as natural logs of probabilities.
+
+    Those of a unigram model are logs already. Those of a BPE model are places in the order of its merges, whole numbers from 0 down;
+    piece number r then counts as 1 / (1 + r), over the sum of these for all usable pieces: Zipf's law.
+    """
+    if not (scores == np.round(scores)).all():
+        return scores
+    weight = 1 / (1 + scores[usable].max(initial=0) - scores)
+    return np.log(weight / weight[usable].sum())
+
+
 @dataclass
 class DoubleArray:
     """node s has the child over byte b at t = base[s] + b + 1 if check[t] == s; value[t] is a piece's id or -1."""
@@ -73,6 +85,7 @@ class Vocabulary:
     surface: list[bytes]
     byte_ids: np.ndarray
     unknown_score: float
+    longest: int  # bytes of the longest piece
     #: Whether a cut before a marker that follows another character loses nothing, and the same for newlines.
     splits_words: bool = field(default=True)
     splits_lines: bool = field(default=True)
@@ -87,7 +100,7 @@ class Vocabulary:
         shown = surface or [(p or "").replace(MARK, " ").encode() for p in pieces]
         for b, i in enumerate(byte_ids):
             shown[i] = bytes([b])
-        return cls(DoubleArray.build(known), np.array(scores, np.float64), shown, np.array(byte_ids, np.int32), lowest - UNKNOWN_PENALTY, not across, not any("\n" in p for p in own))
+        return cls(DoubleArray.build(known), np.array(scores, np.float64), shown, np.array(byte_ids, np.int32), lowest - UNKNOWN_PENALTY, max(map(len, known), default=1), not across, not any("\n" in p for p in own))
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -97,7 +110,8 @@ class Vocabulary:
         ids = range(model.vocab_size())
         special = [model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in ids]
         byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        return cls.of([None if special[i] else model.id_to_piece(i) for i in ids], [model.get_score(i) for i in ids], byte_ids)
+        scores = log_scores(np.array([model.get_score(i) for i in ids]), ~np.array(special))
+        return cls.of([None if special[i] else model.id_to_piece(i) for i in ids], scores.tolist(), byte_ids)
 
 
 @dataclass
@@ -184,16 +198,21 @@ class Lattice:
         edges = np.concatenate(taken) if taken else np.zeros(0, np.int64)
         return edges[np.argsort(self.src[edges], kind="stable")], top[self.end]
 
-    def forward(self, weight: np.ndarray) -> np.ndarray:
-        """For every node the log of the summed weight (natural logs) of all paths from its word's begin."""
-        alpha = np.full(self.n_nodes, -np.inf)
-        alpha[self.begin] = 0.0
+    def forward(self, weight: np.ndarray, alpha: np.ndarray | None = None) -> np.ndarray:
+        """For every node the log of the summed weight (natural logs) of all paths from its word's begin.
+
+        alpha: what other paths have brought to the nodes so far.
+        """
+        if alpha is None:
+            alpha = np.full(self.n_nodes, -np.inf)
+            alpha[self.begin] = 0.0
         for a, b, runs in self._steps(self.tgt):
             reach = alpha[self.src[a:b]] + weight[a:b]
             most = np.maximum.reduceat(reach, runs)
             most = np.where(np.isfinite(most), most, 0.0)
+            to = self.tgt[a:b][runs]
             with np.errstate(divide="ignore"):
-                alpha[self.tgt[a:b][runs]] = most + np.log(np.add.reduceat(np.exp(reach - np.repeat(most, np.diff(np.r_[runs, b - a]))), runs))
+                alpha[to] = np.logaddexp(alpha[to], most + np.log(np.add.reduceat(np.exp(reach - np.repeat(most, np.diff(np.r_[runs, b - a]))), runs)))
         return alpha
 
     def posterior(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +233,43 @@ class Lattice:
         return np.exp(alpha[self.src] + weight + beta[self.tgt] - whole[self.word]), whole
 
 
+#: Words of more bytes go through the lattice in parts.
+LONG = 1 << 16
+
+
+def parts_of(vocabulary: Vocabulary, word: bytes, part: int = 1 << 14):
+    """The lattice of a long word in parts: (offset, lattice), each with the edges that begin in a part; memory grows with the part."""
+    a = 0
+    while a < len(word):
+        b = min(len(word), a + part)
+        while b < len(word) and word[b] & 0xC0 == 0x80:
+            b += 1
+        end = min(len(word), b + vocabulary.longest)
+        while end < len(word) and word[end] & 0xC0 == 0x80:
+            end += 1
+        whole = Lattice.over(vocabulary.trie, [word[a:end]])
+        own = whole.src < b - a
+        yield a, Lattice(whole.buffer, whole.begin, whole.end, whole.src[own], whole.tgt[own], whole.piece[own], whole.word[own], whole.n_nodes)
+        a = b
+
+
+def best_of_long(vocabulary: Vocabulary, word: bytes) -> list[tuple[int, int, int]]:
+    """(piece, begin, end) along the heaviest path of a long word; ties as in Lattice.best."""
+    top = np.full(len(word) + 1, -np.inf)
+    top[0] = 0.0
+    source, taken = np.zeros(len(word) + 1, np.int64), np.zeros(len(word) + 1, np.int64)
+    for a, lattice in parts_of(vocabulary, word):
+        weight = np.where(lattice.piece < 0, vocabulary.unknown_score, vocabulary.scores[lattice.piece])
+        for i, j, piece, w in zip((lattice.src + a).tolist(), (lattice.tgt + a).tolist(), lattice.piece.tolist(), weight.tolist(), strict=True):
+            if top[i] + w > top[j]:
+                top[j], source[j], taken[j] = top[i] + w, i, piece
+    out, at = [], len(word)
+    while at:
+        out.append((int(taken[at]), int(source[at]), at))
+        at = int(source[at])
+    return out[::-1]
+
+
 def in_batches(words: list[bytes], most_bytes: int = 1 << 18):
     """Ranges of words, shorter first, of about most_bytes bytes at a time: (places, words)."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))

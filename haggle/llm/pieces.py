@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import kept, slices
-from .lattice import MARK, Lattice, Vocabulary, in_batches
+from .lattice import LONG, MARK, Lattice, Vocabulary, best_of_long, in_batches
 
 #: Part of the environment, not of this repository; any SentencePiece model file with byte pieces will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words that a worker remembers at most (a little more until it starts anew).
-_CACHED = 100_000
+#: Words of up to so many bytes are remembered by a worker, and of these so many at most (a little more until it starts anew).
+_SHORT, _CACHED = 64, 100_000
 
 
 class Encoder:
@@ -45,7 +45,13 @@ class Encoder:
         """Piece ids of the words in some order; where in them each word begins, and how many it has."""
         v, done = self.vocabulary, 0
         begin, count, ids = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [np.zeros(0, np.int32)]
-        for places, part in in_batches(words):
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        for i in set(range(len(words))).difference(short):
+            found = [p for piece, a, b in best_of_long(v, words[i]) for p in ([piece] if piece >= 0 else v.byte_ids[np.frombuffer(words[i][a:b], np.uint8)].tolist())]
+            begin[i], count[i], done = done, len(found), done + len(found)
+            ids.append(np.array(found, np.int32))
+        for places, part in in_batches([words[i] for i in short]):
+            places = np.array(short)[places]
             lattice = Lattice.over(v.trie, part)
             weight = np.where(lattice.piece < 0, v.unknown_score, v.scores[lattice.piece])
             edges, _ = lattice.best(weight)
@@ -68,21 +74,29 @@ class Encoder:
         units = [self.units(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.place) > self.cached:
             self._forget()
-        fresh = list(set().union(*units).difference(self.place))
+        fresh = sorted(set().union(*units).difference(self.place), key=len)
+        known, flat, begin, count = len(self.place), self.flat, self.begin, self.count
         if fresh:
-            ids, begin, count = self.cut([u.encode() for u in fresh])
-            n = len(self.place)
-            self.place.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-            self.begin = np.concatenate([self.begin, len(self.flat) + begin])
-            self.count = np.concatenate([self.count, count])
-            self.flat = np.concatenate([self.flat, ids])
+            ids, start, n = self.cut([u.encode() for u in fresh])
+            begin, count, flat = np.concatenate([begin, len(flat) + start]), np.concatenate([count, n]), np.concatenate([flat, ids])
+        now = dict(zip(fresh, range(known, known + len(fresh)), strict=True))
         per_text = np.fromiter(map(len, units), np.int64, len(units))
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(units)), np.int64, int(per_text.sum()))
-        begin, times = self.begin[at], self.count[at]
+        old = self.place.get
+        at = np.fromiter((now[u] if (k := old(u)) is None else k for u in chain.from_iterable(units)), np.int64, int(per_text.sum()))
+        begin_at, times = begin[at], count[at]
         total = np.concatenate([[0], np.cumsum(times)])
-        flat = self.flat[np.arange(total[-1]) + np.repeat(begin - total[:-1], times)]
+        out = flat[np.arange(total[-1]) + np.repeat(begin_at - total[:-1], times)]
+        # short words stay: they come first in fresh, and so do their ids if no long one is among them
+        few = sum(len(u) <= _SHORT for u in fresh)
+        if few == len(fresh):
+            self.place.update(now)
+            self.begin, self.count, self.flat = begin, count, flat
+        elif few:
+            ids, start, n = self.cut([u.encode() for u in fresh[:few]])
+            self.place.update(zip(fresh[:few], range(known, known + few), strict=True))
+            self.begin, self.count, self.flat = np.concatenate([self.begin, len(self.flat) + start]), np.concatenate([self.count, n]), np.concatenate([self.flat, ids])
         ends = total[np.concatenate([[0], np.cumsum(per_text)])]
-        return flat, np.diff(ends)
+        return out, np.diff(ends)
 
 
 def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
@@ -100,7 +114,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
     """docs with a column of piece ids (array of int); a column of that name is replaced.
 
     A null text has null ids, an empty text has none. Ids depend on the text alone. Memory grows with
-    the longest run of characters without a blank or newline, not with the length of a text. With decoded_col, what decode()
+    some megabytes of text at a time, and slowly with the longest run of characters without a blank or newline. With decoded_col, what decode()
     makes of the ids comes along in the same pass.
     """
     shared = _shared(docs, model)

@@ -5,6 +5,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
+from haggle.llm import lattice
 from haggle.llm import lm_score as lm
 from haggle.llm.lattice import MARK, Vocabulary
 
@@ -34,11 +35,69 @@ def test_counts_and_base_score_whatever_the_head(spark, head):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == brute(rows())
     assert all(r.score < 0 for r in out)
     by_text = {}
-    for r, in zip(out):
-        by_text.setdefault((r.n_tokens, round(r.base_score, 6)), set()).add(round(r.score, 6))
+    for r in out:
+        by_text.setdefault((r.n_tokens, round(r.base_score, 6), r.held_out), set()).add(round(r.score, 6))
     assert all(len(s) == 1 for s in by_text.values())
 
 
+def brute_scores(data):
+    """Scores from the definition: all sentences and words of all rows with plain dictionaries; words by the fitted speller."""
+    learns = [d is None or crc32(str(d).encode()) % 5 != 1 for d, _ in data]
+    texts = [lm.sentences((t or "").encode()) for _, t in data]
+    words = Counter(w for ok, t in zip(learns, texts) if ok for s in t for w in s)
+    sents = Counter(b" ".join(s) for ok, t in zip(learns, texts) if ok for s in t if len(s) >= lm.LEAST)
+    n, n_s, ends = sum(words.values()), sum(sents.values()), sum(learns)
+
+    def off(c):
+        once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
+        return (once + 1) / (once + 2 * twice + 2)
+
+    vocabulary = Vocabulary.load(lm.MODEL)
+    model = lm.SpellingModel.of(vocabulary)
+    for _ in range(lm.ROUNDS):
+        model = lm.SpellingModel.of(vocabulary, model.expected(sorted(words), np.ones(len(words))))
+    on, end = (n + 0.5) / (n + ends + 1), (ends + 0.5) / (n + ends + 1)
+    left, left_s = (off(words) * len(words) + 1) / (n + 1), (off(sents) * len(sents) + 1) / (n_s + 1)
+    every = sorted({w for t in texts for s in t for w in s})
+    p = {w: math.log(on * (max(words[w] - off(words), 0) / (n + 1) + left * math.exp(x))) for w, x in zip(every, model.log_probs(every))}
+    out = []
+    for (d, _), ok, t in zip(data, learns, texts):
+        own = Counter(b" ".join(s) for s in t) if ok else Counter()
+        score = math.log(end)
+        for s in t:
+            spelt, key = math.log(left_s) + sum(p[w] for w in s), b" ".join(s)
+            others = sents[key] - own[key] if len(s) >= lm.LEAST else 0
+            score += np.logaddexp(spelt, math.log(on * (others - off(sents)) / (n_s + 1))) if others > 0 else spelt
+        out.append((str(d), score / math.log(10)))
+    return sorted(out)
+
+
+MORE = ["One two three four. Five six seven!", "One two three four. Other words here? And a last line\nOne two three four.", "one two\nOne two three four.", "Five six seven! x y", "a b. c d e f. c d e f. c d e f. g h i"]
+
+
+@pytest.mark.parametrize("head", [0, 6, 1000])
+def test_scores_by_the_definition_whatever_the_head(spark, head):
+    data = [(i, (TEXTS + MORE)[i % 13]) for i in range(45)] + [(None, MORE[0]), (3, MORE[4])]
+    out = lm.lm_score(spark.createDataFrame(data, "doc_id long, text string").repartition(4), head=head).collect()
+    got, want = sorted((str(r.doc_id), r.score) for r in out), brute_scores(data)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-6)
+
+
+def test_sentences_hold_all_words_of_a_text():
+    text = b"A b. C d!? e.f g.\n\n h\t. i\x0bj.\x0ck"
+    assert sum(lm.sentences(text), []) == text.lower().split() and len(lm.sentences(text)) == 6
+    assert lm.sentences(b"") == lm.sentences(b" \n ") == []
+
+
+def test_long_words_in_parts(monkeypatch):
+    model, words = lm.SpellingModel.of(Vocabulary.load(lm.MODEL)), [b"abc" * 900, "éx漢".encode() * 400, b"q"]
+    want = model.log_probs(words)
+    monkeypatch.setattr(lm, "LONG", 100)
+    monkeypatch.setattr(lm, "parts_of", lambda v, w: lattice.parts_of(v, w, 50))
+    assert model.log_probs(words) == pytest.approx(want, rel=1e-9)
+
+
 def test_empty_table(spark):
     assert lm.lm_score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

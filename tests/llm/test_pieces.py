@@ -3,8 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from haggle.llm import pieces
-from haggle.llm.lattice import MARK, Lattice, Vocabulary
+from haggle.llm import lattice, pieces
+from haggle.llm.lattice import MARK, Lattice, Vocabulary, log_scores
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,7 @@ def test_best_cut_has_the_best_score_and_decodes_to_the_text(vocabulary):
 
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     usable = [i for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
-    known = {model.id_to_piece(i): model.get_score(i) for i in usable}
+    known = {model.id_to_piece(i): vocabulary.scores[i] for i in usable}
     rng = random.Random(1)
     texts = TEXTS + ["".join(rng.choice("abcthe  éñ,.\nß漢😀") for _ in range(rng.randint(1, 60))) for _ in range(150)]
     encoder = pieces.Encoder(vocabulary, cached=20)
@@ -48,13 +48,53 @@ def test_best_cut_has_the_best_score_and_decodes_to_the_text(vocabulary):
         total, run = 0.0, b""
         for i in ids:
             if i in usable_set(usable):
-                total += model.get_score(i)
+                total += vocabulary.scores[i]
             else:
                 run += vocabulary.surface[i]
         total += len(run.decode()) * vocabulary.unknown_score
         assert total == pytest.approx(brute_best(vocabulary, known, text), rel=1e-12, abs=1e-6)
 
 
+def test_ranks_count_as_logs_by_zipfs_law():
+    scores = np.array([0.0, 0.0, -1.0, -2.0, -7.0])
+    usable = np.array([False, True, True, True, True])
+    p = np.exp(log_scores(scores, usable)[usable])
+    assert p.sum() == pytest.approx(1) and p[0] / p[3] == pytest.approx(8)
+    assert (log_scores(scores - 0.5, usable) == scores - 0.5).all()
+
+
+def test_long_words_in_parts(vocabulary):
+    rng = random.Random(2)
+    word = "".join(rng.choice(["ing", "the", "é", "漢", "x", "Zq", "ation", "🙂", "\t"]) for _ in range(1500))
+    encoder = pieces.Encoder(vocabulary)
+    want = encoder.encode([word])[0].tolist()
+    got = []
+    for piece, a, b in lattice.best_of_long(vocabulary, (MARK + word).encode()):
+        got += [piece] if piece >= 0 else vocabulary.byte_ids[np.frombuffer((MARK + word).encode()[a:b], np.uint8)].tolist()
+    assert got == want
+    parts = [x for x in lattice.parts_of(vocabulary, word.encode(), 64)]
+    whole = Lattice.over(vocabulary.trie, [word.encode()])
+    assert len(parts) > 20 and sum(len(x.src) for _, x in parts) == len(whole.src)
+    long = word * 40
+    flat, counts = encoder.encode(["a b", long, "", "a b"])
+    assert pieces.decode_ids(vocabulary, flat[counts[0] : counts[0] + counts[1]].tolist()) == long and len(encoder.place) < 10
+
+
+def test_fewer_pieces_than_by_ranks(vocabulary):
+    import sentencepiece
+
+    model, text = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), "The quick brown fox jumps over internationalization committees"
+    assert len(pieces.Encoder(vocabulary).encode([text])[0]) <= 1.2 * len(model.encode(text))
+
+
+def test_texts_without_blanks_are_not_remembered(vocabulary):
+    rng = random.Random(3)
+    encoder = pieces.Encoder(vocabulary)
+    for _ in range(4):
+        encoder.encode(["".join(rng.choice("abcdefgh") for _ in range(2000)) for _ in range(50)] + ["short one"])
+    assert len(encoder.place) == 2 and len(encoder.flat) < 20
+
+
 def usable_set(usable, kept={}):
     return kept.setdefault(len(usable), set(usable))
 
@@ -63,21 +103,21 @@ def test_forward_sum_and_posterior_against_enumeration():
     pieces_ = ["a", "b", "ab", "ba", "abc", "c", "bc"]
     v = Vocabulary.of(pieces_, [-1.0, -2.0, -1.5, -2.5, -3.0, -1.0, -0.5], [0] * 256, [p.encode() for p in pieces_])
     words = [b"abcab", b"c", b"", b"abcbacab"]
-    lattice = Lattice.over(v.trie, words)
-    weight = v.scores[lattice.piece]
+    all_ways = Lattice.over(v.trie, words)
+    weight = v.scores[all_ways.piece]
 
     def cuts(w):
         if not w:
             return [[]]
         return [[p, *rest] for p in pieces_ if w.startswith(p.encode()) for rest in cuts(w[len(p) :])]
 
-    share, whole = lattice.posterior(weight)
+    share, whole = all_ways.posterior(weight)
     for k, w in enumerate(words):
         ways = [np.exp(sum(v.scores[pieces_.index(p)] for p in c)) for c in cuts(w)]
         assert whole[k] == pytest.approx(np.log(sum(ways)))
         for p in pieces_:
             expected = sum(x * c.count(p) for x, c in zip(ways, cuts(w))) / sum(ways)
-            assert share[(lattice.word == k) & (lattice.piece == pieces_.index(p))].sum() == pytest.approx(expected)
+            assert share[(all_ways.word == k) & (all_ways.piece == pieces_.index(p))].sum() == pytest.approx(expected)
 
 
 def test_encode_and_decode_tables(spark):
