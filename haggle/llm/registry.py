@@ -44,7 +44,7 @@ FROM keyed l LEFT JOIN common USING (k) GROUP BY l.doc_id
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents")).select("doc_id", "license", "score", "n_units")
+    return licenses.license_scan(table(spark, sf_dir, "documents")).select("doc_id", "license", "score", "n_matches")
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
