@@ -1,6 +1,6 @@
 """Toxicity of texts by a small bidirectional gated recurrent network with attention pooling.
 
-A word's input is its own vector beside the mean of the vectors of its character trigrams. A network of gated
+A word's input is the sum of its own vector and those of its first characters, beside the mean of the vectors of its character trigrams. A network of gated
 recurrent units reads a window of words in both directions, attention pools its states, and a logistic
 unit scores the window. A text is scored over all overlapping windows; its score is that of the worst window.
 Everything is trained here, in numpy, on a bounded sample of labelled rows.
@@ -24,10 +24,15 @@ from .common import kept, slices
 WINDOW, STRIDE = 64, 24
 WORD_DIM, CHAR_DIM, HIDDEN = 6, 10, 8
 CHAR_BUCKETS = 8192
-#: Labelled rows that the network is trained on at most; a larger set is sampled evenly by a hash of the id.
-TRAINING_ROWS = 2000
-#: Words that a worker remembers at most (a little more until it starts anew).
-_CACHED = 100_000
+#: Bytes of the beginnings of a word that have a vector beside its own.
+BEGINNINGS = (4, 6)
+#: Labelled rows that the network is trained on at most; a larger set is sampled evenly by a hash of the id. Their texts have
+#: TRAINING_CHARS characters at most, so that the sample is bounded in bytes too; longer ones teach nothing.
+TRAINING_ROWS, TRAINING_CHARS = 2000, 200_000
+#: Windows in a step of training.
+BATCH = 64
+#: Words of up to so many bytes are remembered by a worker, and of these so many at most (a little more until it starts anew).
+_SHORT, _CACHED = 64, 100_000
 _STRIP = b".,;:!?\"'()[]{}<>*#%&$|-_=+/\\~^`@"
 
 
@@ -45,6 +50,11 @@ def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (code[inside[: len(code)]] % CHAR_BUCKETS).astype(np.int64), size - 2
 
 
+def named(word: bytes) -> list[bytes]:
+    """What may have a vector of its own: the word and its beginnings."""
+    return [word, *(b"^" + word[:n] for n in BEGINNINGS)]
+
+
 def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").split()
 
@@ -57,7 +67,7 @@ def window_starts(n: int) -> list[int]:
 
 @dataclass
 class Network:
-    """Parameters by name; vocabulary: training words with a vector of their own."""
+    """Parameters by name; vocabulary: training words, and beginnings of words after a ^, with a vector of their own."""
 
     vocabulary: dict[bytes, int]
     p: dict[str, np.ndarray] = field(default_factory=dict)
@@ -78,15 +88,15 @@ class Network:
         return cls(vocabulary, p)
 
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of distinct words: the ids of their own vectors, and their trigrams one after another with counts."""
+        """Of distinct words: the ids of their own vectors and of their beginnings, and their trigrams one after another with counts."""
         bare = [w.strip(_STRIP) for w in words]
-        own = np.fromiter((self.vocabulary.get(b, 0) for b in bare), np.int64, len(bare))
+        own = np.array([[self.vocabulary.get(x, 0) for x in named(b)] for b in bare], np.int64).reshape(-1, 1 + len(BEGINNINGS))
         return own, *trigrams(bare)
 
     def vectors(self, own: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         begin = np.cumsum(counts) - counts
         chars = np.add.reduceat(self.p["char"][grams], begin, axis=0) / counts[:, None] if len(counts) else np.zeros((0, CHAR_DIM), np.float32)
-        return np.concatenate([self.p["word"][own], chars.astype(np.float32)], axis=1)
+        return np.concatenate([self.p["word"][own].sum(axis=1), chars.astype(np.float32)], axis=1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -197,7 +207,7 @@ def loss_and_gradients(net: Network, own, grams, counts, ids, mask, target, weig
         g[f"W{side}"] = x.T @ d_proj
         d_x += d_proj @ p[f"W{side}"].T
     g["word"] = np.zeros_like(p["word"])
-    np.add.at(g["word"], own, d_x[:, :WORD_DIM])
+    np.add.at(g["word"], own, d_x[:, None, :WORD_DIM])
     g["word"][0] = 0
     share = np.repeat(d_x[:, WORD_DIM:] / counts[:, None], counts, axis=0)
     g["char"] = np.stack([np.bincount(grams, share[:, k], CHAR_BUCKETS) for k in range(CHAR_DIM)], axis=1).astype(np.float32)
@@ -213,19 +223,20 @@ def _batch(windows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return ids, mask
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 5, least_steps: int = 500, seed: int = 7) -> Network:
+def train(texts: list[str], labels: list[int], epochs: int = 5, least_steps: int = 500, seed: int = 7, by_odds: bool = True) -> Network:
     """A network fitted to texts with labels 0 and 1.
 
     The label is that of the text, not of a window, so now and then all windows are scored anew and a
     toxic text learns from its worst window, a clean one from all of a sample and its worst. A first round
     picks the windows by the log odds of their words. Few texts are gone over more often, for least_steps
-    steps or more. Without texts of both labels, the network keeps to its prior.
+    steps or more. Without texts of both labels, the network keeps to its prior. by_odds: whether log odds pick the
+    first windows and start the vectors of trigrams; without it both are random.
     """
     rng = np.random.default_rng(seed)
     split = [words_of(t) for t in texts]
     y = np.array(labels, np.float32)
     bare = [[w.strip(_STRIP) for w in ws] for ws in split]
-    seen = Counter(chain.from_iterable(map(set, bare)))
+    seen = Counter(chain.from_iterable({x for w in set(ws) for x in named(w)} for ws in bare))
     vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, c in seen.items() if c >= 3))}
     net = Network.fresh(vocabulary, seed)
     if not len(y) or y.min() == y.max():
@@ -254,11 +265,14 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, least_steps: int
     odds = np.log(hits[1] / totals[1]) - np.log(hits[0] / totals[0])
     word_odds = np.array([np.sort(odds[g])[-2:].mean() for g in grams_of])
     rank = np.array([word_odds[w].max() if w else -9.0 for w in windows])
-    net.p["char"][:, 0] = np.clip(odds, -2, 4)
+    if by_odds:
+        net.p["char"][:, 0] = np.clip(odds, -2, 4)
+    else:
+        rank = rng.random(len(windows))
 
     adam = _Adam(net.p, 0.01)
     share = y.mean()
-    size = 128 if len(texts) >= 1500 else 32
+    size = BATCH
     epochs = max(epochs, -(-least_steps * size // (2 * len(texts))))
     for epoch in range(epochs):
         if epoch in (1, 3, epochs // 2):
@@ -301,22 +315,29 @@ class Scorer:
         self.f = np.zeros((0, 3 * HIDDEN), np.float32)
         self.b = np.zeros((0, 3 * HIDDEN), np.float32)
 
-    def _ids(self, split: list[list[bytes]]) -> np.ndarray:
+    def _ids(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of all words one after another, and the tables of input projections that these are rows of."""
         if len(self.place) > self.cached:
             self._forget()
-        fresh = list(set().union(*split).difference(self.place))
+        fresh = sorted(set().union(*split).difference(self.place), key=len)
+        n, f, b = len(self.place), self.f, self.b
         if fresh:
             x = self.net.vectors(*self.net.inputs(fresh))
-            n = len(self.place)
-            self.place.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-            self.f = np.concatenate([self.f, x @ self.net.p["Wf"] + self.net.p["cf"]])
-            self.b = np.concatenate([self.b, x @ self.net.p["Wb"] + self.net.p["cb"]])
-        return np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int32, sum(map(len, split)))
+            f = np.concatenate([f, x @ self.net.p["Wf"] + self.net.p["cf"]])
+            b = np.concatenate([b, x @ self.net.p["Wb"] + self.net.p["cb"]])
+        now, old = dict(zip(fresh, range(n, n + len(fresh)), strict=True)), self.place.get
+        ids = np.fromiter((now[w] if (k := old(w)) is None else k for w in chain.from_iterable(split)), np.int32, sum(map(len, split)))
+        few = sum(len(w) <= _SHORT for w in fresh)  # these come first
+        self.place.update(zip(fresh[:few], range(n, n + few), strict=True))
+        self.f, self.b = (f, b) if few == len(fresh) else (f[: n + few].copy(), b[: n + few].copy())
+        return ids, f, b
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """The largest window probability of each text."""
         split = [words_of(t) for t in texts]
-        ids = self._ids(split)
+        ids, table_f, table_b = self._ids(split)
+        if not len(table_f):
+            table_f = table_b = np.zeros((1, 3 * HIDDEN), np.float32)
         lens = np.fromiter(map(len, split), np.int64, len(split))
         offs = np.cumsum(lens) - lens
         last = np.maximum(0, lens - WINDOW)
@@ -333,7 +354,6 @@ class Scorer:
             inside = step[:longest] < size[w]
             at = np.where(inside, (offs[text[w]] + start[w]) + step[:longest], 0)
             rows = ids[at] if len(ids) else np.zeros(at.shape, np.int32)
-            table_f, table_b = (self.f, self.b) if len(self.f) else (np.zeros((1, 3 * HIDDEN), np.float32),) * 2
             logit = score_windows(self.net, table_f, table_b, rows, inside.astype(np.float32))
             np.maximum.at(best, text[w], logit)
         return _sigmoid(np.clip(best, -30, 30))
@@ -347,12 +367,13 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> Network:
     """A network trained on labelled documents outside the held-out fifth.
 
-    At most training_rows of them, those with the smallest hash of their id, are brought to the driver. Rows
-    without an id, label or text teach nothing; of repeated rows all count.
+    At most training_rows of them, those with the smallest hash of their id, of TRAINING_CHARS characters at most, are brought to the
+    driver. Rows without an id, label or text teach nothing; repeated rows all count, within that number.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", "toxic")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(training_rows)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(known), "doc_id").collect()
+    given = docs.where(F.length("text") <= TRAINING_CHARS).select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = given.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(training_rows).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text, r.toxic))
     return train([r.text for r in rows], [int(r.toxic) for r in rows])
 

@@ -1,4 +1,6 @@
+import os
 import random
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -107,3 +109,62 @@ def test_a_passage_scores_alike_at_every_offset():
     words = text(300, []).split()
     scores = tox.Scorer(net).scores([" ".join([*words[:at], "alpha", *words[at : at + 38], "omega", *words[at + 38 :]]) for at in range(0, 260)])
     assert (scores >= 0.5).mean() > 0.97
+
+
+def auc(scores, labels):
+    scores, labels = np.asarray(scores), np.asarray(labels)
+    better = (scores[labels == 1][:, None] > scores[labels == 0]).mean() + 0.5 * (scores[labels == 1][:, None] == scores[labels == 0]).mean()
+    return float(better)
+
+
+def word_odds(texts, labels):
+    """Scores of texts by the largest log odds of a single word: what a network must beat."""
+    hits, n = (Counter(), Counter()), Counter(labels)
+    for t, y in zip(texts, labels):
+        hits[y].update(set(tox.words_of(t)))
+    return lambda t: max([np.log((hits[1][w] + 1) / (n[1] + 2)) - np.log((hits[0][w] + 1) / (n[0] + 2)) for w in tox.words_of(t)], default=-9.0)
+
+
+def test_order_and_unseen_words_which_single_words_cannot_tell():
+    """Toxic: 'you' before a word that begins with 'gru', most of them never seen before. Without help from log odds."""
+    rng = random.Random(7)
+
+    def made(n):
+        rows = []
+        for k in range(n):
+            words = [rng.choice("the a of on it we see go by red sun you".split()) for _ in range(rng.randint(20, 60))]
+            odd = "gru" + "".join(rng.choice("bdfklmp") + rng.choice("aeiou") for _ in range(3))
+            at = rng.randrange(1, len(words))
+            words = [w if w != "you" or abs(i - at) > 2 else "it" for i, w in enumerate(words)]
+            words[at] = odd
+            words[at - 1] = "you" if k % 2 else rng.choice(["see", "the", "red"])
+            rows.append((" ".join(words), k % 2))
+        return map(list, zip(*rows))
+
+    texts, labels = made(700)
+    seen_not, truth = made(300)
+    net = tox.train(texts, labels, epochs=14, by_odds=False)
+    ours, theirs = auc(tox.Scorer(net).scores(seen_not), truth), auc(list(map(word_odds(texts, labels), seen_not)), truth)
+    assert ours > 0.9 and ours > theirs + 0.2, (ours, theirs)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="tables are not here")
+def test_held_out_rows_of_the_given_tables(spark):
+    """On labelled rows that the query did not learn from, the network beats the largest log odds of a word."""
+    at = os.environ.get("TEST_TOXIC_DIR", "/root/testdata/sf0.1")
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.select("doc_id", "text").join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id").collect()
+    learn = [r for r in rows if crc32(str(r.doc_id).encode()) % 5]
+    test = [r for r in rows if not crc32(str(r.doc_id).encode()) % 5]
+    net, truth = tox.fit(docs, labels), [r.toxic for r in test]
+    ours = tox.Scorer(net).scores([r.text or "" for r in test])
+    theirs = auc(list(map(word_odds([r.text or "" for r in learn[:2000]], [r.toxic for r in learn[:2000]]), [r.text or "" for r in test])), truth)
+    print("network", auc(ours, truth), ((ours >= 0.5) == np.array(truth)).mean(), "words", theirs)
+    assert auc(ours, truth) > theirs and ((ours >= 0.5) == np.array(truth)).mean() > 0.96
+
+
+def test_long_words_are_not_remembered(net):
+    scorer, rng = tox.Scorer(net), random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(3000)) for _ in range(30)] + ["short words here wretch"]
+    one = scorer.scores(texts)
+    assert len(scorer.place) == 4 and len(scorer.f) == 4 and scorer.scores(texts[-1:])[0] == pytest.approx(one[-1], abs=1e-5)
