@@ -26,15 +26,24 @@ class Node:
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
-    def walk(self) -> Iterator[Node]:
-        for child in self.children:
-            if isinstance(child, Node):
+    def below(self) -> Iterator[Node | str]:
+        """All elements and texts below, in order of the page, however deep."""
+        waiting = [iter(self.children)]
+        while waiting:
+            for child in waiting[-1]:
                 yield child
-                yield from child.walk()
+                if isinstance(child, Node):
+                    waiting.append(iter(child.children))
+                    break
+            else:
+                waiting.pop()
+
+    def walk(self) -> Iterator[Node]:
+        return (x for x in self.below() if isinstance(x, Node))
 
     def text(self) -> str:
         """All text below."""
-        return "".join(c.text() if isinstance(c, Node) else c for c in self.children)
+        return "".join(x for x in self.below() if isinstance(x, str))
 
     def own_text(self, k: int = 0) -> str | None:
         """The k-th text directly below."""

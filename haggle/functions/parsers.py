@@ -12,17 +12,25 @@ from pyspark.sql import functions as F
 HANGUL = "ㄱ-ㅎ가-힣"
 FREE, WON_SIGN = "무료", "원"
 WON, USD = "WON", "USD"
-#: A number with its unit, right before a slash (nothing but signs between) or at the end.
-AMOUNT_BEFORE_SLASH = rf"(?<!\d)(?:\d{{1,3}}(?:,\d{{3}})+|\d+)[{HANGUL}]*(?=[^0-9{HANGUL}]*/|$)"
-#: A number with the currency sign right after it.
-AMOUNT_WITH_SIGN = rf"(?<!\d)(?:\d{{1,3}}(?:,\d{{3}})*|\d+)(?:{WON_SIGN})+"
-NOISE = rf"[{HANGUL}|\\(),/ ~]"
+
+
+def _number(run: Column) -> Column:
+    """The longest well-formed number at the end of a run of digits and commas, without commas; empty if there is none."""
+    return F.replace(F.regexp_extract(run, r"(?:^|,)(\d{1,3}(?:,\d{3})+|\d+)$", 1), F.lit(","), F.lit(""))
 
 
 def price_of_subject(subject: Column) -> Column:
-    """The last amount before a slash or at the end, else the last with a currency sign, else 0; null if too large for an int."""
-    last = F.coalesce(*(F.try_element_at(F.regexp_extract_all(subject, F.lit(p), F.lit(0)), F.lit(-1)) for p in (AMOUNT_BEFORE_SLASH, AMOUNT_WITH_SIGN)))
-    return F.when(subject.isNotNull(), F.when(last.isNull(), F.lit(0)).otherwise(F.regexp_replace(last, NOISE, "").try_cast("int")))
+    """The last amount that a slash or the end follows, else the last that the currency sign follows, else 0; null if too large for an int.
+
+    A subject is cut at its slashes. Each part but the last offers the number after which it has no more digits or words than a
+    unit; the last part offers one only if nothing but a unit comes after.
+    """
+    parts = F.split(subject, "/")
+    run, unit = "([0-9,]*[0-9])", f"[{HANGUL}]*"
+    offered = F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.regexp_extract(x, f"{run}{unit}[^0-9{HANGUL}]*$", 1)).otherwise(F.regexp_extract(x, f"{run}{unit}$", 1)))
+    signed = F.regexp_extract_all(subject, F.lit(f"{run}{WON_SIGN}"), F.lit(1))
+    last = F.coalesce(*(F.try_element_at(F.filter(F.transform(c, _number), lambda n: n != ""), F.lit(-1)) for c in (offered, signed)))
+    return F.when(subject.isNotNull(), F.when(last.isNull(), F.lit(0)).otherwise(last.try_cast("int")))
 
 
 def currency_of_price(text: Column) -> Column:
@@ -52,6 +60,8 @@ def shop_of_subject(subject: Column) -> Column:
 
 
 def time_of(text: Column, pattern: str, zone: str = "Asia/Seoul") -> Column:
-    """The UTC instant of a local time, as a timestamp without a zone."""
-    local = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+    """The UTC instant of a local time, as a timestamp without a zone. The session's own zone plays no part."""
+    read = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{pattern} xx"))
+    none = F.lit(0)
+    local = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(none, none, none, (F.unix_micros(read) / 1_000_000).cast("decimal(18,6)"))
     return local if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), local)

@@ -23,6 +23,11 @@ def strip_blanks(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\n\r\f"))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def inner(c: Column, front: int = 1, back: int = 1) -> Column:
     """The text without `front` characters before and `back` after."""
     return F.substring(c, F.lit(front + 1), F.greatest(F.length(c) - front - back, F.lit(0)))
@@ -56,6 +61,17 @@ def cookies(header: Column) -> Column:
     return F.str_to_map(header, F.lit("; ?"), F.lit("="))
 
 
+#: What is kept of a cookie. Fixed values.
+COOKIE_FIELDS = ("name", "value", "domain", "path", "secure", "httpOnly", "sameSite")
+
+
+def normal_cookie(fields: Column) -> Column:
+    """A cookie (a map) with known fields only, and its end as `expiry`, whichever of its three names it stood under."""
+    known = F.map_filter(fields, lambda k, v: k.isin(*COOKIE_FIELDS) & v.isNotNull())
+    end = expiry(fields)
+    return F.when(end.isNull(), known).otherwise(F.map_concat(known, F.create_map(F.lit("expiry"), end.cast("string"))))
+
+
 def expiry(fields: Column) -> Column:
     """A cookie's end in epoch seconds, under whichever of its three names it stands."""
     return F.coalesce(*(F.try_element_at(fields, F.lit(k)).try_cast("double").try_cast("long") for k in ("expiry", "expires", "expirationDate")))

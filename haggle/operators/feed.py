@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -10,18 +12,34 @@ from pyspark.sql import functions as F
 PAGE = 30
 
 
-def page(rows: DataFrame, time_col: str, id_col: str, cursor: tuple | None = None, size: int = PAGE, backward: bool = False) -> DataFrame:
-    """A page of rows, newest first (ties: larger id first), after the cursor (time, id), or before it if backward.
+def cursor_text(time: datetime | None, key: object) -> str:
+    """An opaque cursor after the row with this time and id."""
+    return base64.urlsafe_b64encode(json.dumps([time and time.isoformat(), key]).encode()).decode()
+
+
+def cursor_of(text: str) -> tuple:
+    """The (time, id) of an opaque cursor. A text that is none is an error."""
+    time, key = json.loads(base64.urlsafe_b64decode(text))
+    return time and datetime.fromisoformat(time), key
+
+
+def page(rows: DataFrame, time_col: str, id_col: str, cursor: tuple | str | None = None, size: int = PAGE, backward: bool = False) -> DataFrame:
+    """A page of rows, newest first (ties: larger id first; rows without a time come last), after the cursor (time, id), or before it if backward.
 
     One row more than a page is read, so the page knows whether another follows: column has_more. The k best rows of
     each task are enough; nothing is sorted as a whole. The cursor becomes a range on the time column, which
     reaches the scan.
     """
-    order = [F.asc(time_col), F.asc(id_col)] if backward else [F.desc(time_col), F.desc(id_col)]
+    order = [F.asc_nulls_first(time_col), F.asc(id_col)] if backward else [F.desc_nulls_last(time_col), F.desc(id_col)]
     if cursor is not None:
-        at, last = F.lit(cursor[0]), F.lit(cursor[1])
-        t, i = F.col(time_col), F.col(id_col)
-        rows = rows.where((t >= at) & ((t > at) | (i > last)) if backward else (t <= at) & ((t < at) | (i < last)))
+        time, last = cursor_of(cursor) if isinstance(cursor, str) else cursor
+        t, i, at = F.col(time_col), F.col(id_col), F.lit(time)
+        if time is None:
+            rows = rows.where(t.isNotNull() | (i > last) if backward else t.isNull() & (i < last))
+        elif backward:
+            rows = rows.where((t >= at) & ((t > at) | (i > last)))
+        else:
+            rows = rows.where(t.isNull() | (t <= at) & ((t < at) | (i < last)))
     found = rows.orderBy(*order).limit(size + 1)
     return found.withColumn("has_more", F.count("*").over(_all()) > size).orderBy(*order).limit(size)
 
@@ -41,6 +59,18 @@ def facets(rows: DataFrame, *columns: str) -> DataFrame:
     return found
 
 
+def counted(rows: DataFrame, condition: Column) -> DataFrame:
+    """How many rows there are, and how many meet a condition: total, filtered."""
+    return rows.agg(F.count("*").alias("total"), F.count(F.when(condition, 1)).alias("filtered"))
+
+
+def shown(rows: DataFrame, *flags: str) -> DataFrame:
+    """Rows of which no flag (is_hidden, is_delete) is set; a null flag is not set. Lists apply this only where asked to."""
+    for f in flags:
+        rows = rows.where(~F.coalesce(F.col(f), F.lit(False)))
+    return rows
+
+
 def equal(rows: DataFrame, **values) -> DataFrame:
     """Rows with the given values; a value of None is no condition."""
     for c, v in values.items():

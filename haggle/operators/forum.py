@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from haggle.sources.storage import shared_folder
 
 
+def through(left: DataFrame, bridge: DataFrame, right: DataFrame, left_key: tuple[str, str], right_key: tuple[str, str]) -> DataFrame:
+    """left and right rows that a bridge row connects, as users and the deals that they have marked.
+
+    left_key, right_key: the names of a key in left (or right) and in the bridge.
+    """
+    return left.join(bridge, left[left_key[0]] == bridge[left_key[1]]).join(right, bridge[right_key[1]] == right[right_key[0]])
+
+
 def with_child_count(parents: DataFrame, children: DataFrame, key: str, foreign_key: str, name: str) -> DataFrame:
     """parents with the number of their children, 0 for none. Children are counted before they meet their parents."""
     counts = children.groupBy(F.col(foreign_key).alias(key)).agg(F.count("*").alias(name))

@@ -45,8 +45,23 @@ def insert_stamped(table: DataFrame, rows: DataFrame, **server_set: object) -> D
 
 
 def insert_missing(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """table and those rows whose key it does not hold."""
-    return table.unionByName(rows.join(table.select(key), key, "left_anti"))
+    """table and those rows whose key it does not hold; of new rows with one key the least by their other columns."""
+    others = [c for c in table.columns if c != key]
+    new = rows.join(table.select(key), key, "left_anti").groupBy(key).agg(F.min(F.struct(*others)).alias("row")).select(key, "row.*")
+    return table.unionByName(new)
+
+
+def update(table: DataFrame, changes: DataFrame, key: str, **server_set: object) -> DataFrame:
+    """table with the columns of changes (one row a key) in their place where the key is there; server-set columns change with them.
+
+    A column that changes lack stays, and a null in changes replaces what was there. Keys that the table lacks say nothing.
+    """
+    new = [c for c in changes.columns if c != key]
+    told = changes.select(F.col(key).alias("_key"), F.struct(*new).alias("_new"))
+    both = table.join(told, F.col(key) == F.col("_key"), "left")
+    hit = F.col("_key").isNotNull()
+    sets = {c: F.col(f"_new.{c}") for c in new} | {c: F.lit(v) for c, v in server_set.items()}
+    return both.select(*(F.when(hit, sets[c]).otherwise(F.col(c)).alias(c) if c in sets else F.col(c) for c in table.columns))
 
 
 def delete_cascade(parents: DataFrame, children: DataFrame, gone: DataFrame, key: str, foreign_key: str) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,31 +26,86 @@ def bucket(gram: Column, dimensions: int = DIMENSIONS) -> Column:
     return (F.abs(F.when(unsigned >= 2**31, unsigned - 2**32).otherwise(unsigned)) % dimensions + 1).cast("int")
 
 
+def entries(text: Column) -> Column:
+    """The entries of a text's vector in order of place: array of (bucket, weight), of unit length together. All of it is worked out in the row."""
+    hits = F.transform(trigrams(text), lambda g: bucket(g))
+
+    def weighted(one: Column) -> Column:
+        counts = F.transform(F.array_sort(F.array_distinct(one["hits"])), lambda b: F.struct(b.alias("bucket"), F.size(F.filter(one["hits"], lambda h: h == b)).cast("double").alias("n")))
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x["n"] * x["n"]))
+        return F.transform(counts, lambda x: F.struct(x["bucket"].alias("bucket"), (x["n"] / norm).alias("weight")))
+
+    # an array of one struct holds the hits, so that they are worked out once
+    return F.get(F.transform(F.array(F.struct(hits.alias("hits"))), weighted), F.lit(0))
+
+
 def buckets(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The vectors of texts as their entries: id, bucket, weight (unit length together). Null texts have none."""
-    entries = rows.select(id_col, F.explode(F.transform(trigrams(F.col(text_col)), lambda g: bucket(g))).alias("bucket")).groupBy(id_col, "bucket").agg(F.count("*").alias("n"))
-    norms = entries.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return entries.join(norms, id_col).select(id_col, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+    return rows.select(id_col, F.inline(entries(F.col(text_col))))
 
 
 def dense(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """The vector of a text as an array of floats: zeros for a text without words, null for null."""
-    hits = F.transform(trigrams(text), lambda g: bucket(g, dimensions))
-    counts = F.transform(F.sequence(F.lit(1), F.lit(dimensions)), lambda i: F.size(F.filter(hits, lambda h: h == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(text.isNotNull(), F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts).cast("array<float>"))
+    edge = lambda b: F.struct(F.lit(b).alias("bucket"), F.lit(0.0).alias("weight"))
+
+    def filled(e: Column) -> Column:
+        # each entry after the zeros that lead up to it, and the zeros after the last
+        before = F.concat(F.array(edge(0)), e)
+        up_to = F.zip_with(before, F.concat(e, F.array(edge(dimensions + 1))), lambda a, b: F.concat(F.array_repeat(F.lit(0.0), b["bucket"] - a["bucket"] - 1), F.array(b["weight"])))
+        return F.slice(F.flatten(up_to), F.lit(1), F.lit(dimensions)).cast("array<float>")
+
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(entries(text)), filled), F.lit(0)))
+
+
+#: Query rows that one scan carries, and rows that a task compares with them at once.
+QUERY_BLOCK, _ROWS = 2048, 256
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors from their entries."""
+    out = np.zeros((len(column), DIMENSIONS))
+    flat = column.flatten()
+    size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    out[np.repeat(np.arange(len(column)), size), flat.field("bucket").to_numpy() - 1] = flat.field("weight").to_numpy()
+    return out
+
+
+def _best(ids: np.ndarray, queries: np.ndarray, k: int):
+    """mapInArrow function over (id, e): the k rows of a partition most similar to each query, and no row without a bucket in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, place = np.full((len(ids), k), -1.0), np.zeros((len(ids), k), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                own = part.column("id").to_numpy()
+                found = np.round(queries @ _matrix(part.column("e")).T, 6)
+                found[(found <= 0) | (ids[:, None] == own)] = -1.0
+                scores, places = np.concatenate([score, found], axis=1), np.concatenate([place, np.broadcast_to(own, found.shape)], axis=1)
+                order = np.lexsort((places, -scores))[:, :k]
+                score, place = np.take_along_axis(scores, order, 1), np.take_along_axis(places, order, 1)
+        q, c = np.nonzero(score > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(place[q, c]), pa.array(score[q, c])], names=["query_id", "id", "similarity"])
+
+    return run
 
 
-def similar_titles(rows: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def similar_titles(rows: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """The k rows most similar to each query row: query_id, rank, id, similarity (6 digits; ties: the smaller id).
 
-    An inverted index: only rows that share a bucket meet, and their weights add up. The query itself is no result.
+    Queries go out in blocks of about `block`; every partition compares its rows with a block and gives k rows a query, so common
+    trigrams cost no more than rare ones. A row that shares no bucket with a query, and the query itself, is no result.
     """
-    entries = buckets(rows, id_col, text_col)
-    asked = entries.join(queries.select(id_col), id_col, "left_semi").select(F.col(id_col).alias("query_id"), "bucket", F.col("weight").alias("w"))
-    sums = entries.join(asked, "bucket").where(F.col("query_id") != F.col(id_col)).groupBy("query_id", id_col).agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("similarity"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col)
-    return sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    vectors = rows.select(F.col(id_col).cast("long").alias("id"), entries(F.col(text_col)).alias("e")).where("id is not null and size(e) > 0")
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), entries(F.col(text_col)).alias("e")).where("id is not null and size(e) > 0")
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.lit(max(1, asked.count())) / block)))
+    found = None
+    for b in range(-(-max(1, asked.count()) // block)):
+        own = asked.where(F.col("block") == b).select("id", "e").toArrow().combine_chunks()
+        part = vectors.mapInArrow(_best(own.column("id").to_numpy(), _matrix(own.column("e").combine_chunks()) if own.num_rows else np.zeros((0, DIMENSIONS)), k), "query_id long, id long, similarity double")
+        found = part if found is None else found.union(part)
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumnRenamed("id", id_col).select("query_id", "rank", id_col, "similarity")
 
 
 def unit(v: Column) -> Column:

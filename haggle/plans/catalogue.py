@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haggle.functions import html, parsers, text
-from haggle.operators import export, feed, forum, upsert, vectors
+from haggle.operators import collect, export, feed, forum, upsert, vectors
 from haggle.sources import schemas
 from haggle.sources.storage import table
 from haggle.streaming.ingest import Ingest, all_succeeded
@@ -72,8 +72,13 @@ def facet_values(spark, d):
 
 @query("SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS filtered FROM events")
 def filtered_count(spark, d):
-    events = table(spark, d, "events")
-    return events.agg(F.count("*").alias("total"), F.count(F.when(F.col("event_type") == "click", 1)).alias("filtered"))
+    return feed.counted(table(spark, d, "events"), F.col("event_type") == "click")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0 AND c_acctbal >= 0")
+def opt_in_filter(spark, d):
+    flagged = table(spark, d, "customer").withColumn("is_hidden", F.when(F.col("c_custkey") % 3 == 0, True)).withColumn("is_delete", F.col("c_acctbal") < 0)
+    return feed.shown(flagged, "is_hidden", "is_delete").select("c_custkey", "c_name")
 
 
 @query("SELECT event_id, ts, user_id, event_type FROM events WHERE event_type = 'click' AND user_id = 7")
@@ -116,12 +121,25 @@ def list_with_owner_name(spark, d):
     return forum.with_owner(table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_custkey"), table(spark, d, "customer"), "o_custkey", "c_custkey", {"user_name": "c_name"}).drop("o_custkey")
 
 
-@query("""SELECT c_custkey, o_orderkey, l_linenumber, l_partkey FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE c_mktsegment = 'BUILDING'""")
+@query("""SELECT c_custkey, o_orderkey, l_linenumber, l_partkey FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey""")
 def bridge_join(spark, d):
-    users = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
-    bridge = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    users, bridge = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
     items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return users.join(bridge, F.col("c_custkey") == F.col("o_custkey")).join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("c_custkey", "o_orderkey", "l_linenumber", "l_partkey")
+    return forum.through(users, bridge, items, ("c_custkey", "o_custkey"), ("l_orderkey", "o_orderkey")).select("c_custkey", "o_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' || o_orderstatus ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN 'clerk' ELSE o_orderpriority END AS o_orderpriority FROM orders")
+def update_rows(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    changes = orders.where("o_orderkey % 4 = 0").select("o_orderkey", F.concat(F.lit("X"), "o_orderstatus").alias("o_orderstatus"))
+    missing = changes.select((-F.col("o_orderkey") - 1).alias("o_orderkey"), "o_orderstatus")
+    return upsert.update(orders, changes.union(missing), "o_orderkey", o_orderpriority="clerk")
+
+
+@query("SELECT user_id, last(event_type ORDER BY ts, event_id) AS access_token, last(value ORDER BY ts, event_id) AS expires FROM events GROUP BY user_id")
+def token_update(spark, d):
+    logins = table(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("access_token"), F.col("value").alias("expires"))
+    return upsert.fold(logins, "user_id", ["ts", "event_id"], dict.fromkeys(("access_token", "expires"), upsert.LAST)).select("user_id", "access_token", "expires")
 
 
 @query("SELECT c_custkey, c_nationkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 99, c_name FROM customer WHERE c_custkey % 5 = 1")
@@ -203,6 +221,15 @@ def thread_tree(spark, d):
     return forum.paths(_comments(spark, d)).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
 
 
+@query("""WITH c AS (SELECT conv_id, conv_id * 1000 + turn AS id, turn, CASE WHEN turn > 0 THEN conv_id * 1000 + (turn - 1) // 3 END AS parent FROM conversations)
+SELECT a.id, count(b.id) AS n_replies, coalesce(string_agg(b.id::VARCHAR, ',' ORDER BY b.turn DESC, b.id DESC), '') AS replies FROM c a LEFT JOIN c b ON b.conv_id = a.conv_id AND b.parent = a.id GROUP BY a.id""")
+def replies_newest_first(spark, d):
+    """Up to three replies to each comment, in order."""
+    comments = _comments(spark, d).withColumn("parent_id", F.when(F.col("created_at") > 0, F.col("post_id") * 1000 + F.floor((F.col("created_at") - 1) / 3)))
+    replies = F.coalesce("replies", F.expr("array()"))
+    return forum.nested_replies(comments).select("id", F.size(replies).cast("long").alias("n_replies"), F.array_join(F.transform(replies, lambda r: r["id"].cast("string")), ",").alias("replies"))
+
+
 @query("SELECT a.conv_id * 1000 + a.turn AS id, (b.conv_id IS NOT NULL)::BIGINT AS n_replies, coalesce(b.conv_id * 1000 + b.turn, -1) AS newest_reply FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
 def thread_nested(spark, d):
     return forum.nested_replies(_comments(spark, d)).select("id", F.coalesce(F.size("replies"), F.lit(0)).cast("long").alias("n_replies"), F.coalesce(F.try_element_at("replies", F.lit(1))["id"], F.lit(-1)).alias("newest_reply"))
@@ -216,9 +243,10 @@ def url_id(spark, d):
     return table(spark, d, "pages").select("page_id", text.captured(F.col("url"), r"/(\d+)\?").alias("article_id"), F.coalesce(text.digits(text.captured(F.col("url"), r"page=(\d+)")), F.lit(0)).alias("page"))
 
 
-@query(r"SELECT page_id, nullif(regexp_extract(url, '^https?://([^/:?#]+)', 1), '') AS host, false AS is_shop FROM pages")
+@query(r"SELECT page_id, nullif(regexp_extract(url, '^https?://([^/:?#]+)', 1), '') AS host, page_id % 3 = 0 AS is_shop FROM pages")
 def url_host(spark, d):
-    return table(spark, d, "pages").select("page_id", text.host(F.col("url")).alias("host"), text.is_shop(F.col("url")).alias("is_shop"))
+    shop = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://m.Coupang.com/x?page="), F.col("page_id").cast("string"))).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", text.host(F.col("url")).alias("host"), text.is_shop(shop).alias("is_shop"))
 
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '[\n\t\r]', '', 'g'), E' \t\n\r\f') AS plain FROM pages")
@@ -238,24 +266,37 @@ def html_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.posexplode(links).alias("pos", "r")).select("page_id", "pos", "r.*")
 
 
-@query(r"""WITH f AS (SELECT page_id, url, len(regexp_extract_all(html, '<li><a href="[^"]*">')) AS n_links FROM pages), t AS (SELECT url, replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages)
-SELECT f.page_id, f.n_links::INT AS n_links, t.title FROM f JOIN t USING (url)""")
+@query(r"""WITH f AS (SELECT page_id, url, len(regexp_extract_all(html, '<li><a href="[^"]*">')) AS n_links, row_number() OVER (PARTITION BY url ORDER BY page_id) AS nth FROM pages),
+t AS (SELECT url, replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages)
+SELECT f.page_id, f.n_links::INT AS n_links, t.title FROM f JOIN t USING (url) WHERE nth = 1""")
 def list_detail_join(spark, d):
     pages = table(spark, d, "pages")
-    fragments = pages.dropDuplicates(["url"]).select("page_id", "url", F.size(html.rows(F.col("html"), "nav li a", {"href": "= @href"})).alias("n_links"))
+    fragments = collect.first_seen(pages.select("page_id", "url", F.size(html.rows(F.col("html"), "nav li a", {"href": "= @href"})).alias("n_links")), ["url"], ["page_id"])
     details = pages.select("url", html.fields(F.col("html"), {"title": "title text"}).alias("f")).select("url", "f.title")
-    return fragments.join(details, "url").select("page_id", "n_links", "title")
+    return collect.with_details(fragments, details, "url").select("page_id", "n_links", "title")
+
+
+@query(r"""SELECT url, len(regexp_extract_all(html, '<li><a href="[^"]*">'))::INT AS n_rows FROM pages""")
+def rows_per_list_page(spark, d):
+    return collect.rows_per_page(table(spark, d, "pages"), "nav li a")
 
 
 @query(r"SELECT host, page::INT AS page, 'http://' || host || '/list?page=' || page AS url FROM (SELECT DISTINCT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages), range(1, 6) r(page)")
 def list_page_urls(spark, d):
     hosts = table(spark, d, "pages").select(text.host(F.col("url")).alias("host")).distinct()
-    return hosts.select("host", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("page")).select("host", "page", F.concat(F.lit("http://"), "host", F.lit("/list?page="), F.col("page").cast("string")).alias("url"))
+    return collect.page_urls(hosts.withColumn("base", F.concat(F.lit("http://"), "host", F.lit("/list?page="))), "base", 5).select("host", "page", "url")
 
 
-@query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+@query("SELECT c_nationkey, c_mktsegment, min(c_custkey) AS c_custkey, arg_min(c_name, c_custkey) AS c_name FROM customer GROUP BY ALL")
 def request_dedup(spark, d):
-    return table(spark, d, "customer").select("c_nationkey", "c_mktsegment").dropDuplicates(["c_nationkey", "c_mktsegment"])
+    return collect.first_seen(table(spark, d, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", "c_name"), ["c_nationkey", "c_mktsegment"], ["c_custkey"])
+
+
+@query(r"""SELECT page_id, nullif(regexp_extract(html, '<li><a href="([^"]*)"', 1), '') AS first_href, nullif(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)[2], '') AS second_href FROM pages""")
+def html_positions(spark, d):
+    """The first and the second link of lists that have one, by position and by what an element holds."""
+    found = html.fields(F.col("html"), {"first_href": "nav:has(a) li ~0 > a @href", "second_href": "nav:has(a) li ~1 > a @href"})
+    return table(spark, d, "pages").select("page_id", found.alias("f")).select("page_id", "f.*")
 
 
 @query("SELECT c_custkey, c_custkey::VARCHAR AS id, c_mktsegment AS seg, 1700000000 + c_custkey AS expiry FROM customer")
@@ -314,14 +355,21 @@ def trigram_vector(spark, d):
     return vectors.buckets(table(spark, d, "part"), "p_partkey", "p_name").withColumn("weight", F.round("weight", 6))
 
 
+@query(_GRAMS_SQL.format(names="SELECT p_partkey AS id, p_name AS name FROM part") + "SELECT id AS p_partkey, bucket, round(weight, 4) AS weight FROM v")
+def vector_on_write(spark, d):
+    deals = collect.stored(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("subject"), F.lit(None).cast("array<float>").alias("subject_trgm_vector")))
+    filled = deals.select("p_partkey", F.posexplode("subject_trgm_vector").alias("place", "x")).where("x <> 0")
+    return filled.select("p_partkey", (F.col("place") + 1).alias("bucket"), F.round(F.col("x").cast("double"), 4).alias("weight"))
+
+
 @query(
     _GRAMS_SQL.format(names="SELECT min(p_partkey) AS id, p_name AS name FROM part GROUP BY p_name")
-    + """, s AS (SELECT q.id AS query_id, v.id, round(sum(q.weight * v.weight), 6) AS similarity FROM v q JOIN v ON q.bucket = v.bucket AND q.id <> v.id WHERE q.id < 10 GROUP BY ALL)
+    + """, s AS (SELECT q.id AS query_id, v.id, round(sum(q.weight * v.weight), 6) AS similarity FROM v q JOIN v ON q.bucket = v.bucket AND q.id <> v.id WHERE q.id % 20 = 0 GROUP BY ALL)
 SELECT query_id, rank::INT AS rank, id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) WHERE rank <= 5"""
 )
 def trigram_topk(spark, d):
     titles = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
-    return vectors.similar_titles(titles, titles.where("id < 10"), "id", "p_name", 5).select("query_id", "rank", "id", "similarity")
+    return vectors.similar_titles(titles, titles.where("id % 20 = 0"), "id", "p_name", 5).select("query_id", "rank", "id", "similarity")
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE vec_id = 7)

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from haggle.functions import parsers as P
+from haggle.functions.text import strip
 
 FIRST, LAST = "first", "last"
 
@@ -76,9 +77,9 @@ SITES = {
             {"shop_url_1": ".pl-3 a text", "thumbnail": "div.view-content.fr-view img @href", "time_text": "time.f-xs text", "view_text": "li.pr-3:has(i.fa-eye) string"},
             "yyyy.MM.dd HH:mm",
             lambda: {
-                "price": P.price_of_text(F.btrim("price_text")), "currency": P.currency_of_price(F.col("price_text")), "shop_name": P.shop_of_subject(F.btrim("subject")),
-                "recommend_count": _count("recommend_text"), "view_count": F.regexp_replace("view_text", "[^0-9]", "").try_cast("int"), "origin_url": F.btrim("href"),
-                "subject": F.btrim("subject"), "category": F.btrim("category"),
+                "price": P.price_of_text(strip(F.col("price_text"))), "currency": P.currency_of_price(F.col("price_text")), "shop_name": P.shop_of_subject(strip(F.col("subject"))),
+                "recommend_count": _count("recommend_text"), "view_count": F.regexp_replace("view_text", "[^0-9]", "").try_cast("int"), "origin_url": strip(F.col("href")),
+                "subject": strip(F.col("subject")), "category": strip(F.col("category")),
             },
             _policy(f"{_DETAILS} origin_url currency community_name", "recommend_count view_count update_at"),
             derived={"article_id": lambda: F.nullif(F.regexp_extract("href", r"jirum/(.*?)\?", 1), F.lit(""))},

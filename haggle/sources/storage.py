@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -19,27 +20,72 @@ def jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors see; a temporary folder where none is set (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="haggle-")
+    """spark.checkpoint.dir, which all executors see. Under a local master, where none is set, a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        folder = "file://" + tempfile.mkdtemp(prefix="haggle-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 class Versions:
-    """A Parquet table of which every change is a new version.
+    """A Parquet table in buckets by a hash of its key, of which every change is a new version.
 
-    Version n + 1 is written whole beside version n, so a writer that dies leaves version n as it was, and a
-    batch that is tried again writes the same version again.
+    A change writes only the buckets that it touches, beside what was there, and a mark when it is whole; a bucket is read from its
+    newest whole version. So a writer that dies leaves the version before as it was, a batch that is tried again writes
+    the same version again, and whoever opens the path finds the newest version.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int = 64):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
 
-    def read(self, version: int) -> DataFrame:
-        if version < 0:
+    def _files(self, path: str):
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
+
+    def _names(self, path: str) -> list[str]:
+        system, place = self._files(path)
+        return [x.getPath().getName() for x in system.listStatus(place)] if system.exists(place) else []
+
+    def _whole(self) -> dict[int, set[int]]:
+        """The buckets of each whole version."""
+        found = {}
+        for name in self._names(self.path):
+            inside = self._names(f"{self.path}/{name}") if name.startswith("v") else []
+            if "_SUCCESS" in inside:
+                found[int(name[1:])] = {int(x.partition("=")[2]) for x in inside if x.startswith("bucket=")}
+        return found
+
+    def latest(self) -> int:
+        """The newest whole version, -1 if there is none."""
+        return max(self._whole(), default=-1)
+
+    def bucket(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
+
+    def read(self, version: int | None = None, only: set[int] | None = None) -> DataFrame:
+        """The table as of a version (the newest without one), or some of its buckets."""
+        whole = self._whole()
+        newest = {}
+        for v in sorted(whole):
+            if version is None or v <= version:
+                newest |= dict.fromkeys(whole[v], v)
+        paths = [f"{self.path}/v{v}/bucket={b}" for b, v in sorted(newest.items()) if only is None or b in only]
+        if not paths:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{version}")
+        return self.spark.read.schema(self.schema).parquet(*paths)
 
     def write(self, version: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        """Replace the buckets that rows fall in by rows."""
+        self.bucket(rows.select(*self.schema.fieldNames())).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{version}")
+
+    def tidy(self, keep: int = 2) -> None:
+        """Remove versions of buckets older than the newest `keep` of each."""
+        whole = self._whole()
+        for b in set().union(*whole.values()) if whole else ():
+            for v in sorted(v for v in whole if b in whole[v])[:-keep]:
+                system, place = self._files(f"{self.path}/v{v}/bucket={b}")
+                system.delete(place, True)

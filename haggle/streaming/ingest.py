@@ -16,26 +16,35 @@ from haggle.sources.storage import Versions, shared_folder
 
 
 class Ingest:
-    """Folds a stream by key. Version n of the table holds batches 0..n; a batch that is tried again writes its version again."""
+    """Folds a stream by key. Version n of the table holds batches 0..n; a batch that is tried again writes its version again.
 
-    def __init__(self, spark: SparkSession, rows: T.StructType, key: str, seq: list[str], policy: dict[str, str], path: str | None = None):
+    A batch reads and writes only the buckets of its own keys. Another Ingest on the same path goes on where this one ended.
+    """
+
+    def __init__(self, spark: SparkSession, rows: T.StructType, key: str, seq: list[str], policy: dict[str, str], path: str | None = None, buckets: int = 64):
         self.spark, self.key, self.seq, self.policy = spark, key, seq, policy
         self.path = path or f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
         empty = fold(spark.createDataFrame([], rows), key, seq, policy)
-        self.table = Versions(spark, f"{self.path}/table", empty.schema)
-        self.latest = -1
+        self.table = Versions(spark, f"{self.path}/table", empty.schema, key, buckets)
+
+    @property
+    def latest(self) -> int:
+        return self.table.latest()
 
     def batch(self, rows: DataFrame, number: int) -> None:
-        new = fold(rows, self.key, self.seq, self.policy)
-        self.table.write(number, new if number == 0 else refold(self.table.read(number - 1), new, self.key, self.policy))
-        self.latest = number
+        new = fold(rows, self.key, self.seq, self.policy).persist()
+        touched = {r.bucket for r in self.table.bucket(new).select("bucket").distinct().collect()}  # at most as many as there are buckets
+        if touched:
+            self.table.write(number, refold(self.table.read(number - 1, touched), new, self.key, self.policy))
+        new.unpersist()
+        self.table.tidy()
 
     def start(self, stream: DataFrame, **trigger):
-        """A running query: trigger availableNow=True for one run, processingTime='60 seconds' for an endless one."""
+        """A running query: trigger availableNow=True for one run, processingTime='60 seconds' for an endless one, which stop() ends."""
         return stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", f"{self.path}/offsets").trigger(**trigger).start()
 
     def current(self) -> DataFrame:
-        return self.table.read(self.latest)
+        return self.table.read()
 
 
 def all_succeeded(runs: DataFrame, code_col: str, *by: str) -> DataFrame:
@@ -48,6 +57,11 @@ def backoff(fails: int, base: float = 15, most: float = 600, chance: Callable[[]
     return min(most, base * 2 ** min(fails, 6)) * (0.8 + 0.4 * chance())
 
 
+def jitter(most: float = 10, chance: Callable[[], float] = random.random) -> float:
+    """Seconds to wait before a first run, so that runs of many sites do not begin together."""
+    return most * chance()
+
+
 def with_retries(run: Callable[[], None], tries: int = 5, wait: Callable[[float], None] = time.sleep, **how) -> int:
     """Runs until it succeeds; the number of failures before. The last failure is raised."""
     for fails in range(tries):
