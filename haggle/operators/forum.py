@@ -28,6 +28,13 @@ def with_owner(rows: DataFrame, owners: DataFrame, foreign_key: str, key: str, c
     return rows.join(own, F.col(foreign_key) == F.col("_owner")).drop("_owner")
 
 
+def post_list(posts: DataFrame, users: DataFrame, comments: DataFrame) -> DataFrame:
+    """Posts with the name of their author and the number of their comments, newest first: the nine columns that the list shows."""
+    named = with_owner(posts, users, "author_id", "id", {"user_name": "user_id"})
+    counted = with_child_count(named, comments, "id", "post_id", "comment_count")
+    return counted.select("id", "post_type", "title", "content", F.col("author_id").alias("author"), "user_name", "view_count", "comment_count", "created_at").orderBy(F.desc("created_at"), F.desc("id"))
+
+
 def thread(comments: DataFrame, post: object = None, parent: object = None) -> DataFrame:
     """Comments of a post, or direct replies to one comment of it, oldest first."""
     if post is not None:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from haggle.functions import html, parsers, text
 from haggle.operators import collect, export, feed, forum, upsert, vectors
+from haggle.plans.sites import SITES
 from haggle.sources import schemas
 from haggle.sources.storage import table
 from haggle.streaming.ingest import Ingest, all_succeeded
@@ -166,6 +167,42 @@ def delete_cascade(spark, d):
     return orders
 
 
+@query("""SELECT o_orderkey AS id, o_orderpriority AS post_type, o_orderstatus AS title, 'text' AS content, o_custkey AS author, c_name AS user_name, (o_orderkey % 7)::INT AS view_count,
+(SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS comment_count, o_orderdate AS created_at FROM orders JOIN customer ON o_custkey = c_custkey""")
+def post_list(spark, d):
+    posts = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("post_type"), F.col("o_orderstatus").alias("title"), F.lit("text").alias("content"), F.col("o_custkey").alias("author_id"), (F.col("o_orderkey") % 7).cast("int").alias("view_count"), F.col("o_orderdate").alias("created_at"),
+    )
+    users, comments = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("user_id")), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("post_id"))
+    return forum.post_list(posts, users, comments)
+
+
+_TYPED_SQL = """SELECT 'ppompu' || p_partkey AS article_id, 'PPOMPPU' AS community_name, p_name || ' (' || floor(p_retailprice * 100)::INT || '원/무료)' AS subject, p_brand AS shop_name, p_type AS category,
+floor(p_retailprice * 100)::INT AS price, 0 AS delivery_price, p_size AS recommend_count, 1 AS dislike_count, CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE p_partkey::INT END AS view_count,
+CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 18:04:00' END AS write_at, TIMESTAMP '2024-02-01 00:00:00' AS crawled_at,
+concat_ws(',', CASE WHEN p_partkey % 5 = 0 THEN 'view_count' END, CASE WHEN p_partkey % 7 = 0 THEN 'write_at' END) AS faults FROM part"""
+
+
+@query(_TYPED_SQL)
+def typed_deals(spark, d):
+    """Raw items of a site as columns of a deal, with the columns that could not be read."""
+    raw = table(spark, d, "part").select(
+        F.col("p_partkey").cast("string").alias("article_id"), F.concat("p_name", F.lit(" ("), (F.col("p_retailprice") * 100).cast("int").cast("string"), F.lit("원/무료)")).alias("subject"), F.concat(F.lit("["), "p_brand", F.lit("]")).alias("shop_name"),
+        F.concat(F.lit("["), "p_type", F.lit("]")).alias("category"), F.lit("view.php").alias("href"), F.lit("t").alias("thumbnail"), F.lit("https://s").alias("shop_url_1"), F.col("p_size").cast("string").alias("recommend_text"), F.lit("1").alias("dislike_text"),
+        F.when(F.col("p_partkey") % 5 == 0, F.lit("many")).otherwise(F.col("p_partkey").cast("string")).alias("view_text"), F.when(F.col("p_partkey") % 7 == 0, F.lit("soon")).otherwise(F.lit("\n 2024-01-02 03:04 ")).alias("time_text"),
+    )
+    made = collect.typed(SITES["ppomppu"], raw, "2024-02-01 00:00:00").withColumn("faults", F.array_join("faults", ","))
+    return made.select("article_id", "community_name", "subject", "shop_name", "category", "price", "delivery_price", "recommend_count", "dislike_count", F.coalesce("view_count", F.lit(-1)).alias("view_count"), "write_at", "crawled_at", "faults")
+
+
+@query("SELECT 'ppompu' || p_partkey AS article_id, p_brand AS shop_name, floor(p_retailprice * 100)::INT AS price, p_name AS subject FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0")
+def api_projection(spark, d):
+    """What the API shows of good deals, as far as these tables have it."""
+    good, _ = collect.split_faults(typed_deals(spark, d).withColumn("faults", F.filter(F.split("faults", ","), lambda f: f != "")))
+    allowed = [c for c in schemas.API_COLUMNS if c in good.columns]
+    return export.chosen(good.withColumn("subject", F.regexp_extract("subject", r"^(.*) \(\d+원", 1)), ["article_id", "shop_name", "price", "subject"], allowed)
+
+
 # --- upserts --------------------------------------------------------------------------------------------------
 
 _POLICY = {"event_type": upsert.FIRST, "value": upsert.LAST, "props": upsert.LAST}

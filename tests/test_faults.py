@@ -35,6 +35,21 @@ def test_another_ingest_goes_on_and_writes_only_its_buckets(spark, tmp_path):
     assert plain(third.current()) == [("a", 10, 1), ("b", 20, 2)]
 
 
+def test_an_endless_run_can_be_stopped_and_goes_on(spark, tmp_path):
+    def put(n, *rows):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    put(0, ("a", 1, 10, 1))
+    for n, want in ((1, [("a", 10, 1)]), (2, [("a", 10, 5), ("b", 7, 7)])):
+        job = ingest.Ingest(spark, spark.createDataFrame([], SCHEMA).schema, "key", ["seq"], POLICY, f"file://{tmp_path}/state")
+        if n == 2:
+            put(1, ("a", 2, 99, 5), ("b", 1, 7, 7))
+        query = job.start(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), processingTime="1 seconds")
+        query.processAllAvailable()
+        query.stop()
+        assert not query.isActive and plain(job.current()) == want
+
+
 def test_a_version_that_is_not_whole_is_not_read(spark, tmp_path):
     df = spark.createDataFrame([("a", 1)], "key string, x int")
     table = Versions(spark, f"file://{tmp_path}/t", df.schema, "key", 4)
