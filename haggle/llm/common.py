@@ -109,6 +109,8 @@ def join_hot(rows: DataFrame, partners: DataFrame, keys: list[str], how: str = "
     least = rows.count() * HOT_SHARE
     hot = rows.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > least) & (F.col("n") > 1)).select(*keys)
     hot = staged(hot, "hot")
+    if hot.isEmpty():
+        return rows.join(partners.hint("merge"), keys, how)
     few = F.broadcast(partners.join(F.broadcast(hot), keys, "left_semi"))
     here = rows.join(F.broadcast(hot), keys, "left_semi").join(few, keys, how)
     return here.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(partners.hint("merge"), keys, how))

@@ -68,7 +68,7 @@ def first_occurrences(min_docs: int):
     Emits a DROP row for each row of a hash that min_docs documents or more hold, but for those of its first
     document. The first run of a partition may have begun in the one before: its rows go out as OPEN.
     The last run may go on in the next: as long as it has fewer than min_docs documents, its rows go out as
-    OPEN too. Each of these two runs gives a TOTAL row. At most min_docs rows are held back.
+    OPEN too. Each of these two runs gives a TOTAL row. The rows of fewer than min_docs documents are held back.
     """
 
     def rows(batch, kind, at) -> pa.RecordBatch:
@@ -165,7 +165,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     64-bit hash) tells their bitmaps apart. Rows with a null doc_id take no part. No other column is
     looked at. Keys are compared by 128-bit hashes.
     """
-    lines = text_of(docs, id_col, text_col).where("doc_id is not null").mapInArrow(line_rows(min_chars), _LINES)
+    # written out, as dealing by ranges reads its input twice
+    lines = staged(text_of(docs, id_col, text_col).where("doc_id is not null").mapInArrow(line_rows(min_chars), _LINES), "lines")
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc()]
     ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order, "text_key", "first")
     found = staged(ordered.mapInArrow(first_occurrences(min_docs), _FOUND), "lines")

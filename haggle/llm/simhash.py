@@ -235,7 +235,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprints one task compares at once; longer runs are dealt anew by finer keys.
     """
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    prints = staged(docs.select(F.col(id_col).alias("doc_id"), body.alias("body")).mapInArrow(_fingerprints(words_in_shingle), "doc_id long, fp long"), "prints")
+    prints = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body")).mapInArrow(_fingerprints(words_in_shingle), "doc_id long, fp long"), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(nodes.select("fp"), longest)).withColumnRenamed("node", "fp")
     labelled = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
