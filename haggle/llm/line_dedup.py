@@ -21,12 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import slices, staged
 
 _LINES = "h1 long, h2 long, doc_id long, text_key long, n_lines int, first int, positions array<int>"
 _FOUND = "kind int, h1 long, h2 long, doc_id long, text_key long, n_lines int, positions array<int>, n_docs long"
 DROP, OPEN, TOTAL = 0, 1, 2
-_SLICE = 256
 
 
 def line_rows(min_chars: int):
@@ -55,9 +54,8 @@ def line_rows(min_chars: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                yield keys(batch.slice(at, _SLICE))
+        for part in slices(batches):
+            yield keys(part)
 
     return run
 
