@@ -1,10 +1,7 @@
-"""Exports: a choice of columns with headings, streamed or written by Spark."""
+"""Exports: a choice of columns with headings, written by Spark."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +21,6 @@ def headed(rows: DataFrame, verbose: dict[str, str] | None = None) -> DataFrame:
     return rows.withColumnsRenamed({c: label(c, verbose) for c in rows.columns})
 
 
-def stream(rows: DataFrame, verbose: dict[str, str] | None = None) -> Iterator[tuple]:
-    """The headings, then the rows; the driver holds one partition at a time."""
-    return chain([tuple(label(c, verbose) for c in rows.columns)], map(tuple, rows.toLocalIterator()))
-
-
 def write_csv(rows: DataFrame, path: str, verbose: dict[str, str] | None = None) -> None:
     headed(rows, verbose).write.option("header", True).csv(path)
 
