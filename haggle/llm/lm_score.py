@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import slices, staged, unstage
 from .lattice import LONG, MARK, Lattice, Vocabulary, in_batches, parts_of
 from .pieces import MODEL
 
@@ -148,12 +148,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for body, learns in zip(batch.column("body"), batch.column("trains").to_pylist(), strict=True):
-            text = body.as_py()
+            text = body.as_py().lower()
             size += len(text)
-            for s in sentences(text):
-                words[learns].update(s)
-                if len(s) >= LEAST:
-                    sents[learns][sentence_key(s)] += 1
+            words[learns].update(text.split())
+            sents[learns].update(sentence_key(s) for s in sentences(text) if len(s) >= LEAST)
             if size > _FLUSH_BYTES or len(words[0]) + len(words[1]) > _FLUSH:
                 yield from flush(words)
                 size = 0
@@ -236,7 +234,9 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
                     keys[i] = word_key(w)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("c"), batch.column("n"), pa.array(base, from_pandas=True), pa.array(score, from_pandas=True)], names=["key", "c", "n", "base", "score"])
 
-    scored = staged(types.mapInArrow(spell, "key binary, c long, n long, base double, score double"), "words")
+    # a sentence that occurs once is held by no other document
+    scored = staged(types.where("is_word or n > 1").mapInArrow(spell, "key binary, c long, n long, base double, score double"), "words")
+    unstage(types)
     # whole classes of frequency, most frequent first, as long as they are no more than head; a key is SHORT bytes at most
     rank = F.floor(8 * F.log2(F.col("n") + 1))
     classes = sorted(scored.where("n > 1").groupBy(rank.alias("rank")).agg(F.count("*").alias("n")).collect(), reverse=True)
@@ -279,8 +279,11 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
             rare = np.flatnonzero(found < 0)
             of = np.searchsorted(begin, rare, "right") - 1
             keys = [sentence_key(s) if len(s) >= LEAST else None for s in parts]
-            mine = Counter((d, k) for d, k in zip(doc.tolist(), keys, strict=True) if k and not held[d])
-            own = np.array([mine[d, k] for d, k in zip(doc.tolist(), keys, strict=True)], np.int64)
+            whose = list(zip(doc.tolist(), keys, strict=True))
+            own = np.where(held[doc], 0, 1)
+            if len(set(whose)) < len(whose):  # a document repeats a sentence of its own
+                mine = Counter(whose)
+                own = own * np.array([mine[x] for x in whose], np.int64)
             at = np.array([-1 if k is None else place.get(k, -1) for k in keys], np.int64)
             short = size < LEAST
             others = np.where(at >= 0, counts[at] - own, 0)
@@ -297,9 +300,7 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
                 row_id=row_id[doc[open_]], sentence=number[open_], key=[nothing[doc[i]] if told[i] else keys[i] for i in open_.tolist()],
                 own=own[open_], others=pa.array(others[open_], pa.int64(), mask=~told[open_]), score=score[open_],
             )
-            times = Counter(zip(of.tolist(), (words[i] for i in rare.tolist()), strict=True))
-            of = np.array([i for i, _ in times], np.int64)
-            yield rows_of(row_id=row_id[doc[of]], sentence=number[of], key=[word_key(w) for _, w in times], times=list(times.values()))
+            yield rows_of(row_id=row_id[doc[of]], sentence=number[of], key=[word_key(words[i]) for i in rare.tolist()], times=np.ones(len(rare), np.int64))
 
     found = rows.select("row_id", "doc_id", (~F.col("trains")).alias("held_out"), "body").mapInArrow(look_up, "row_id long, sentence int, doc_id long, held_out boolean, key binary, times long, own long, others long, known double, base double, score double")
     rare = scored.select("key", F.col("c").alias("its_c"), F.col("base").alias("its_base"), F.col("score").alias("its_score")).hint("merge")
