@@ -11,7 +11,6 @@ such a word are left before any pair is cut.
 
 from __future__ import annotations
 
-import json
 import math
 import re
 
@@ -72,6 +71,8 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 THRESHOLD = 0.8
+# Words so common that finding one says little.
+COMMON = "a all an and any as at be by for from in is it its no not of on or other shall that the this to under use with work works you your".split()
 
 
 def words_of(text: str) -> list[str]:
@@ -93,13 +94,13 @@ def step(words: int) -> int:
 
 
 def signature(pairs: list[str], ratio: float) -> list[str]:
-    """Words, long ones first, of which a unit near a template of these pairs must hold one.
+    """Words, long ones first and common ones last, of which a unit near a template of these pairs must hold one.
 
     The unit holds the share `ratio` of the pairs at least, so it cannot miss all pairs that contain these words.
     """
     need = len(pairs) - math.ceil(ratio * len(pairs) - 1e-6) + 1
     chosen, covered = [], set()
-    for w in sorted({x for p in pairs for x in p.split()}, key=lambda w: (-len(w), w)):
+    for w in sorted({x for p in pairs for x in p.split()}, key=lambda w: (w in COMMON, -len(w), w)):
         if len(covered) >= need:
             break
         chosen.append(w)
@@ -107,6 +108,12 @@ def signature(pairs: list[str], ratio: float) -> list[str]:
     return chosen
 
 
+def one_of(words: set[str]) -> str:
+    """A pattern of these words that branches letter by letter, so that most places of a text fail at their first letter."""
+    heads = sorted({w[:1] for w in words})
+    return "(?:" + "|".join(h and h + one_of({w[1:] for w in words if w[:1] == h}) for h in sorted(heads, reverse=True)) + ")" if heads != [""] else ""
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, license, score, n_matches, matches.
 
@@ -119,14 +126,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ratio = threshold / (2 - threshold) - 1e-9  # a pair that just reaches the threshold is in
     rules = [(name, len(words_of(t)), step(len(words_of(t))), b, signature(b, ratio)) for name, t in (known if known is not None else templates()) if (b := bigrams(t))]
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    told = rf"\b(?:{'|'.join(sorted({w for r in rules for w in r[4]}))})\b" if rules else "(?!)"
+    told = rf"(?<![a-z0-9]){one_of({w for r in rules for w in r[4]})}(?![a-z0-9])" if rules else "(?!)"
     none = F.array().cast("array<string>")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.when(text.rlike(told), F.split(F.btrim(F.regexp_replace(text, "[^a-z0-9]+", " ")), " ")).otherwise(none).alias("words"))
+    # one constant, made when the query is planned
     kind = "array<struct<license:string,m:int,step:int,pairs:array<string>,told:array<string>>>"
-    listed = F.from_json(F.lit(json.dumps([dict(zip(("license", "m", "step", "pairs", "told"), r, strict=True)) for r in rules])), kind)
+    quoted = lambda xs: "array(" + ", ".join(f"'{x}'" for x in xs) + ")"
+    listed = F.expr("array(" + ", ".join(f"named_struct('license', '{name}', 'm', {m}, 'step', {st}, 'pairs', {quoted(b)}, 'told', {quoted(told_)})" for name, m, st, b, told_ in rules) + ")").cast(kind)
     n = F.size("words")
     able = F.filter(listed, lambda r: (n - 1 >= ratio * F.size(r["pairs"])) & F.arrays_overlap("words", r["told"]))
-    rows = rows.select("doc_id", "words", able.alias("able"))
+    rows = rows.select("doc_id", "words", F.when(n > 0, able).otherwise(F.array().cast(kind)).alias("able"))
 
     def best(r):
         last = F.greatest(n - r["m"], F.lit(0))
