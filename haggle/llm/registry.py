@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import byte_bpe, licenses
 from .alignment import align
 from .common import table
+from .conversations import damage, digests, repair
 from .exact_dedup import exact_dedup
 from .line_dedup import kept_text, line_dedup
 from .lm_score import lm_score
@@ -100,6 +101,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return digests(repair(damage(turns)), turns)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"))
 
@@ -116,5 +122,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op1_simhash_dedup": op1_simhash_dedup, "op2_line_dedup": op2_line_dedup, "op3_license_scan": op3_license_scan, "op4_mix": op4_mix, "op5_top_k": op5_top_k, "op6_toxicity": op6_toxicity, "op7_lm_score": op7_lm_score, "op8_exact_dedup": op8_exact_dedup, "op9_sentencepiece": op9_sentencepiece, "op10_secret_scan": op10_secret_scan, "op12_alignment": op12_alignment, "op13_byte_bpe": op13_byte_bpe}
+QUERIES = {"op1_simhash_dedup": op1_simhash_dedup, "op2_line_dedup": op2_line_dedup, "op3_license_scan": op3_license_scan, "op4_mix": op4_mix, "op5_top_k": op5_top_k, "op6_toxicity": op6_toxicity, "op7_lm_score": op7_lm_score, "op8_exact_dedup": op8_exact_dedup, "op9_sentencepiece": op9_sentencepiece, "op10_secret_scan": op10_secret_scan, "op11_conversation_repair": op11_conversation_repair, "op12_alignment": op12_alignment, "op13_byte_bpe": op13_byte_bpe}
 ORACLES = {"op3_license_scan": licenses.oracle(), "op5_top_k": OP5_SQL, "op2_line_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}
