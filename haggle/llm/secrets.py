@@ -132,6 +132,10 @@ def battery(value: Column) -> Column:
         v = F.filter(F.transform(F.split(r["plain"], ""), lambda c: (F.instr(by_encoding(r, list(ALPHABETS.values())), c) - 1).cast("long")), lambda s: s >= 0)
         return F.struct(r["encoding"].alias("encoding"), r["plain"].alias("plain"), size.alias("size"), v.alias("v"), F.size(v).cast("double").alias("n"))
 
+    def averaged(r: Column) -> Column:
+        # the mean is a field of its own: as an expression, the lambdas that use it would sum it up anew for every symbol
+        return F.struct(*(r[c].alias(c) for c in ("encoding", "plain", "size", "v", "n")), (F.aggregate(r["v"], F.lit(0.0), lambda a, s: a + s) / r["n"]).alias("mean"))
+
     # of each encoding the share of symbols in each cell, and in each kind of symbol
     cell_shares = [[sum(s * CELLS // len(a) == c for s in range(len(a))) / len(a) for c in range(CELLS)] for a in ALPHABETS.values()]
     kinds = ["[^0-9]", "[^A-Z]", "[^a-z]", "[0-9A-Za-z]"]
@@ -146,7 +150,7 @@ def battery(value: Column) -> Column:
     def sums(r: Column) -> Column:
         count = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.size(F.filter(r["v"], lambda s: F.floor(s * CELLS / r["size"]) == c)).cast("double"))
         of_kind = F.array(*(F.length(F.regexp_replace(r["plain"], k, "")).cast("double") for k in kinds))
-        mean = F.aggregate(r["v"], F.lit(0.0), lambda a, s: a + s) / r["n"]
+        mean = r["mean"]
         high = F.size(F.filter(r["v"], lambda s: s * 2 >= r["size"])).cast("double")
         pairs = F.zip_with(F.slice(r["v"], F.lit(1), (r["n"] - 1).cast("int")), F.slice(r["v"], F.lit(2), (r["n"] - 1).cast("int")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         return F.struct(
@@ -176,7 +180,7 @@ def battery(value: Column) -> Column:
     read = F.transform(F.transform(undashed, reading), symbols)
     enough = F.filter(read, lambda r: r["n"] >= 8)
     none = F.struct(F.lit(len(names) - 1).alias("encoding"), F.lit(0).cast("long").alias("length"), F.lit(0.0).alias("p"))
-    return F.coalesce(F.get(F.transform(F.transform(enough, sums), tests), F.lit(0)), none)
+    return F.coalesce(F.get(F.transform(F.transform(F.transform(enough, averaged), sums), tests), F.lit(0)), none)
 
 
 def _band(length: Column) -> Column:

@@ -118,6 +118,18 @@ def test_a_hundred_thousand_hits_in_one_text(spark):
     assert out.s == brute(text) and took < 60
 
 
+def test_one_run_of_a_megabyte(spark):
+    """As an embedded image would be: time grows with its length, not with the square."""
+    rng = random.Random(9)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = "".join(rng.choices(symbols, k=1 << 20))
+    began = time.perf_counter()
+    out = sec.secret_scan(spark.createDataFrame([(1, f"see {run} here"), (2, f"see {'ab' * (1 << 19)} here")], "doc_id long, text string")).select("doc_id", sec.named(F.col("spans")).alias("s")).collect()
+    took = time.perf_counter() - began
+    print("seconds", took)
+    assert {r.doc_id: r.s for r in out} == {1: f"random:4:{4 + len(run)}", 2: f"hex:4:{4 + (1 << 20)}"} and took < 60
+
+
 @pytest.mark.parametrize("z, p", [(0.0, 0.5), (1.959964, 0.025), (-1.0, 0.8413447), (4.0, 3.167e-5)])
 def test_normal_tail(spark, z, p):
     assert spark.range(1).select(sec.upper_tail(F.lit(z)).alias("p")).first().p == pytest.approx(p, abs=3e-7)
