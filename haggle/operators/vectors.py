@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from haggle.sources.storage import shared_folder
+
 DIMENSIONS = 1024
 
 
@@ -58,34 +62,50 @@ def dense(text: Column, dimensions: int = DIMENSIONS) -> Column:
 
 
 #: Query rows that one scan carries, and rows that a task compares with them at once.
-QUERY_BLOCK, _ROWS = 2048, 256
+QUERY_BLOCK, _ROWS = 2048, 1024
+
+
+def staged_folder(spark: SparkSession) -> str:
+    """A new folder for a table that is written in parts."""
+    return f"{shared_folder(spark)}/similar-{uuid.uuid4().hex}"
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors from their entries."""
-    out = np.zeros((len(column), DIMENSIONS))
+def _postings(ids: np.ndarray, column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Queries by bucket: ids; for each bucket where its postings begin; of each posting the query's number and weight."""
     flat = column.flatten()
-    size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-    out[np.repeat(np.arange(len(column)), size), flat.field("bucket").to_numpy() - 1] = flat.field("weight").to_numpy()
-    return out
+    size, bucket = pc.list_value_length(column).to_numpy(zero_copy_only=False), flat.field("bucket").to_numpy()
+    order = np.argsort(bucket, kind="stable")
+    begin = np.searchsorted(bucket[order], np.arange(DIMENSIONS + 2))
+    return ids, begin, np.repeat(np.arange(len(ids)), size)[order], flat.field("weight").to_numpy()[order]
 
 
-def _best(ids: np.ndarray, queries: np.ndarray, k: int):
-    """mapInArrow function over (id, e): the k rows of a partition most similar to each query, and no row without a bucket in common."""
+def _best(queries: Broadcast, k: int):
+    """mapInArrow function over (id, e): the k rows of a partition most similar to each query, and no row without a bucket in common.
+
+    Only the entries that a row and a query share are multiplied, and only what may be among a query's best is sorted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, place = np.full((len(ids), k), -1.0), np.zeros((len(ids), k), np.int64)
+        ids, begin, number, weight = queries.value
+        query, place, score, least = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(len(ids))
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
-                own = part.column("id").to_numpy()
-                found = np.round(queries @ _matrix(part.column("e")).T, 6)
-                found[(found <= 0) | (ids[:, None] == own)] = -1.0
-                scores, places = np.concatenate([score, found], axis=1), np.concatenate([place, np.broadcast_to(own, found.shape)], axis=1)
-                order = np.lexsort((places, -scores))[:, :k]
-                score, place = np.take_along_axis(scores, order, 1), np.take_along_axis(places, order, 1)
-        q, c = np.nonzero(score > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(place[q, c]), pa.array(score[q, c])], names=["query_id", "id", "similarity"])
+                own, column = part.column("id").to_numpy(), part.column("e")
+                flat, size = column.flatten(), pc.list_value_length(column).to_numpy(zero_copy_only=False)
+                bucket = flat.field("bucket").to_numpy()
+                n = begin[bucket + 1] - begin[bucket]
+                take = np.arange(int(n.sum())) + np.repeat(begin[bucket] - (np.cumsum(n) - n), n)
+                cell = number[take] * len(own) + np.repeat(np.repeat(np.arange(len(own)), size), n)
+                found = np.round(np.bincount(cell, weight[take] * np.repeat(flat.field("weight").to_numpy(), n), len(ids) * len(own)), 6).reshape(len(ids), len(own))
+                q, c = np.nonzero((found > 0) & (found >= least[:, None]) & (ids[:, None] != own))
+                query, place, score = np.concatenate([query, q]), np.concatenate([place, own[c]]), np.concatenate([score, found[q, c]])
+                order = np.lexsort((place, -score, query))
+                query, place, score = query[order], place[order], score[order]
+                rank = np.arange(len(query)) - np.searchsorted(query, query)
+                query, place, score, rank = (x[rank < k] for x in (query, place, score, rank))
+                least[query[rank == k - 1]] = score[rank == k - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(place), pa.array(score)], names=["query_id", "id", "similarity"])
 
     return run
 
@@ -93,19 +113,26 @@ def _best(ids: np.ndarray, queries: np.ndarray, k: int):
 def similar_titles(rows: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """The k rows most similar to each query row: query_id, rank, id, similarity (6 digits; ties: the smaller id).
 
-    Queries go out in blocks of about `block`; every partition compares its rows with a block and gives k rows a query, so common
-    trigrams cost no more than rare ones. A row that shares no bucket with a query, and the query itself, is no result.
+    The vectors are written out once. Queries go out in blocks of about `block`, as lists of entries by bucket; every partition compares its rows with a block and
+    gives k rows a query, which are written before the next block goes out. A row that shares no bucket with a query, and the query itself, is no result.
     """
-    vectors = rows.select(F.col(id_col).cast("long").alias("id"), entries(F.col(text_col)).alias("e")).where("id is not null and size(e) > 0")
+    spark, folder, found = rows.sparkSession, staged_folder(rows.sparkSession), staged_folder(rows.sparkSession)
+    schema = "query_id long, id long, similarity double"
+    rows.select(F.col(id_col).cast("long").alias("id"), entries(F.col(text_col)).alias("e")).where("id is not null and size(e) > 0").write.parquet(folder)
+    vectors = spark.read.parquet(folder)
     asked = queries.select(F.col(id_col).cast("long").alias("id"), entries(F.col(text_col)).alias("e")).where("id is not null and size(e) > 0")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.lit(max(1, asked.count())) / block)))
-    found = None
-    for b in range(-(-max(1, asked.count()) // block)):
+    n = -(-max(1, asked.count()) // block)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
+    spark.createDataFrame([], schema).write.parquet(found)
+    for b in range(n):
         own = asked.where(F.col("block") == b).select("id", "e").toArrow().combine_chunks()
-        part = vectors.mapInArrow(_best(own.column("id").to_numpy(), _matrix(own.column("e").combine_chunks()) if own.num_rows else np.zeros((0, DIMENSIONS)), k), "query_id long, id long, similarity double")
-        found = part if found is None else found.union(part)
+        if own.num_rows:
+            shared = spark.sparkContext.broadcast(_postings(own.column("id").to_numpy(), own.column("e").combine_chunks()))
+            vectors.mapInArrow(_best(shared, k), schema).write.mode("append").parquet(found)
+            shared.unpersist()
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumnRenamed("id", id_col).select("query_id", "rank", id_col, "similarity")
+    ranked = spark.read.schema(schema).parquet(found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.withColumnRenamed("id", id_col).select("query_id", "rank", id_col, "similarity")
 
 
 def unit(v: Column) -> Column:

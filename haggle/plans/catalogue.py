@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haggle.functions import html, parsers, text
-from haggle.operators import collect, export, feed, forum, upsert, vectors
+from haggle.operators import ann, collect, export, feed, forum, upsert, vectors
 from haggle.plans.sites import SITES
 from haggle.sources import schemas
 from haggle.sources.storage import table
@@ -409,6 +409,15 @@ def trigram_topk(spark, d):
     return vectors.similar_titles(titles, titles.where("id % 20 = 0"), "id", "p_name", 5).select("query_id", "rank", "id", "similarity")
 
 
+@query("SELECT count(*) AS n_queries, true AS nine_in_ten FROM customer WHERE c_custkey % 20 = 0")
+def title_index(spark, d):
+    """Whether the graph index finds nine in ten of the rows most similar to each twentieth name."""
+    names = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("subject"))
+    asked = names.where("id % 20 = 0")
+    found = ann.nearest(ann.graphs(names, "id", "subject").checkpoint(), asked, "id", "subject", 5)
+    return ann.recall(vectors.similar_titles(names, asked, "id", "subject", 5), found).select("n_queries", (F.col("recall") >= 0.9).alias("nine_in_ten"))
+
+
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE vec_id = 7)
 SELECT vec_id, round(list_dot_product(e, qe) / sqrt(list_dot_product(e, e)) / sqrt(list_dot_product(qe, qe)), 6) AS similarity FROM v, q ORDER BY similarity DESC, vec_id LIMIT 10""")
 def embedding_topk(spark, d):
