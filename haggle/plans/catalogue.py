@@ -19,6 +19,7 @@ from haggle.plans.sites import SITES
 from haggle.sources import schemas
 from haggle.sources.storage import table
 from haggle.streaming.ingest import Ingest, all_succeeded
+from haggle.streaming.state import StateFold, use_rocksdb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -233,6 +234,16 @@ def stream_upsert(spark, d):
     return _stamped(ingest.current())
 
 
+@query(_UPSERT_SQL)
+def stream_state(spark, d):
+    """The same fold with the table in the state store."""
+    schema = table(spark, d, "events").schema
+    with use_rocksdb(spark):
+        state = StateFold(spark, schema, "user_id", ["ts", "event_id"], _POLICY)
+        state.start(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/events*.parquet"), availableNow=True).awaitTermination()
+        return state.current().select("user_id", *_POLICY, F.col("first_ts").alias("create_at"), F.col("last_ts").alias("update_at"))
+
+
 # --- threads --------------------------------------------------------------------------------------------------
 
 
