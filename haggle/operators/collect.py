@@ -28,7 +28,7 @@ def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def rows_per_page(list_pages: DataFrame, selector: str) -> DataFrame:
     """How many rows each list page (url, html) has: url, n_rows."""
-    return list_pages.select("url", F.size(html.rows(F.col("html"), selector, {"row": "= string"})).alias("n_rows"))
+    return html.matches(list_pages.select("url", "html"), "html", selector, "n_rows")
 
 
 def fragments(site: Site, list_pages: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def fragments(site: Site, list_pages: DataFrame) -> DataFrame:
     Each row is read for itself; a row without an id says nothing and goes. Of a post on several pages the first row by page
     and place counts.
     """
-    found = list_pages.select(F.col("url").alias("list_url"), F.posexplode(html.rows(F.col("html"), site.list_rows, site.list_fields)).alias("place", "r")).select("list_url", "place", "r.*")
+    found = html.rows(list_pages.select(F.col("url").alias("list_url"), "html"), "html", site.list_rows, site.list_fields)
     url = site.typed()["origin_url"]
     found = found.withColumn("article_id", site.derived["article_id"]()).withColumn("detail_url", url).where("article_id is not null")
     return first_seen(found, ["detail_url"], ["list_url", "place"]).drop("place")
@@ -50,8 +50,8 @@ def with_details(rows: DataFrame, details: DataFrame, key: str) -> DataFrame:
 
 def items(site: Site, list_pages: DataFrame, detail_pages: DataFrame) -> DataFrame:
     """Raw items: fragments joined with the fields of their own pages (url, html). Posts without a page go."""
-    details = detail_pages.select(F.col("url").alias("detail_url"), html.fields(F.col("html"), site.detail_fields).alias("d"))
-    joined = with_details(fragments(site, list_pages), details, "detail_url").select("*", "d.*").drop("d")
+    details = html.fields(detail_pages.select(F.col("url").alias("detail_url"), "html"), "html", site.detail_fields)
+    joined = with_details(fragments(site, list_pages), details, "detail_url")
     return joined.withColumn("time_text", site.derived["time_text"]()) if "time_text" in site.derived else joined
 
 

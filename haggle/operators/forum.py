@@ -44,25 +44,32 @@ def thread(comments: DataFrame, post: object = None, parent: object = None) -> D
     return comments.orderBy("created_at", "id")
 
 
-def paths(comments: DataFrame, depth: int = 100) -> DataFrame:
-    """Every comment with its root, depth (0 for a root) and path of ids from the root.
+def paths(comments: DataFrame, with_path: bool = True, most_rounds: int = 64) -> DataFrame:
+    """Every comment with its root, depth (0 for a root) and, if asked for, the path of ids from the root.
 
-    A join for each level until a level is empty, each level written out, so none is computed twice. Comments that no root leads to are not in a tree and go. A tree
-    deeper than depth is an error, not cut.
+    A comment looks to its parent, then to what its parent looks to, and so on: each round doubles how far up everyone sees, so a tree of depth d takes log2(d) rounds
+    and no depth is too much (a table of 2 to the most_rounds comments would be an error). Every round is written out. Comments that no root leads to, for want of a parent or by a circle, are in no tree
+    and go.
     """
-    edges = comments.select("post_id", "id", "parent_id")
-    level = edges.where("parent_id is null").select("post_id", "id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.array("id").alias("path"))
-    found, n = level, 0
-    replies = edges.where("parent_id is not null").withColumnsRenamed({"id": "reply", "post_id": "its_post"})
+    reply = F.col("parent_id").isNotNull()
     shared_folder(comments.sparkSession)
-    while True:
-        level = replies.join(level, (F.col("parent_id") == F.col("id")) & (F.col("its_post") == F.col("post_id"))).select("post_id", F.col("reply").alias("id"), "root_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("reply")).alias("path")).checkpoint()
-        if level.isEmpty():
-            return found
-        n += 1
-        if n > depth:
-            raise ValueError(f"a tree is deeper than {depth}")
-        found = found.unionByName(level)
+    path = [F.array("id").alias("path")] if with_path else []
+    start = comments.select("post_id", "id", F.col("parent_id").alias("up"), F.when(~reply, F.col("id")).alias("root_id"), reply.cast("int").alias("depth"), *path).checkpoint()
+    done, open_, n_open = start.where("up is null"), start.where("up is not null"), -1
+    for k in range(most_rounds + 1):
+        n = open_.count()
+        if n in (0, n_open):  # a round brings at least the nearest to their root: what is left leads round in circles
+            return done.drop("up")
+        if k == most_rounds:
+            break
+        n_open, known = n, done.unionByName(open_)
+        seen = known.select(*(F.col(c).alias(f"its_{c}") for c in known.columns))
+        longer = [F.concat("its_path", "path").alias("path")] if with_path else []
+        # of a missing parent nothing is seen, and the comment goes
+        met = open_.join(seen, (F.col("up") == F.col("its_id")) & (F.col("post_id") == F.col("its_post_id")))
+        now = met.select("post_id", "id", F.col("its_up").alias("up"), F.col("its_root_id").alias("root_id"), (F.col("depth") + F.col("its_depth")).alias("depth"), *longer).checkpoint()
+        done, open_ = done.unionByName(now.where("up is null")), now.where("up is not null")
+    raise ValueError(f"more than {most_rounds} rounds")
 
 
 def nested_replies(comments: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ part names for titles.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -17,7 +18,7 @@ from haggle.functions import html, parsers, text
 from haggle.operators import ann, collect, export, feed, forum, upsert, vectors
 from haggle.plans.sites import SITES
 from haggle.sources import schemas
-from haggle.sources.storage import table
+from haggle.sources.storage import shared_folder, table
 from haggle.streaming.ingest import Ingest, all_succeeded
 from haggle.streaming.state import StateFold, use_rocksdb
 
@@ -304,14 +305,14 @@ def strip_tags(spark, d):
 
 @query(r"SELECT page_id, replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
 def html_title(spark, d):
-    return table(spark, d, "pages").select("page_id", html.fields(F.col("html"), {"title": "title text"})["title"].alias("title"))
+    return html.fields(table(spark, d, "pages").select("page_id", "html"), "html", {"title": "title text"})
 
 
 @query(r"""SELECT page_id, pos, regexp_extract(x, 'href="([^"]*)"', 1) AS href, regexp_extract(x, '>([^<]*)</a>', 1) AS label FROM (
 SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a>')) AS x, unnest(range(len(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a>'))))::INT AS pos FROM pages)""")
 def html_links(spark, d):
-    links = html.rows(F.col("html"), "nav li a", {"href": "= @href", "label": "= text"})
-    return table(spark, d, "pages").select("page_id", F.posexplode(links).alias("pos", "r")).select("page_id", "pos", "r.*")
+    links = html.rows(table(spark, d, "pages").select("page_id", "html"), "html", "nav li a", {"href": "= @href", "label": "= text"})
+    return links.withColumnRenamed("place", "pos")
 
 
 @query(r"""WITH f AS (SELECT page_id, url, len(regexp_extract_all(html, '<li><a href="[^"]*">')) AS n_links, row_number() OVER (PARTITION BY url ORDER BY page_id) AS nth FROM pages),
@@ -319,8 +320,8 @@ t AS (SELECT url, replace(replace(replace(regexp_extract(html, '<title>([^<]*)</
 SELECT f.page_id, f.n_links::INT AS n_links, t.title FROM f JOIN t USING (url) WHERE nth = 1""")
 def list_detail_join(spark, d):
     pages = table(spark, d, "pages")
-    fragments = collect.first_seen(pages.select("page_id", "url", F.size(html.rows(F.col("html"), "nav li a", {"href": "= @href"})).alias("n_links")), ["url"], ["page_id"])
-    details = pages.select("url", html.fields(F.col("html"), {"title": "title text"}).alias("f")).select("url", "f.title")
+    fragments = collect.first_seen(html.matches(pages.select("page_id", "url", "html"), "html", "nav li a", "n_links"), ["url"], ["page_id"])
+    details = html.fields(pages.select("url", "html"), "html", {"title": "title text"})
     return collect.with_details(fragments, details, "url").select("page_id", "n_links", "title")
 
 
@@ -343,8 +344,7 @@ def request_dedup(spark, d):
 @query(r"""SELECT page_id, nullif(regexp_extract(html, '<li><a href="([^"]*)"', 1), '') AS first_href, nullif(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)[2], '') AS second_href FROM pages""")
 def html_positions(spark, d):
     """The first and the second link of lists that have one, by position and by what an element holds."""
-    found = html.fields(F.col("html"), {"first_href": "nav:has(a) li ~0 > a @href", "second_href": "nav:has(a) li ~1 > a @href"})
-    return table(spark, d, "pages").select("page_id", found.alias("f")).select("page_id", "f.*")
+    return html.fields(table(spark, d, "pages").select("page_id", "html"), "html", {"first_href": "nav:has(a) li ~0 > a @href", "second_href": "nav:has(a) li ~1 > a @href"})
 
 
 @query("SELECT c_custkey, c_custkey::VARCHAR AS id, c_mktsegment AS seg, 1700000000 + c_custkey AS expiry FROM customer")
@@ -444,6 +444,15 @@ def export_projection(spark, d):
     return export.headed(export.chosen(table(spark, d, "orders"), ["o_totalprice", "o_orderkey", "o_orderdate"], _FEED), {"o_orderkey": "Order"})
 
 
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+def export_workbook(spark, d):
+    """Orders written as workbooks under headings and read back."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    export.write_workbooks(orders, path, {"o_orderkey": "Order"})
+    return export.read_workbooks(spark, path, orders.schema)
+
+
 @query("SELECT to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_mktsegment': c_mktsegment})::VARCHAR AS json FROM customer")
 def json_rows(spark, d):
     return export.as_json(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"))

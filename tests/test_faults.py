@@ -79,7 +79,7 @@ def test_times_do_not_depend_on_the_session(spark, zone):
 
 def test_deep_pages(spark):
     df = spark.createDataFrame([("<b>" * 5000 + "deep<p>x",)], "h string")
-    row = df.select(html.fields(F.col("h"), {"p": "p text", "all": "b string"}).alias("f")).select("f.*").first()
+    row = html.fields(df, "h", {"p": "p text", "all": "b string"}).select("p", "all").first()
     assert row.p == "x" and row["all"] == "deepx"
 
 

@@ -91,7 +91,16 @@ def test_thread(spark):
     assert nested[1] == [3, 2] and nested[2] == [4] and nested[4] == []
     assert {r.id: r.path for r in forum.paths(df).collect()} == {1: [1], 2: [1, 2], 3: [1, 3], 4: [1, 2, 4], 9: [9]}
     with pytest.raises(ValueError):
-        forum.paths(df, depth=1)
+        forum.paths(df, most_rounds=1)
+
+
+def test_a_chain_of_ten_thousand_in_fifteen_rounds(spark):
+    chain = spark.range(1, 10_001).select(F.lit(1).alias("post_id"), "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent_id"))
+    # a circle, what hangs on it, and what hangs on nothing
+    others = spark.createDataFrame([(1, 20_001, 20_003), (1, 20_002, 20_001), (1, 20_003, 20_002), (1, 20_004, 20_003), (1, 30_001, 30_000), (1, 30_002, 30_001), (2, 1, None), (2, 2, 1)], "post_id int, id long, parent_id long")
+    found = forum.paths(chain.unionByName(others), with_path=False, most_rounds=15)
+    assert found.where("post_id = 1").agg(F.count("*"), F.sum("depth"), F.max("depth"), F.max("root_id")).first() == (10_000, 10_000 * 9_999 // 2, 9_999, 1)
+    assert sorted(map(tuple, found.where("post_id = 2").select("id", "root_id", "depth").collect())) == [(1, 1, 0), (2, 1, 1)]
 
 
 def test_export(spark, tmp_path):
