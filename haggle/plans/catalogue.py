@@ -18,8 +18,8 @@ from haggle.functions import html, parsers, text
 from haggle.operators import ann, collect, export, feed, forum, upsert, vectors
 from haggle.plans.sites import SITES
 from haggle.sources import schemas
-from haggle.sources.storage import shared_folder, table
-from haggle.streaming.ingest import Ingest, all_succeeded
+from haggle.sources.storage import shared_folder, table, write_keyed
+from haggle.streaming.ingest import Ingest, all_succeeded, first_requests
 from haggle.streaming.state import StateFold, use_rocksdb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,15 @@ def lookup_by_key(spark, d):
     return feed.only(table(spark, d, "customer"), "c_custkey", 42)
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42 OR c_name = 'Customer#000000043'")
+def keyed_lookup(spark, d):
+    """A lookup by key and one by name over a table that is laid out for them."""
+    path = f"{shared_folder(spark)}/customers-{uuid.uuid4().hex}"
+    write_keyed(table(spark, d, "customer").select("c_custkey", "c_name"), path, "c_custkey", ("c_name",), 1024)
+    stored = spark.read.parquet(path)
+    return feed.only(stored, "c_custkey", 42).unionByName(feed.only(stored, "c_name", "Customer#000000043"))
+
+
 @query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey DESC LIMIT 20 OFFSET 20")
 def admin_page(spark, d):
     return feed.numbered_page(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 2, 20)
@@ -245,6 +254,17 @@ def stream_state(spark, d):
         return state.current().select("user_id", *_POLICY, F.col("first_ts").alias("create_at"), F.col("last_ts").alias("update_at"))
 
 
+@query("SELECT DISTINCT url FROM pages")
+def request_stream(spark, d):
+    """The URLs of pages that come in batches, each once."""
+    pages = table(spark, d, "pages")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/pages*.parquet")
+    asked = first_requests(stream.select("url", F.timestamp_seconds(1_700_000_000 + F.col("page_id") % 1000).alias("at")), ["url"], "at", "1 hour")
+    path = f"{shared_folder(spark)}/requests-{uuid.uuid4().hex}"
+    asked.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("url")
+
+
 # --- threads --------------------------------------------------------------------------------------------------
 
 

@@ -21,7 +21,7 @@ class Ingest:
     A batch reads and writes only the buckets of its own keys. Another Ingest on the same path goes on where this one ended.
     """
 
-    def __init__(self, spark: SparkSession, rows: T.StructType, key: str, seq: list[str], policy: dict[str, str], path: str | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, rows: T.StructType, key: str, seq: list[str], policy: dict[str, str], path: str | None = None, buckets: int = 1):
         self.spark, self.key, self.seq, self.policy = spark, key, seq, policy
         self.path = path or f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
         empty = fold(spark.createDataFrame([], rows), key, seq, policy)
@@ -33,7 +33,7 @@ class Ingest:
 
     def batch(self, rows: DataFrame, number: int) -> None:
         new = fold(rows, self.key, self.seq, self.policy).persist()
-        touched = {r.bucket for r in self.table.bucket(new).select("bucket").distinct().collect()}  # at most as many as there are buckets
+        touched = self.table.touched(new, number - 1)
         if touched:
             self.table.write(number, refold(self.table.read(number - 1, touched), new, self.key, self.policy))
         new.unpersist()
@@ -47,6 +47,14 @@ class Ingest:
         return self.table.read()
 
 
+def first_requests(stream: DataFrame, keys: list[str], time_col: str, within: str) -> DataFrame:
+    """The stream without requests whose keys have come before: each comes once, in the batch that brings it first.
+
+    A request is forgotten once the stream's time is `within` past its own, so the state holds the requests of that time only; rows that come later than that go.
+    """
+    return stream.withWatermark(time_col, within).dropDuplicatesWithinWatermark(keys)
+
+
 def all_succeeded(runs: DataFrame, code_col: str, *by: str) -> DataFrame:
     """Whether all runs (of each group) ended with code 0; a run without a code has not."""
     return runs.groupBy(*by).agg(F.bool_and(F.coalesce(F.col(code_col) == 0, F.lit(False))).alias("all_succeeded"))

@@ -22,15 +22,15 @@ def test_another_ingest_goes_on_and_writes_only_its_buckets(spark, tmp_path):
     one = spark.createDataFrame([("a", 1, 10, 1), ("b", 1, 20, 1)], SCHEMA)
     two = spark.createDataFrame([("b", 2, 99, 2)], SCHEMA)
     path = f"file://{tmp_path}/state"
-    ingest.Ingest(spark, one.schema, "key", ["seq"], POLICY, path).batch(one, 0)
+    ingest.Ingest(spark, one.schema, "key", ["seq"], POLICY, path, buckets=64).batch(one, 0)
     again = ingest.Ingest(spark, one.schema, "key", ["seq"], POLICY, path)
     assert again.latest == 0 and plain(again.current()) == [("a", 10, 1), ("b", 20, 1)]
     again.batch(two, 1)
     again.batch(two, 1)  # tried again
     third = ingest.Ingest(spark, one.schema, "key", ["seq"], POLICY, path)
     assert third.latest == 1 and plain(third.current()) == [("a", 10, 1), ("b", 20, 2)]
-    written = [p.name for p in (tmp_path / "state/table/v1").iterdir() if p.name.startswith("bucket=")]
-    assert len(written) == 1
+    written = {f.name: [p.name for p in f.iterdir() if p.name.startswith("bucket=")] for f in (tmp_path / "state/table").iterdir() if f.name.startswith("v1-")}
+    assert written and all(len(x) == 1 for x in written.values())
     third.batch(one.limit(0), 2)
     assert plain(third.current()) == [("a", 10, 1), ("b", 20, 2)]
 
@@ -56,7 +56,7 @@ def test_a_version_that_is_not_whole_is_not_read(spark, tmp_path):
     assert table.latest() == -1 and table.read().count() == 0
     table.write(0, df)
     table.write(1, df.withColumn("x", F.lit(2)))
-    (tmp_path / "t/v1/_SUCCESS").unlink()
+    (tmp_path / "t/manifests/v000000000001.json").unlink()
     assert table.latest() == 0 and [r.x for r in table.read().collect()] == [1]
     for v in (1, 2, 3, 4):
         table.write(v, df.withColumn("x", F.lit(v)))
