@@ -69,9 +69,7 @@ def typed(site: Site, raw: DataFrame, batch_time: str) -> DataFrame:
     }
     for c in ("subject", "shop_name", "category", "thumbnail", "shop_url_1"):
         made.setdefault(c, F.col(c) if c in raw.columns else F.lit(None).cast("string"))
-    must = [c for c in ("article_id", "price", "delivery_price", "recommend_count", "dislike_count", "view_count", "write_at") if c in made]
-    if site.name == "coolnjoy":
-        must.append("shop_name")
+    must = [c for c in ("article_id", "price", "delivery_price", "recommend_count", "dislike_count", "view_count", "write_at") if c in made] + list(site.must)
     bad = F.array_compact(F.array(*(F.when(made[c].isNull(), F.lit(c)) for c in must)))
     return raw.select(*(made[c].alias(c) for c in made), bad.alias("faults"))
 

@@ -78,3 +78,9 @@ def nested_replies(comments: DataFrame) -> DataFrame:
         F.transform(F.sort_array(F.collect_list(F.struct("created_at", F.col("id").alias("reply"), "content")), asc=False), lambda r: F.struct(r["reply"].alias("id"), r["content"].alias("content"), r["created_at"].alias("created_at"))).alias("replies")
     )
     return comments.join(replies, ["post_id", "id"], "left")
+
+
+def comment_list(comments: DataFrame) -> DataFrame:
+    """Comments as the API shows them: id, post, parent, author, content, created_at and replies, the direct ones newest first as an array of (id, content, created_at)."""
+    own = nested_replies(comments.select("post_id", "id", "parent_id", "author_id", "content", "created_at"))
+    return own.select("id", F.col("post_id").alias("post"), F.col("parent_id").alias("parent"), F.col("author_id").alias("author"), "content", "created_at", "replies")

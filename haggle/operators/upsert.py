@@ -68,3 +68,19 @@ def delete_cascade(parents: DataFrame, children: DataFrame, gone: DataFrame, key
     """parents and children without the gone keys and what refers to them."""
     ids = gone.select(F.col(key).alias("_gone"))
     return parents.join(ids, F.col(key) == F.col("_gone"), "left_anti"), children.join(ids, F.col(foreign_key) == F.col("_gone"), "left_anti")
+
+
+def write(table: DataFrame, key: str, created: DataFrame | None = None, changed: DataFrame | None = None, gone: DataFrame | None = None, **server_set: object) -> DataFrame:
+    """table after the writes of an API, in this order: rows created (with keys that it lacks, else they say nothing), changed (see update), and gone by key.
+
+    server_set are columns that the server sets on rows that are created or changed, whatever these bring. With sources.storage.Versions.update the writes of several at once come one after another.
+    """
+    if created is not None:
+        new = created.withColumns({c: F.lit(v) for c, v in server_set.items()})
+        table = insert_missing(table, new.select(*(F.col(f.name).cast(f.dataType) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema)), key)
+    if changed is not None:
+        table = update(table, changed, key, **server_set)
+    if gone is not None:
+        ids = gone.select(F.col(key).alias("_gone")).distinct()
+        table = table.join(ids, F.col(key) == F.col("_gone"), "left_anti")
+    return table

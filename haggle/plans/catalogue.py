@@ -11,14 +11,15 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haggle.functions import html, parsers, text
 from haggle.operators import ann, collect, export, feed, forum, upsert, vectors
 from haggle.plans.sites import SITES
 from haggle.sources import schemas
-from haggle.sources.storage import shared_folder, table, write_keyed
+from haggle.sources.runs import SortedRuns
+from haggle.sources.storage import Versions, shared_folder, table, write_keyed
 from haggle.streaming.ingest import Ingest, all_succeeded, first_requests
 from haggle.streaming.state import StateFold, use_rocksdb
 
@@ -63,6 +64,18 @@ def feed_next_page(spark, d):
     return _page(spark, d, _cursor_after(_page(spark, d)))
 
 
+@query(_FEED_SQL.format(more="true", way="DESC", skip=30))
+def clustered_feed_page(spark, d):
+    """The second page of a feed kept in sorted runs, of which some have been merged."""
+    orders = table(spark, d, "orders").select(*_FEED)
+    runs = SortedRuns(spark, f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}", orders.schema, "o_orderdate", "o_orderkey")
+    for k in range(3):  # as they came in
+        runs.add(orders.where(F.col("o_orderkey") % 3 == k))
+        if k == 1:
+            runs.merge(2)
+    return runs.page(_cursor_after(runs.page()))
+
+
 @query(f"SELECT {', '.join(_FEED)}, false AS has_more FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 29)")
 def feed_previous_page(spark, d):
     return _page(spark, d, _cursor_after(_page(spark, d)), backward=True)
@@ -188,6 +201,14 @@ def post_list(spark, d):
     return forum.post_list(posts, users, comments)
 
 
+def _ppomppu_items(spark, d):
+    return table(spark, d, "part").select(
+        F.col("p_partkey").cast("string").alias("article_id"), F.concat("p_name", F.lit(" ("), (F.col("p_retailprice") * 100).cast("int").cast("string"), F.lit("원/무료)")).alias("subject"), F.concat(F.lit("["), "p_brand", F.lit("]")).alias("shop_name"),
+        F.concat(F.lit("["), "p_type", F.lit("]")).alias("category"), F.lit("view.php").alias("href"), F.lit("t").alias("thumbnail"), F.lit("https://s").alias("shop_url_1"), F.col("p_size").cast("string").alias("recommend_text"), F.lit("1").alias("dislike_text"),
+        F.when(F.col("p_partkey") % 5 == 0, F.lit("many")).otherwise(F.col("p_partkey").cast("string")).alias("view_text"), F.when(F.col("p_partkey") % 7 == 0, F.lit("soon")).otherwise(F.lit("\n 2024-01-02 03:04 ")).alias("time_text"),
+    )
+
+
 _TYPED_SQL = """SELECT 'ppompu' || p_partkey AS article_id, 'PPOMPPU' AS community_name, p_name || ' (' || floor(p_retailprice * 100)::INT || '원/무료)' AS subject, p_brand AS shop_name, p_type AS category,
 floor(p_retailprice * 100)::INT AS price, 0 AS delivery_price, p_size AS recommend_count, 1 AS dislike_count, CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE p_partkey::INT END AS view_count,
 CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 18:04:00' END AS write_at, TIMESTAMP '2024-02-01 00:00:00' AS crawled_at,
@@ -197,12 +218,7 @@ concat_ws(',', CASE WHEN p_partkey % 5 = 0 THEN 'view_count' END, CASE WHEN p_pa
 @query(_TYPED_SQL)
 def typed_deals(spark, d):
     """Raw items of a site as columns of a deal, with the columns that could not be read."""
-    raw = table(spark, d, "part").select(
-        F.col("p_partkey").cast("string").alias("article_id"), F.concat("p_name", F.lit(" ("), (F.col("p_retailprice") * 100).cast("int").cast("string"), F.lit("원/무료)")).alias("subject"), F.concat(F.lit("["), "p_brand", F.lit("]")).alias("shop_name"),
-        F.concat(F.lit("["), "p_type", F.lit("]")).alias("category"), F.lit("view.php").alias("href"), F.lit("t").alias("thumbnail"), F.lit("https://s").alias("shop_url_1"), F.col("p_size").cast("string").alias("recommend_text"), F.lit("1").alias("dislike_text"),
-        F.when(F.col("p_partkey") % 5 == 0, F.lit("many")).otherwise(F.col("p_partkey").cast("string")).alias("view_text"), F.when(F.col("p_partkey") % 7 == 0, F.lit("soon")).otherwise(F.lit("\n 2024-01-02 03:04 ")).alias("time_text"),
-    )
-    made = collect.typed(SITES["ppomppu"], raw, "2024-02-01 00:00:00").withColumn("faults", F.array_join("faults", ","))
+    made = collect.typed(SITES["ppomppu"], _ppomppu_items(spark, d), "2024-02-01 00:00:00").withColumn("faults", F.array_join("faults", ","))
     return made.select("article_id", "community_name", "subject", "shop_name", "category", "price", "delivery_price", "recommend_count", "dislike_count", F.coalesce("view_count", F.lit(-1)).alias("view_count"), "write_at", "crawled_at", "faults")
 
 
@@ -214,6 +230,95 @@ def api_projection(spark, d):
     return export.chosen(good.withColumn("subject", F.regexp_extract("subject", r"^(.*) \(\d+원", 1)), ["article_id", "shop_name", "price", "subject"], allowed)
 
 
+_SITE_COLUMNS = "article_id community_name subject shop_name category price delivery_price recommend_count view_count origin_url thumbnail write_at faults".split()
+
+
+def _site_deals(spark, d, name: str, **texts) -> DataFrame:
+    """Parts as raw items of a site, then as columns of a deal."""
+    site, k = SITES[name], F.col("p_partkey").cast("string")
+    common = {"category": F.col("p_type"), "recommend_text": F.col("p_size").cast("string"), "view_text": k, "shop_url_1": F.lit("https://s"), "dislike_text": F.lit("0")}
+    raw = table(spark, d, "part").select(*(c.alias(n) for n, c in (common | texts).items()))
+    made = collect.typed(site, raw.withColumn("article_id", site.derived["article_id"]()), "2024-02-01 00:00:00").withColumn("faults", F.array_join("faults", ","))
+    shown = {c: F.col(c) if c in made.columns else F.lit(None).cast("int") for c in _SITE_COLUMNS}
+    return made.select(*((F.coalesce(shown[c], F.lit(-1)) if c in ("delivery_price", "view_count") else shown[c]).alias(c) for c in _SITE_COLUMNS))
+
+
+def _text(*parts) -> Column:
+    return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+
+
+def _k() -> Column:
+    return F.col("p_partkey")
+
+
+@query(f"""SELECT 'arca' || p_partkey AS article_id, 'ARCA' AS community_name, p_name AS subject, p_brand AS shop_name, p_type AS category, CASE WHEN p_partkey % 3 = 0 THEN p_partkey ELSE p_partkey * 1000 END::INT AS price,
+CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 2500 ELSE -1 END AS delivery_price, p_size AS recommend_count, p_partkey::INT AS view_count, 'https://arca.live/b/hotdeal/' || p_partkey || '?p=1' AS origin_url, 'https://img/' || p_partkey AS thumbnail,
+TIMESTAMP '2024-01-02 03:04:05' AS write_at, CASE WHEN p_partkey % 3 = 2 THEN 'delivery_price' ELSE '' END AS faults FROM part""")
+def typed_arca(spark, d):
+    return _site_deals(
+        spark, d, "arca", href=_text("/b/hotdeal/", _k().cast("string"), "?p=1"), subject=F.col("p_name"), shop_name=F.col("p_brand"), thumbnail=_text("//img/", _k().cast("string")),
+        price_text=F.when(_k() % 3 == 0, _text("$", _k().cast("string"), ".50")).otherwise(_text(_k().cast("string"), ",000", parsers.WON_SIGN)),
+        delivery_text=F.when(_k() % 3 == 0, F.lit(parsers.FREE)).when(_k() % 3 == 1, _text("2,500", parsers.WON_SIGN)).otherwise(F.lit("ask")), time_text=F.lit(" 2024-01-02 03:04:05"),
+    )
+
+
+@query("""SELECT 'coolnjoy' || p_partkey AS article_id, 'coolnjoy' AS community_name, s.subject, CASE WHEN p_partkey % 4 <> 0 THEN p_brand END AS shop_name, p_type AS category, (p_partkey * 1000)::INT AS price, -1 AS delivery_price,
+p_size AS recommend_count, p_partkey::INT AS view_count, 'https://c/jirum/' || p_partkey || '?page=1' AS origin_url, 't' AS thumbnail, TIMESTAMP '2024-01-01 18:04:00' AS write_at, CASE WHEN p_partkey % 4 = 0 THEN 'shop_name' ELSE '' END AS faults
+FROM part, LATERAL (SELECT CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE '[' || p_brand || '] ' || p_name END AS subject) s""")
+def typed_coolnjoy(spark, d):
+    return _site_deals(
+        spark, d, "coolnjoy", href=_text("\n https://c/jirum/", _k().cast("string"), "?page=1 "), subject=_text(F.when(_k() % 4 == 0, F.lit("\n")).otherwise(_text(" [", F.col("p_brand"), "] ")), F.col("p_name"), "\t"),
+        price_text=_text("\n", _k().cast("string"), ",000", parsers.WON_SIGN, " "), view_text=_text("seen ", _k().cast("string"), " times"), thumbnail=F.lit("t"), time_text=F.lit("2024.01.02 03:04"),
+    )
+
+
+@query("""SELECT 'eomisae' || p_partkey AS article_id, 'EOMISAE' AS community_name, p_name AS subject, NULL::INT AS shop_name, p_type AS category, 0 AS price, 0 AS delivery_price, p_size AS recommend_count,
+CASE WHEN p_partkey % 5 <> 0 THEN p_partkey ELSE -1 END::INT AS view_count, 'https://e/?document_srl=' || p_partkey AS origin_url, 't' AS thumbnail, TIMESTAMP '2024-01-01 18:04:05' AS write_at, CASE WHEN p_partkey % 5 = 0 THEN 'view_count' ELSE '' END AS faults FROM part""")
+def typed_eomisae(spark, d):
+    return _site_deals(
+        spark, d, "eomisae", href=_text("https://e/?document_srl=", _k().cast("string")), subject=_text("\n\t", F.col("p_name"), " \r\n"), thumbnail=F.lit("t"),
+        view_text=F.when(_k() % 5 != 0, _k().cast("string")).otherwise(F.lit("1.5k")), time_text=F.lit("2024-01-02 03:04:05"),
+    )
+
+
+@query(f"""SELECT 'fm' || p_partkey AS article_id, 'FMKOREA' AS community_name, p_name || ' (' || (100 + p_partkey % 900) || ',000원/무료)' AS subject, p_brand AS shop_name, p_type AS category, ((100 + p_partkey % 900) * 1000)::INT AS price,
+CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 3000 ELSE 0 END AS delivery_price, p_size AS recommend_count, p_partkey::INT AS view_count, 'https://www.fmkorea.com/' || p_partkey AS origin_url, 't' AS thumbnail,
+TIMESTAMP '2024-01-01 18:04:00' AS write_at, '' AS faults FROM part""")
+def typed_fmkorea(spark, d):
+    return _site_deals(
+        spark, d, "fmkorea", href=_text("/", _k().cast("string")), subject=_text("<b>", F.col("p_name"), "</b>\n (", (100 + _k() % 900).cast("string"), ",000원/무료)"), shop_name=F.col("p_brand"), thumbnail=F.lit("t"),
+        delivery_text=F.when(_k() % 3 == 0, _text(parsers.FREE, " 3000")).when(_k() % 3 == 1, F.lit("about 3000 or 4000")).otherwise(F.lit("ask")), time_text=F.lit("2024.01.02 03:04"),
+    )
+
+
+@query(f"""SELECT 'ppompu' || p_partkey AS article_id, 'PPOMPPU' AS community_name, 'https://www.ppomppu.co.kr/zboard/view.php' AS origin_url, 'https://s' AS shop_url_1, NULL::INT AS shop_url_2, p_brand AS shop_name, 't' AS thumbnail,
+p_name || ' (' || floor(p_retailprice * 100)::INT || '원/무료)' AS subject, p_type AS category, floor(p_retailprice * 100)::INT AS price, NULL::INT AS currency, 0 AS delivery_price, p_size AS recommend_count, 1 AS dislike_count, p_partkey::INT AS view_count,
+TIMESTAMP '2024-02-01 00:00:00' AS create_at, TIMESTAMP '2024-01-01 18:04:00' AS write_at, TIMESTAMP '2024-02-01 00:00:00' AS update_at, TIMESTAMP '2024-02-01 00:00:00' AS crawled_at, false AS is_end FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0""")
+def api_deals(spark, d):
+    """All twenty columns that the API shows, of deals without faults in the shape of the table."""
+    good, _ = collect.split_faults(collect.typed(SITES["ppomppu"], _ppomppu_items(spark, d), "2024-02-01 00:00:00"))
+    deals = schemas.shaped(good.withColumns({"create_at": F.col("crawled_at"), "is_end": F.lit(False)}), schemas.DEALS.replace(" timestamp", " timestamp_ntz"))
+    return export.chosen(deals, None, schemas.API_COLUMNS)
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'NOTICE' ELSE 'NORMAL' END AS post_type, o_orderstatus AS title, o_orderpriority AS content, o_custkey AS author_id, (o_orderkey % 7)::INT AS view_count, o_orderdate AS created_at,
+o_custkey AS created_id, o_orderdate AS updated_at, o_custkey AS updated_id, false AS is_hidden, o_orderstatus = 'F' AS is_delete FROM orders""")
+def admin_posts(spark, d):
+    """All columns of posts, as the admin list shows them."""
+    posts = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "NOTICE").otherwise("NORMAL").alias("post_type"), F.col("o_orderstatus").alias("title"), F.col("o_orderpriority").alias("content"), F.col("o_custkey").alias("author_id"),
+        (F.col("o_orderkey") % 7).alias("view_count"), F.col("o_orderdate").alias("created_at"), F.col("o_custkey").alias("created_id"), F.col("o_orderdate").alias("updated_at"), F.col("o_custkey").alias("updated_id"), F.lit(False).alias("is_hidden"), (F.col("o_orderstatus") == "F").alias("is_delete"),
+    )
+    return export.chosen(posts.withColumn("view_count", F.col("view_count").cast("int")), None, schemas.ADMIN_LISTS["post"])
+
+
+@query("SELECT p_partkey AS cool_n_joy_id, p_type AS category, p_name AS subject, TIMESTAMP '2024-02-01 00:00:00' AS create_at, p_size AS recommend_count FROM part")
+def admin_single_site(spark, d):
+    """The list of a single site's table from before there was one for all."""
+    old = table(spark, d, "part").select(F.col("p_partkey").alias("cool_n_joy_id"), F.col("p_type").alias("category"), F.col("p_name").alias("subject"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz").alias("create_at"), F.col("p_size").alias("recommend_count"), "p_brand")
+    return export.chosen(old, None, schemas.ADMIN_LISTS["coolnjoy"])
+
+
 # --- upserts --------------------------------------------------------------------------------------------------
 
 _POLICY = {"event_type": upsert.FIRST, "value": upsert.LAST, "props": upsert.LAST}
@@ -265,6 +370,18 @@ def request_stream(spark, d):
     return spark.read.parquet(f"{path}/out").select("url")
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 10 = 1 THEN 'renamed' ELSE c_name END AS c_name, CASE WHEN c_custkey % 10 = 1 THEN 'server' END AS updated_by FROM customer WHERE c_custkey % 10 <> 0
+UNION ALL SELECT -1 - c_custkey, c_name, 'server' FROM customer WHERE c_custkey % 4 = 0""")
+def api_writes(spark, d):
+    """Rows created, changed and deleted as an API would, with a column that the server sets; made as one version."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", F.lit(None).cast("string").alias("updated_by"))
+    store = Versions(spark, f"{shared_folder(spark)}/deals-{uuid.uuid4().hex}", rows.schema, "c_custkey", 8)
+    store.write(0, rows)
+    few = rows.where("c_custkey % 4 = 0").select((-1 - F.col("c_custkey")).alias("c_custkey"), "c_name").unionByName(rows.where("c_custkey = 1").select("c_custkey", "c_name"))
+    store.update(lambda t: upsert.write(t, "c_custkey", few, rows.where("c_custkey % 10 = 1").select("c_custkey", F.lit("renamed").alias("c_name")), rows.where("c_custkey % 10 = 0"), updated_by="server"))
+    return store.read()
+
+
 # --- threads --------------------------------------------------------------------------------------------------
 
 
@@ -304,6 +421,14 @@ def thread_nested(spark, d):
     return forum.nested_replies(_comments(spark, d)).select("id", F.coalesce(F.size("replies"), F.lit(0)).cast("long").alias("n_replies"), F.coalesce(F.try_element_at("replies", F.lit(1))["id"], F.lit(-1)).alias("newest_reply"))
 
 
+@query("""SELECT a.conv_id * 1000 + a.turn AS id, a.conv_id AS post, CASE WHEN a.turn > 0 THEN a.conv_id * 1000 + a.turn - 1 ELSE -1 END AS parent, a.conv_id % 7 AS author, a.text AS content, a.turn AS created_at, coalesce((b.conv_id * 1000 + b.turn)::VARCHAR || ':' || b.text, '') AS replies
+FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def comment_list(spark, d):
+    """The seven columns of comments, replies as id:content."""
+    shown = forum.comment_list(_comments(spark, d).withColumn("author_id", F.col("post_id") % 7))
+    return shown.withColumn("parent", F.coalesce("parent", F.lit(-1))).withColumn("replies", F.coalesce(F.array_join(F.transform("replies", lambda r: F.concat(r["id"].cast("string"), F.lit(":"), r["content"])), ","), F.lit("")))
+
+
 # --- text and HTML --------------------------------------------------------------------------------------------
 
 

@@ -35,6 +35,8 @@ class Site:
     policy: dict[str, str]
     zone: str = "Asia/Seoul"
     derived: dict[str, Callable[[], Column]] = field(default_factory=dict)
+    #: Columns without which a row is at fault, besides those that every site must have if it sets them.
+    must: tuple[str, ...] = ()
 
 
 def _policy(first: str, last: str) -> dict[str, str]:
@@ -82,7 +84,7 @@ SITES = {
                 "subject": strip(F.col("subject")), "category": strip(F.col("category")),
             },
             _policy(f"{_DETAILS} origin_url currency community_name", "recommend_count view_count update_at"),
-            derived={"article_id": lambda: F.nullif(F.regexp_extract("href", r"jirum/(.*?)\?", 1), F.lit(""))},
+            derived={"article_id": lambda: F.nullif(F.regexp_extract("href", r"jirum/(.*?)\?", 1), F.lit(""))}, must=("shop_name",),
         ),
         Site(
             "eomisae", "eomisae", "EOMISAE", 5, "https://eomisae.co.kr/index.php?mid=fs&page=", "div.card_el",

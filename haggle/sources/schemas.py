@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEALS = (
     "id long, article_id string, community_name string, origin_url string, shop_url_1 string, shop_url_2 string, shop_name string, thumbnail string, subject string, "
@@ -32,6 +33,18 @@ ADMIN_COLUMNS = (
     "shop_name thumbnail price currency delivery_price dislike_count update_at crawled_at is_end"
 ).split()
 
+#: What each admin list shows, in this order: posts and comments all that they have, the tables of single sites from before there was one for all these.
+ADMIN_LISTS = {
+    "deal": ADMIN_COLUMNS, "post": [x.split()[0] for x in POSTS.split(", ")], "comment": [x.split()[0] for x in COMMENTS.split(", ")],
+    "coolnjoy": ["cool_n_joy_id", "category", "subject", "create_at", "recommend_count"], "ppomppu": ["article_id", "category", "subject", "create_at", "recommend_count"],
+}
+
+
+def shaped(rows: DataFrame, ddl: str) -> DataFrame:
+    """rows in the shape of a table: its columns in their order and types, null where rows have none. A value that the type cannot hold is an error; other columns go."""
+    fields = T.StructType.fromDDL(ddl)
+    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+
 
 def evolve(old: DataFrame, new: DataFrame, casts: dict[str, str] | None = None, defaults: dict[str, object] | None = None, drop: list[str] | None = None) -> DataFrame:
     """Old rows in the shape of new ones, beside them: columns retyped, added with a default or null, and dropped."""

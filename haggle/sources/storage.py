@@ -57,17 +57,11 @@ class Conflict(Exception):
     """Another writer has made the version first."""
 
 
-class Versions:
-    """A Parquet table in buckets by a hash of its key, of which every change is a new version.
-
-    A manifest for each version says where its buckets lie, how many rows each has and how the hash is cut up. A change writes the buckets that it touches to a folder of
-    its own, then the manifest under a name that only one writer can take; so a writer that dies or comes second changes nothing, and whoever opens the path reads the newest manifest
-    and lists nothing else. A bucket of more than most_rows is cut in two when it is next written, so a change costs the same
-    however large the table has become. buckets is their number at first: a first load of much data should come with many.
-    """
+class Manifests:
+    """A row of JSON files, one for each version of a table, each under a name that only one writer can take."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int = 1, most_rows: int = 1 << 18):
-        self.spark, self.path, self.schema, self.key, self.buckets, self.most_rows = spark, path.rstrip("/"), schema, key, buckets, most_rows
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
     def _files(self, path: str):
         place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -89,23 +83,23 @@ class Versions:
         """The newest version, -1 if there is none."""
         return max(self.versions(), default=-1)
 
-    def manifest(self, version: int | None = None) -> dict[tuple[int, int], tuple[str | None, int]]:
-        """(modulus, remainder) of each bucket, with its folder and number of rows, as of a version (the newest without one)."""
+    def _load(self, version: int | None = None):
+        """What the manifest of a version says, or the newest before it; None if there is none."""
         known = [v for v in self.versions() if version is None or v <= version]
         if not known:
-            return {(self.buckets, r): (None, 0) for r in range(self.buckets)}
+            return None
         system, place = self._files(f"{self.path}/manifests/v{known[-1]:012}.json")
         stream = system.open(place)
         text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
-        return {(m, r): (folder, n) for m, r, folder, n in json.loads(text)}
+        return json.loads(text)
 
-    def _commit(self, version: int, manifest: dict, replace: bool) -> None:
-        """Give the manifest its name; without replace the name must be free."""
+    def _store(self, version: int, said, replace: bool = False) -> None:
+        """Give a manifest its name; without replace the name must be free (Conflict)."""
         jvm = self.spark.sparkContext._jvm
         system, draft = self._files(f"{self.path}/manifests/.{uuid.uuid4().hex}")
         out = system.create(draft)
-        out.write(bytearray(json.dumps([(m, r, folder, n) for (m, r), (folder, n) in sorted(manifest.items())]).encode()))
+        out.write(bytearray(json.dumps(said).encode()))
         out.close()
         _, final = self._files(f"{self.path}/manifests/v{version:012}.json")
         kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
@@ -120,6 +114,28 @@ class Versions:
                 raise Conflict(f"version {version} is there") from None
             raise
 
+
+class Versions(Manifests):
+    """A Parquet table in buckets by a hash of its key, of which every change is a new version.
+
+    A manifest for each version says where its buckets lie, how many rows each has and how the hash is cut up. A change writes the buckets that it touches to a folder of
+    its own, then the manifest under a name that only one writer can take; so a writer that dies or comes second changes nothing, and whoever opens the path reads the newest manifest
+    and lists nothing else. A bucket of more than most_rows is cut in two when it is next written, so a change costs the same
+    however large the table has become. buckets is their number at first: a first load of much data should come with many.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int = 1, most_rows: int = 1 << 18):
+        super().__init__(spark, path)
+        self.schema, self.key, self.buckets, self.most_rows = schema, key, buckets, most_rows
+
+    def manifest(self, version: int | None = None) -> dict[tuple[int, int], tuple[str | None, int]]:
+        """(modulus, remainder) of each bucket, with its folder and number of rows, as of a version (the newest without one)."""
+        said = self._load(version)
+        return {(self.buckets, r): (None, 0) for r in range(self.buckets)} if said is None else {(m, r): (folder, n) for m, r, folder, n in said}
+
+    def _commit(self, version: int, manifest: dict, replace: bool) -> None:
+        self._store(version, [(m, r, folder, n) for (m, r), (folder, n) in sorted(manifest.items())], replace)
+
     def bucket(self, rows: DataFrame, manifest: dict, split: bool = False) -> DataFrame:
         """rows with the bucket that they fall in, as modulus_remainder; with split, full buckets are cut in two."""
         cut = [c for (m, r), (_, n) in manifest.items() for c in ([(2 * m, r), (2 * m, r + m)] if split and n > self.most_rows else [(m, r)])]
