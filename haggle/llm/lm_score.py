@@ -6,9 +6,9 @@ probability of a word is the sum over all ways to spell it, found by a forward r
 its pieces. The vocabulary's own scores are the prior of the pieces' probabilities; these are then fitted to
 the distinct words of the training documents by expectation maximisation. Two longer edges lie over the pieces. A word
 of the training documents has an edge from its begin to its end, which carries its discounted frequency; what the
-discounts leave is the weight of spelling. A sentence of LEAST words or more that a training document other than the scored one
-holds has an edge over all its words, in the same way. So a passage that the corpus repeats scores high, whichever copy is scored,
-and a document never vouches for itself.
+discounts leave is the weight of spelling. A sentence of LEAST words or more that the training documents hold twice or more has an edge over all its words, in the same
+way. So a passage that the corpus repeats scores high. The tokens alone say where sentences end, so the score does not depend on layout, and
+the probabilities of all sequences of tokens sum to one at most. There is one model: equal texts score equal, training documents or not.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ SHORT, FITTED = 64, 1024
 #: Words in a sentence that has an edge.
 LEAST = 3
 _FLUSH, _FLUSH_BYTES = 200_000, 1 << 25
-#: A line, or a part of it that ends with a sign and a blank.
-_SENTENCE = re.compile(rb"[^\n]+?[.!?](?=[ \t\r\n\x0b\x0c])|[^\n]+")
+#: Words up to one that ends with a sign, or up to the end.
+_SENTENCE = re.compile(rb"\S.*?[.!?](?=\s|\Z)|\S.*", re.DOTALL)
 FIRST, NEXT, LAST = 0, 1, 2
 LN10 = float(np.log(10))
 
@@ -125,6 +125,11 @@ def sentences(text: bytes) -> list[list[bytes]]:
     return [words for part in _SENTENCE.findall(text.lower()) if (words := part.split())]
 
 
+def has_edge(words: list[bytes]) -> bool:
+    """Whether a sentence may have an edge: one that the end of the text cuts off has none, as where it ends is not its own."""
+    return len(words) >= LEAST and words[-1].endswith((b".", b"!", b"?"))
+
+
 def sentence_key(words: list[bytes]) -> bytes:
     """No word begins with a blank, so keys of sentences, long words and documents are apart from words."""
     return b" s" + xxhash.xxh3_128_digest(b" ".join(words))
@@ -151,7 +156,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = body.as_py().lower()
             size += len(text)
             words[learns].update(text.split())
-            sents[learns].update(sentence_key(s) for s in sentences(text) if len(s) >= LEAST)
+            sents[learns].update(sentence_key(s) for s in sentences(text) if has_edge(s))
             if size > _FLUSH_BYTES or len(words[0]) + len(words[1]) > _FLUSH:
                 yield from flush(words)
                 size = 0
@@ -204,6 +209,7 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
     seen = types.agg(
         *(F.coalesce(F.sum(F.when(F.col("is_word") == w, F.col("c"))), F.lit(0)).alias(f"n_{w}") for w in (True, False)),
         *(F.count(F.when((F.col("is_word") == w) & F.expr(x), 1)).alias(f"{k}_{w}") for w in (True, False) for k, x in (("v", "c > 0"), ("once", "c = 1"), ("twice", "c = 2"))),
+        F.coalesce(F.sum(F.expr("CASE WHEN NOT is_word AND c > 1 THEN c END")), F.lit(0)).alias("n_repeated"), F.count(F.expr("CASE WHEN NOT is_word AND c > 1 THEN 1 END")).alias("v_repeated"),
     ).first()
     seen_words, seen_sentences, v = seen.n_True, seen.n_False, seen.v_True
 
@@ -213,7 +219,8 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
 
     off, off_s = discount(seen.once_True, seen.twice_True), discount(seen.once_False, seen.twice_False)
     left = (off * v + 1) / (seen_words + 1)
-    log_left = np.log10((off_s * seen.v_False + 1) / (seen_sentences + 1))
+    # sentences that occur once have no edge: their weight, and the discounts of the others, are left for words
+    log_left = np.log10((seen_sentences - seen.n_repeated + off_s * seen.v_repeated + 1) / (seen_sentences + 1))
     total, distinct = seen_words + ends, v + (ends > 0)
     floor = np.log10(total + 0.5 * (distinct + 1))
     spelling = spark.sparkContext.broadcast(fit(types.where("is_word"), model))
@@ -234,8 +241,7 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
                     keys[i] = word_key(w)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("c"), batch.column("n"), pa.array(base, from_pandas=True), pa.array(score, from_pandas=True)], names=["key", "c", "n", "base", "score"])
 
-    # a sentence that occurs once is held by no other document
-    scored = staged(types.where("is_word or n > 1").mapInArrow(spell, "key binary, c long, n long, base double, score double"), "words")
+    scored = staged(types.where("is_word or c > 1").mapInArrow(spell, "key binary, c long, n long, base double, score double"), "words")
     unstage(types)
     # whole classes of frequency, most frequent first, as long as they are no more than head; a key is SHORT bytes at most
     rank = F.floor(8 * F.log2(F.col("n") + 1))
@@ -248,12 +254,12 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
         ({bytes(r.key): i for i, r in enumerate(top)}, np.array([(r.c > 0, r.base or 0.0, r.score or 0.0) for r in top] + [(0, 0, 0)], np.float64), np.array([r.c for r in top] + [0], np.int64))
     )
     end = np.array([ends > 0, np.log10(ends + 0.5) - floor, log_end])
-    kinds = {"row_id": pa.int64(), "sentence": pa.int32(), "doc_id": pa.int64(), "held_out": pa.bool_(), "key": pa.binary(), "times": pa.int64(), "own": pa.int64(), "others": pa.int64(), "known": pa.float64(), "base": pa.float64(), "score": pa.float64()}
+    kinds = {"row_id": pa.int64(), "sentence": pa.int32(), "doc_id": pa.int64(), "held_out": pa.bool_(), "key": pa.binary(), "times": pa.int64(), "repeats": pa.int64(), "known": pa.float64(), "base": pa.float64(), "score": pa.float64()}
 
-    def edge(others: np.ndarray) -> np.ndarray:
-        """log10 of the weight of the edge of a sentence that others hold so often."""
+    def edge(repeats: np.ndarray) -> np.ndarray:
+        """log10 of the weight of the edge of a sentence that training documents hold so often."""
         with np.errstate(divide="ignore"):
-            return log_on + np.log10(np.maximum(others - off_s, 0) / (seen_sentences + 1))
+            return log_on + np.log10(np.maximum(repeats - off_s, 0) / (seen_sentences + 1))
 
     def rows_of(**columns) -> pa.RecordBatch:
         n = len(columns["row_id"])
@@ -273,23 +279,17 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
             begin = np.cumsum(size) - size
             n_tokens = np.bincount(doc, size, len(texts)).astype(np.int64) + 1
             words = [w for s in parts for w in s]
-            found = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
+            found = np.fromiter((place.get(w if len(w) <= SHORT else word_key(w), -1) for w in words), np.int64, len(words))
             sums = np.add.reduceat(values[found], begin, axis=0) if len(parts) else np.zeros((0, 3))
             sums[:, 2] += log_left
             rare = np.flatnonzero(found < 0)
             of = np.searchsorted(begin, rare, "right") - 1
-            keys = [sentence_key(s) if len(s) >= LEAST else None for s in parts]
-            whose = list(zip(doc.tolist(), keys, strict=True))
-            own = np.where(held[doc], 0, 1)
-            if len(set(whose)) < len(whose):  # a document repeats a sentence of its own
-                mine = Counter(whose)
-                own = own * np.array([mine[x] for x in whose], np.int64)
+            keys = [sentence_key(s) if has_edge(s) else None for s in parts]
             at = np.array([-1 if k is None else place.get(k, -1) for k in keys], np.int64)
-            short = size < LEAST
-            others = np.where(at >= 0, counts[at] - own, 0)
-            told = (at >= 0) | short  # nothing is to be learnt of the sentence itself
+            repeats = counts[at]
+            told = (at >= 0) | np.array([k is None for k in keys], bool)  # nothing is to be learnt of the sentence itself
             settled = told & (np.bincount(of, minlength=len(parts)) == 0)
-            score = np.where(settled & (others > 0), np.logaddexp(sums[:, 2] * LN10, edge(others) * LN10) / LN10, sums[:, 2])
+            score = np.where(settled & (repeats > 0), np.logaddexp(sums[:, 2] * LN10, edge(repeats) * LN10) / LN10, sums[:, 2])
             docs_sums = np.tile(end, (len(texts), 1))
             for j, x in enumerate((sums[:, 0], sums[:, 1], np.where(settled, score, 0.0))):
                 docs_sums[:, j] += np.bincount(doc, x, len(texts))
@@ -298,11 +298,11 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
             open_ = np.flatnonzero(~settled)
             yield rows_of(
                 row_id=row_id[doc[open_]], sentence=number[open_], key=[nothing[doc[i]] if told[i] else keys[i] for i in open_.tolist()],
-                own=own[open_], others=pa.array(others[open_], pa.int64(), mask=~told[open_]), score=score[open_],
+                repeats=pa.array(repeats[open_], pa.int64(), mask=~told[open_]), score=score[open_],
             )
             yield rows_of(row_id=row_id[doc[of]], sentence=number[of], key=[word_key(words[i]) for i in rare.tolist()], times=np.ones(len(rare), np.int64))
 
-    found = rows.select("row_id", "doc_id", (~F.col("trains")).alias("held_out"), "body").mapInArrow(look_up, "row_id long, sentence int, doc_id long, held_out boolean, key binary, times long, own long, others long, known double, base double, score double")
+    found = rows.select("row_id", "doc_id", (~F.col("trains")).alias("held_out"), "body").mapInArrow(look_up, "row_id long, sentence int, doc_id long, held_out boolean, key binary, times long, repeats long, known double, base double, score double")
     rare = scored.select("key", F.col("c").alias("its_c"), F.col("base").alias("its_base"), F.col("score").alias("its_score")).hint("merge")
     joined = found.join(rare, "key", "left").repartition("row_id")
     whole_doc, rare_word = F.col("sentence") == -1, F.col("times").isNotNull() & (F.col("sentence") >= 0)
@@ -311,11 +311,11 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
         F.sum(F.when(rare_word, F.col("times") * (F.col("its_c") > 0).cast("double")).otherwise(F.col("known"))).alias("known"),
         F.sum(F.when(rare_word, F.col("times") * F.col("its_base")).otherwise(F.col("base"))).alias("base"),
         F.sum(F.when(rare_word, F.col("times") * F.col("its_score")).otherwise(F.col("score"))).alias("words"),
-        F.max(F.when(~rare_word & ~whole_doc, F.coalesce(F.col("others"), F.col("its_c") - F.col("own")))).alias("others"),
+        F.max(F.when(~rare_word & ~whole_doc, F.coalesce(F.col("repeats"), F.col("its_c")))).alias("repeats"),
     )
-    over = log_on + F.log10((F.col("others") - off_s) / (seen_sentences + 1))
+    over = log_on + F.log10((F.col("repeats") - off_s) / (seen_sentences + 1))
     both = F.greatest("words", over) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(F.col("words") - over)))
-    by_sentence = by_sentence.withColumn("score", F.when(F.col("others") > 0, both).otherwise(F.col("words")))
+    by_sentence = by_sentence.withColumn("score", F.when(F.col("repeats") > 0, both).otherwise(F.col("words")))
     return (
         by_sentence.groupBy("row_id")
         .agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("known", "base", "score")))

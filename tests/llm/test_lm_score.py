@@ -36,7 +36,7 @@ def test_counts_and_base_score_whatever_the_head(spark, head):
     assert all(r.score < 0 for r in out)
     by_text = {}
     for r in out:
-        by_text.setdefault((r.n_tokens, round(r.base_score, 6), r.held_out), set()).add(round(r.score, 6))
+        by_text.setdefault((r.n_tokens, round(r.base_score, 6)), set()).add(round(r.score, 6))
     assert all(len(s) == 1 for s in by_text.values())
 
 
@@ -45,7 +45,7 @@ def brute_scores(data):
     learns = [d is None or crc32(str(d).encode()) % 5 != 1 for d, _ in data]
     texts = [lm.sentences((t or "").encode()) for _, t in data]
     words = Counter(w for ok, t in zip(learns, texts) if ok for s in t for w in s)
-    sents = Counter(b" ".join(s) for ok, t in zip(learns, texts) if ok for s in t if len(s) >= lm.LEAST)
+    sents = Counter(b" ".join(s) for ok, t in zip(learns, texts) if ok for s in t if len(s) >= lm.LEAST and s[-1][-1:] in (b".", b"!", b"?"))
     n, n_s, ends = sum(words.values()), sum(sents.values()), sum(learns)
 
     def off(c):
@@ -57,17 +57,15 @@ def brute_scores(data):
     for _ in range(lm.ROUNDS):
         model = lm.SpellingModel.of(vocabulary, model.expected(sorted(words), np.ones(len(words))))
     on, end = (n + 0.5) / (n + ends + 1), (ends + 0.5) / (n + ends + 1)
-    left, left_s = (off(words) * len(words) + 1) / (n + 1), (off(sents) * len(sents) + 1) / (n_s + 1)
+    left, left_s = (off(words) * len(words) + 1) / (n + 1), 1 - sum(c - off(sents) for c in sents.values() if c > 1) / (n_s + 1)
     every = sorted({w for t in texts for s in t for w in s})
     p = {w: math.log(on * (max(words[w] - off(words), 0) / (n + 1) + left * math.exp(x))) for w, x in zip(every, model.log_probs(every))}
     out = []
-    for (d, _), ok, t in zip(data, learns, texts):
-        own = Counter(b" ".join(s) for s in t) if ok else Counter()
+    for (d, _), t in zip(data, texts):
         score = math.log(end)
         for s in t:
             spelt, key = math.log(left_s) + sum(p[w] for w in s), b" ".join(s)
-            others = sents[key] - own[key] if len(s) >= lm.LEAST else 0
-            score += np.logaddexp(spelt, math.log(on * (others - off(sents)) / (n_s + 1))) if others > 0 else spelt
+            score += np.logaddexp(spelt, math.log(on * (sents[key] - off(sents)) / (n_s + 1))) if sents[key] > 1 else spelt
         out.append((str(d), score / math.log(10)))
     return sorted(out)
 
@@ -86,8 +84,44 @@ def test_scores_by_the_definition_whatever_the_head(spark, head):
 
 def test_sentences_hold_all_words_of_a_text():
     text = b"A b. C d!? e.f g.\n\n h\t. i\x0bj.\x0ck"
-    assert sum(lm.sentences(text), []) == text.lower().split() and len(lm.sentences(text)) == 6
-    assert lm.sentences(b"") == lm.sentences(b" \n ") == []
+    assert sum(lm.sentences(text), []) == text.lower().split() and [len(x) for x in lm.sentences(text)] == [2, 2, 2, 2, 2, 1]
+    assert lm.sentences(b"") == lm.sentences(b" \n ") == [] and [lm.has_edge(x) for x in lm.sentences(b"a b c. d e f")] == [True, False]
+
+
+def test_layout_does_not_matter(spark):
+    words = "the cat sat on the mat. no sign here and zebra quagga! one two three.".split()
+    layouts = [" ".join(words), "\n".join(words), "\t".join(words) + "\n", "\n\n".join(" ".join(words[k : k + 5]) for k in range(0, len(words), 5))]
+    data = [(k, t) for k, t in enumerate(layouts * 2)] + [(90 + k, "the cat sat on the mat. other words") for k in range(3)]
+    out = [r for r in lm.lm_score(spark.createDataFrame(data, "doc_id long, text string")).collect() if r.doc_id < 90]
+    assert len(out) == 8 and max(r.score for r in out) - min(r.score for r in out) < 1e-9
+    assert len({r.held_out for r in out}) == 2
+
+
+def test_probabilities_of_all_sequences_sum_to_one():
+    """The definition, with three words whose probabilities sum to one: all sequences of up to nine tokens have nearly all of it."""
+    p, on, end, left_s = {b"a": 0.3, b"b": 0.3, b"c.": 0.4}, 0.4, 0.6, 0.75
+    edges = {b"a b c.": 0.15, b"b a c.": 0.1}
+
+    def score(words):
+        total = end
+        for s in lm.sentences(b" ".join(words)):
+            total *= left_s * math.prod(on * p[w] for w in s) + (on * edges.get(b" ".join(s), 0) if lm.has_edge(s) else 0)
+        return total
+
+    # a sentence begins with the choice of an edge; a sequence that ends there has made none
+    sums, level = [], [[]]
+    for _ in range(10):
+        sums.append(sum(map(score, level)))
+        level = [[*x, w] for x in level for w in p]
+    assert 0.95 < sum(sums) <= 1.0
+
+
+def test_long_words_that_all_texts_share_are_not_joined(spark, monkeypatch):
+    """A rule of eighty dashes in every text is among the frequent words, under its hash."""
+    data = [(k, f"text {k} here.\n{'-' * 80}\nmore {k}") for k in range(60)]
+    out = lm.lm_score(spark.createDataFrame(data, "doc_id long, text string"))
+    got, want = sorted((str(r.doc_id), r.score) for r in out.collect()), brute_scores(data)
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-6)
 
 
 def test_long_words_in_parts(monkeypatch):
