@@ -6,7 +6,7 @@ probability of a word is the sum over all ways to spell it, found by a forward r
 its pieces. The vocabulary's own scores are the prior of the pieces' probabilities; these are then fitted to
 the distinct words of the training documents by expectation maximisation. Two longer edges lie over the pieces. A word
 of the training documents has an edge from its begin to its end, which carries its discounted frequency; what the
-discounts leave is the weight of spelling. A sentence of LEAST words or more that the training documents hold twice or more has an edge over all its words, in the same
+discounts leave is the weight of spelling. A sentence of LEAST words or more that a training document holds has an edge over all its words, in the same
 way. So a passage that the corpus repeats scores high. The tokens alone say where sentences end, so the score does not depend on layout, and
 the probabilities of all sequences of tokens sum to one at most. There is one model: equal texts score equal, training documents or not.
 """
@@ -209,7 +209,6 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
     seen = types.agg(
         *(F.coalesce(F.sum(F.when(F.col("is_word") == w, F.col("c"))), F.lit(0)).alias(f"n_{w}") for w in (True, False)),
         *(F.count(F.when((F.col("is_word") == w) & F.expr(x), 1)).alias(f"{k}_{w}") for w in (True, False) for k, x in (("v", "c > 0"), ("once", "c = 1"), ("twice", "c = 2"))),
-        F.coalesce(F.sum(F.expr("CASE WHEN NOT is_word AND c > 1 THEN c END")), F.lit(0)).alias("n_repeated"), F.count(F.expr("CASE WHEN NOT is_word AND c > 1 THEN 1 END")).alias("v_repeated"),
     ).first()
     seen_words, seen_sentences, v = seen.n_True, seen.n_False, seen.v_True
 
@@ -219,8 +218,7 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
 
     off, off_s = discount(seen.once_True, seen.twice_True), discount(seen.once_False, seen.twice_False)
     left = (off * v + 1) / (seen_words + 1)
-    # sentences that occur once have no edge: their weight, and the discounts of the others, are left for words
-    log_left = np.log10((seen_sentences - seen.n_repeated + off_s * seen.v_repeated + 1) / (seen_sentences + 1))
+    log_left = np.log10((off_s * seen.v_False + 1) / (seen_sentences + 1))
     total, distinct = seen_words + ends, v + (ends > 0)
     floor = np.log10(total + 0.5 * (distinct + 1))
     spelling = spark.sparkContext.broadcast(fit(types.where("is_word"), model))
@@ -241,7 +239,8 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
                     keys[i] = word_key(w)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("c"), batch.column("n"), pa.array(base, from_pandas=True), pa.array(score, from_pandas=True)], names=["key", "c", "n", "base", "score"])
 
-    scored = staged(types.where("is_word or c > 1").mapInArrow(spell, "key binary, c long, n long, base double, score double"), "words")
+    # a sentence that occurs once needs no join: the one document that holds it knows whether it is a training document
+    scored = staged(types.where("is_word or n > 1").mapInArrow(spell, "key binary, c long, n long, base double, score double"), "words")
     unstage(types)
     # whole classes of frequency, most frequent first, as long as they are no more than head; a key is SHORT bytes at most
     rank = F.floor(8 * F.log2(F.col("n") + 1))
@@ -254,7 +253,7 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
         ({bytes(r.key): i for i, r in enumerate(top)}, np.array([(r.c > 0, r.base or 0.0, r.score or 0.0) for r in top] + [(0, 0, 0)], np.float64), np.array([r.c for r in top] + [0], np.int64))
     )
     end = np.array([ends > 0, np.log10(ends + 0.5) - floor, log_end])
-    kinds = {"row_id": pa.int64(), "sentence": pa.int32(), "doc_id": pa.int64(), "held_out": pa.bool_(), "key": pa.binary(), "times": pa.int64(), "repeats": pa.int64(), "known": pa.float64(), "base": pa.float64(), "score": pa.float64()}
+    kinds = {"row_id": pa.int64(), "sentence": pa.int32(), "doc_id": pa.int64(), "held_out": pa.bool_(), "key": pa.binary(), "times": pa.int64(), "repeats": pa.int64(), "least": pa.int64(), "known": pa.float64(), "base": pa.float64(), "score": pa.float64()}
 
     def edge(repeats: np.ndarray) -> np.ndarray:
         """log10 of the weight of the edge of a sentence that training documents hold so often."""
@@ -298,11 +297,11 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
             open_ = np.flatnonzero(~settled)
             yield rows_of(
                 row_id=row_id[doc[open_]], sentence=number[open_], key=[nothing[doc[i]] if told[i] else keys[i] for i in open_.tolist()],
-                repeats=pa.array(repeats[open_], pa.int64(), mask=~told[open_]), score=score[open_],
+                repeats=pa.array(repeats[open_], pa.int64(), mask=~told[open_]), least=1 - held[doc[open_]].astype(np.int64), score=score[open_],
             )
             yield rows_of(row_id=row_id[doc[of]], sentence=number[of], key=[word_key(words[i]) for i in rare.tolist()], times=np.ones(len(rare), np.int64))
 
-    found = rows.select("row_id", "doc_id", (~F.col("trains")).alias("held_out"), "body").mapInArrow(look_up, "row_id long, sentence int, doc_id long, held_out boolean, key binary, times long, repeats long, known double, base double, score double")
+    found = rows.select("row_id", "doc_id", (~F.col("trains")).alias("held_out"), "body").mapInArrow(look_up, "row_id long, sentence int, doc_id long, held_out boolean, key binary, times long, repeats long, least long, known double, base double, score double")
     rare = scored.select("key", F.col("c").alias("its_c"), F.col("base").alias("its_base"), F.col("score").alias("its_score")).hint("merge")
     joined = found.join(rare, "key", "left").repartition("row_id")
     whole_doc, rare_word = F.col("sentence") == -1, F.col("times").isNotNull() & (F.col("sentence") >= 0)
@@ -311,7 +310,7 @@ def lm_score(docs: DataFrame, text_col: str = "text", model: str = MODEL, head:
         F.sum(F.when(rare_word, F.col("times") * (F.col("its_c") > 0).cast("double")).otherwise(F.col("known"))).alias("known"),
         F.sum(F.when(rare_word, F.col("times") * F.col("its_base")).otherwise(F.col("base"))).alias("base"),
         F.sum(F.when(rare_word, F.col("times") * F.col("its_score")).otherwise(F.col("score"))).alias("words"),
-        F.max(F.when(~rare_word & ~whole_doc, F.coalesce(F.col("repeats"), F.col("its_c")))).alias("repeats"),
+        F.max(F.when(~rare_word & ~whole_doc, F.coalesce(F.col("repeats"), F.col("its_c"), F.col("least")))).alias("repeats"),
     )
     over = log_on + F.log10((F.col("repeats") - off_s) / (seen_sentences + 1))
     both = F.greatest("words", over) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(F.col("words") - over)))

@@ -57,7 +57,7 @@ def brute_scores(data):
     for _ in range(lm.ROUNDS):
         model = lm.SpellingModel.of(vocabulary, model.expected(sorted(words), np.ones(len(words))))
     on, end = (n + 0.5) / (n + ends + 1), (ends + 0.5) / (n + ends + 1)
-    left, left_s = (off(words) * len(words) + 1) / (n + 1), 1 - sum(c - off(sents) for c in sents.values() if c > 1) / (n_s + 1)
+    left, left_s = (off(words) * len(words) + 1) / (n + 1), (off(sents) * len(sents) + 1) / (n_s + 1)
     every = sorted({w for t in texts for s in t for w in s})
     p = {w: math.log(on * (max(words[w] - off(words), 0) / (n + 1) + left * math.exp(x))) for w, x in zip(every, model.log_probs(every))}
     out = []
@@ -65,7 +65,7 @@ def brute_scores(data):
         score = math.log(end)
         for s in t:
             spelt, key = math.log(left_s) + sum(p[w] for w in s), b" ".join(s)
-            score += np.logaddexp(spelt, math.log(on * (sents[key] - off(sents)) / (n_s + 1))) if sents[key] > 1 else spelt
+            score += np.logaddexp(spelt, math.log(on * (sents[key] - off(sents)) / (n_s + 1))) if sents[key] > 0 and lm.has_edge(s) else spelt
         out.append((str(d), score / math.log(10)))
     return sorted(out)
 
