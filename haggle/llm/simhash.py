@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import components, slices, staged
+from .common import components, join_hot, slices, staged
 
 MAX_BITS = 3
 _CUTS = ((0, 21), (21, 21), (42, 22))
@@ -237,5 +237,6 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(near_links(nodes.select("fp"), longest)).withColumnRenamed("node", "fp")
     labelled = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = labelled.join(smallest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = staged(labelled.join(smallest, "root").select("fp", "component_id"), "classes")
+    # exact copies and empty texts share a fingerprint, so one may have a third of all rows
+    return join_hot(prints, classes, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
