@@ -81,6 +81,51 @@ def test_op10(spark, documents):
         assert set(spans.split(",")) - {""} <= set(out[i].spans.split(","))
 
 
+def test_op11(spark):
+    from .test_conversations import EMPTY, FIELDS, brute, brute_damage
+
+    data = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    out = registry.QUERIES["op11_conversation_repair"](spark, SF).collect()
+    assert {r.conv_id: tuple(r[f] for f in FIELDS) for r in out} == {conv: EMPTY for conv, *_ in data} | brute(brute_damage(data)) and len(out) == len({r.conv_id for r in out})
+
+
+def test_op12(spark, documents):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from haggle.llm.alignment import MERGES, MODEL, Pair
+
+    from .test_alignment import FIELDS
+    from .test_alignment import brute as brute_aligned
+
+    few = [(i, t) for i, t in documents if len(t or "") < 3000]  # brute force compares all tokens with all
+    tokenizer, pair = Tokenizer.from_file(MERGES), Pair.load()
+    tokenizer.encode_special_tokens = True
+    out = {r.doc_id: r for r in registry.QUERIES["op12_alignment"](spark, SF).collect()}
+    want = brute_aligned([t for _, t in few], tokenizer, sentencepiece.SentencePieceProcessor(model_file=MODEL), pair.a.tokens, pair.bytes_b)
+    assert len(out) == len(documents)
+    for (i, _), w in zip(few, want, strict=True):  # counts are those of all documents, so they are at least those of a few
+        got = tuple(out[i][f] for f in FIELDS)
+        assert got[:5] + got[7:] == w[:5] + w[7:] and got[6] >= w[6]
+
+
+def test_op13(spark, documents):
+    import hashlib
+    import struct
+
+    import tiktoken
+
+    from haggle.llm.byte_bpe import PATTERN, RANKS, load_ranks
+
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(load_ranks(RANKS))}, special_tokens={})
+    out = {r.doc_id: r for r in registry.QUERIES["op13_byte_bpe"](spark, SF).collect()}
+    assert len(out) == len(documents)
+    for i, t in documents:
+        ids = library.encode_ordinary(t or "")
+        want = (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+        assert (out[i].n_tokens, out[i].ids_sha256, out[i].decoded_sha256) == want
+
+
 def test_signature_words_are_in_every_near_unit():
     for name, template in licenses.templates():
         pairs = licenses.bigrams(template)
