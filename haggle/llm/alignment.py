@@ -241,7 +241,7 @@ def aligned(docs: DataFrame, pair: Pair, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = kept(shared, Aligner)
-        for part in slices(batches, 4096):
+        for part in slices(batches, 4096, 1 << 21):
             digest, numbers, owner, pairs, times = aligner.texts(part.column(text_col).to_pylist())
             ends = pa.array(np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32))
             rest = [c for c, name in zip(part.columns, part.schema.names, strict=True) if name != text_col]
