@@ -103,17 +103,18 @@ def join_hot(rows: DataFrame, partners: DataFrame, keys: list[str], how: str = "
     """rows joined with partners, which hold each key once at most, however many rows share a key.
 
     Rows with a hot key meet their partner by broadcast: there are fewer than 1 / HOT_SHARE such keys, whatever the
-    table. The others meet by a sorted join, in which no key then has more than HOT_SHARE of the rows. rows is read three
+    table. The others meet by a sorted join, in which no key then has more than HOT_SHARE of the rows. Hashes of the hot keys say which way a row goes, so a key
+    that shares one goes the same way as its partner. rows is read three
     times, so it should be a staged table. Null keys match nothing.
     """
     least = rows.count() * HOT_SHARE
-    hot = rows.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > least) & (F.col("n") > 1)).select(*keys)
-    hot = staged(hot, "hot")
-    if hot.isEmpty():
+    way = F.xxhash64(*keys)
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > least) & (F.col("n") > 1)).select(way.alias("way")).collect()
+    if not hot:
         return rows.join(partners.hint("merge"), keys, how)
-    few = F.broadcast(partners.join(F.broadcast(hot), keys, "left_semi"))
-    here = rows.join(F.broadcast(hot), keys, "left_semi").join(few, keys, how)
-    return here.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(partners.hint("merge"), keys, how))
+    is_hot = way.isin([r.way for r in hot])
+    here = rows.where(is_hot).join(F.broadcast(partners.where(is_hot)), keys, how)
+    return here.unionByName(rows.where(~is_hot).join(partners.where(~is_hot).hint("merge"), keys, how))
 
 
 def components(edges: DataFrame) -> DataFrame:
