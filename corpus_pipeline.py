@@ -57,7 +57,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest id."""
+    """Of every group of near copies the document with the smallest id.
+
+    SimHash gives the candidates, and five-word shingles decide (Jaccard 0.8 or more); MinHash bands add those that differ in more than three bits.
+    """
     return _only_kept(docs, staged(near_copies(docs), "verdict"))
 
 

@@ -1,8 +1,13 @@
-"""Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies by SimHash and word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash bands: BANDS keys a text, each made of ROWS minima. Two texts of similarity s have no
-key in common with probability (1 - s^ROWS)^BANDS, 3 in a million at 0.8 and less above; that is the only
-loss. Every link is decided by the shingles themselves, and no group is written out as pairs:
+Candidates come first from SimHash: the fingerprints of operation 1, and their classes by links of three bits or fewer
+(simhash.near_links, with Golay-code keys). A class is a bucket, and an exact check of the shingles follows.
+
+Many texts of similarity 0.8 differ in more than three bits. Those meet in buckets by MinHash bands: BANDS keys a text,
+each made of ROWS minima. What SimHash has connected is not compared again there. Two texts of similarity s have no
+key in common with probability (1 - s^ROWS)^BANDS, 3 in a million at 0.8 and less above; that is the only loss, and
+it strikes only texts that are not in one class, or in one too large for a task. Every link is decided by the shingles
+themselves, and no group is written out as pairs:
 
 * first each member of a bucket is compared with the bucket's least member, so a bucket of copies costs one
   comparison a member;
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, join_hot, slices, staged
-from .simhash import shingle_hashes
+from .simhash import near_links, prints, shingle_hashes
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -136,9 +141,27 @@ def _members(entries: DataFrame) -> DataFrame:
     return staged(join_hot(entries, staged(buckets, "buckets"), ["key"]).select("key", "node", "centre").distinct(), "members")
 
 
-def _links(members: DataFrame, signed: DataFrame, sets: DataFrame, longest: int, most: int, finer: bool = True) -> DataFrame:
-    """Links (a, b) that connect just those nodes of members which chains of links within keys connect."""
-    links = _similar_pairs(members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), sets)
+def _by_print(rows: DataFrame) -> DataFrame:
+    """Entries (key, node) of rows (node, body) by SimHash: the key is the class of the fingerprint, its least member."""
+    own = prints(rows, "node", "body").withColumnRenamed("doc_id", "node")
+    classes = staged(components(near_links(own.select("fp").distinct())).withColumnRenamed("node", "fp"), "classes")
+    return staged(join_hot(own, classes, ["fp"], "left").select(F.coalesce("root", "fp").alias("key"), "node"), "entries")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those that components roots (node, root) do not connect."""
+    one, other = (roots.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("a", "r"), ("b", "s")))
+    rooted = staged(pairs.join(one.hint("merge"), "a", "left"), "rooted")
+    return join_hot(rooted, other, ["b"], "left").where("coalesce(r, a) <> coalesce(s, b)").select("a", "b")
+
+
+def _links(members: DataFrame, signed: DataFrame, sets: DataFrame, longest: int, most: int, finer: bool = True, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that connect just those nodes of members which chains of links within keys, and known components (node, root), connect."""
+    pairs = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    if known is None:
+        links = _similar_pairs(pairs, sets)
+    else:
+        links = _similar_pairs(_apart(pairs, known), sets).unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
     placed = members.join(components(links).hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = staged(placed.join(sets.select("node", F.size("hashes").alias("size")).hint("merge"), "node").select("key", "node", "root", "size"), "placed")
     open_ = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.greatest(F.ceil(F.count("*") / longest), F.ceil(F.sum("size") / most)).alias("parts")).where("r <> s").select("key", "parts")
@@ -171,11 +194,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.xxhash64(id_col, body).alias("node"), F.col(id_col).cast("long").alias("doc_id"), body.alias("body"))
     signed = staged(rows.mapInArrow(_sign, "node long, doc_id long, keys array<long>"), "signed")
     copies = signed.groupBy("node").agg(F.count("*").alias("copies")).where("copies > 1")
-    members = _members(signed.select("node", F.explode("keys").alias("key")))
-    wanted = members.select("node").union(copies.select("node")).distinct()
+    close, members = _members(_by_print(rows)), _members(signed.select("node", F.explode("keys").alias("key")))
+    wanted = close.select("node").union(members.select("node")).union(copies.select("node")).distinct()
     found = rows.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]).withColumn("text_sha256", F.sha2("body", 256))
     sets = staged(found.mapInArrow(_shingled, "node long, doc_id long, text_sha256 string, hashes array<long>"), "sets")
-    roots = components(_links(members, signed, sets, longest, most_shingles))
+    by_print = staged(components(_links(close, signed, sets, longest, most_shingles)), "roots")
+    roots = components(_links(members, signed, sets, longest, most_shingles, known=by_print))
 
     known = sets.drop("hashes").join(roots.hint("merge"), "node", "left").join(copies.hint("merge"), "node", "left").where("root is not null or copies is not null")
     known = known.withColumn("root", F.coalesce("root", "node")).withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))

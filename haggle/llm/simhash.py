@@ -222,6 +222,12 @@ def near_links(fps: DataFrame, longest: int = 4096) -> DataFrame:
             return links
 
 
+def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3) -> DataFrame:
+    """The fingerprint of each row as a staged table (doc_id, fp); a null text counts as empty."""
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    return staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body")).mapInArrow(_fingerprints(words_in_shingle), "doc_id long, fp long"), "prints")
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3, longest: int = 4096) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -231,12 +237,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of the component has an id. An empty table gives an empty result. longest bounds how many
     fingerprints one task compares at once; longer runs are dealt anew by finer keys.
     """
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    prints = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body")).mapInArrow(_fingerprints(words_in_shingle), "doc_id long, fp long"), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    own = prints(docs, id_col, text_col, words_in_shingle)
+    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(nodes.select("fp"), longest)).withColumnRenamed("node", "fp")
     labelled = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = staged(labelled.join(smallest, "root").select("fp", "component_id"), "classes")
     # exact copies and empty texts share a fingerprint, so one may have a third of all rows
-    return join_hot(prints, classes, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_hot(own, classes, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

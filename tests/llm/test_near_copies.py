@@ -142,3 +142,44 @@ def test_connecting_links_connect_what_all_links_do():
 
         all_links = [(i, j) for i in range(len(sets)) for j in range(i) if near.similar(sets[i], sets[j])]
         assert merged(near.connecting_links(labels, sets)) == merged(all_links)
+
+
+def _own_buckets(batches):
+    """No text meets another by its bands."""
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc_id"), pa.array([[n] for n in b.column("node").to_pylist()], pa.list_(pa.int64()))], names=["node", "doc_id", "keys"])
+
+
+def test_simhash_alone_finds_what_is_within_three_bits(spark, tmp_path, monkeypatch):
+    """Without any band, chains of links of three bits, each checked by the shingles, still go; what the shingles part stays."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(21)
+    docs, n = [], 0
+    while n < 20:
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        one, other = " ".join(base), " ".join(edited(rng, base, 1))
+        far = (fingerprint(one.encode()) ^ fingerprint(other.encode())).bit_count() > 3
+        if far == (n >= 15):
+            docs += [(2 * n, one), (2 * n + 1, other)]
+            n += 1
+    # one fingerprint, as three shingles outweigh all others, but hardly a shingle of the others in common
+    docs += [(40 + k, "buy now cheap " * 400 + " ".join(f"p{k}x{i}" for i in range(30))) for k in range(3)]
+    # of one class, too, but like the one after it, not like the least
+    docs += [(43, docs[-1][1] + " end")]
+    assert len({fingerprint(t.encode()) for i, t in docs if 40 <= i < 43}) == 1
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(near, "_sign", _own_buckets)
+    close = {2 * k + 1 for k in range(15)} | {43}
+    left = pipeline.drop_near_copies(spark, df, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in left) == sorted({i for i, _ in docs} - close)
+    monkeypatch.setattr(near, "_links", partial(near._links, finer=False))  # there are no bands to deal by
+    out = near.near_copies(df, longest=2).collect()
+    assert {r.doc_id for r in out if not r.kept} == close
+
+
+def test_bands_compare_only_what_simhash_left_apart(spark):
+    pairs = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (5, 4), (7, 6)], "a long, b long")
+    roots = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 2), (6, 6), (8, 6)], "node long, root long")
+    assert sorted(tuple(r) for r in near._apart(pairs, roots).collect()) == [(2, 0), (3, 0), (5, 4), (7, 6)]
