@@ -122,7 +122,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: every step hangs nodes on the smallest neighbour they
     know, so the number of rows never grows beyond the edges and a long chain halves in each round. Each
-    round is written out, so that a lost executor costs one round at most.
+    round is written out, so that a lost executor costs one round at most. Edges that are stars already take no round.
     """
     def distinct_pairs(df):
         return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -130,8 +130,13 @@ def components(edges: DataFrame) -> DataFrame:
     def least_neighbour(pairs):
         return pairs.groupBy("a").agg(F.min("b").alias("m"))
 
+    def stars(pairs):
+        """Whether no node that hangs on another has nodes of its own, and none hangs on two."""
+        ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(pairs.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 or hangs = 1 and holds = 1").isEmpty()
+
     now = staged(distinct_pairs(edges), "links")
-    while True:
+    while not stars(now):
         # large star: every larger neighbour of a node hangs on the node's least neighbour (or itself)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = least_neighbour(both).withColumn("m", F.least("a", "m"))
@@ -142,10 +147,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = staged(distinct_pairs(small.union(low.select("a", F.col("m").alias("b")))), "links")
         unstage(now)
-        # a forest of stars: no node that hangs on another has nodes of its own, and none hangs on two
-        mixed = after.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-        if mixed.isEmpty() and after.select("a").join(after.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
-            break
         now = after
-    roots = after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -1,7 +1,7 @@
 """Near copies by SimHash and word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Candidates come first from SimHash: the fingerprints of operation 1, and their classes by links of three bits or fewer
-(simhash.near_links, with Golay-code keys). A class is a bucket, and an exact check of the shingles follows.
+(simhash.near_links, with Golay-code keys). A class is a bucket; an exact check of the shingles with its least member follows.
 
 Many texts of similarity 0.8 differ in more than three bits. Those meet in buckets by MinHash bands: BANDS keys a text,
 each made of ROWS minima. What SimHash has connected is not compared again there. Two texts of similarity s have no
@@ -10,8 +10,8 @@ it strikes only texts that are not in one class, or in one too large for a task.
 themselves, and no group is written out as pairs:
 
 * first each member of a bucket is compared with the bucket's least member, so a bucket of copies costs one
-  comparison a member;
-* buckets whose members are not all connected by that go each to one task, which compares those outside the largest
+  comparison a member; that of a SimHash class needs no search for components, as a text is in one class;
+* buckets of both kinds whose members are not all connected by that go each to one task, which compares those outside the largest
   component with all and returns links that connect the rest;
 * buckets too large for a task are dealt anew by two bands, and again begin with the least member. What is too
   large even then is cut into parts, and each task compares two parts.
@@ -136,15 +136,15 @@ def _in_tasks(buckets: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _members(entries: DataFrame) -> DataFrame:
-    """(key, node, centre) of entries (key, node) whose key has two nodes or more; centre is its least node."""
+    """entries (key, node, ...) whose key has two nodes or more, with centre, the least of these."""
     buckets = entries.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").select("key", "centre")
-    return staged(join_hot(entries, staged(buckets, "buckets"), ["key"]).select("key", "node", "centre").distinct(), "members")
+    return staged(join_hot(entries, staged(buckets, "buckets"), ["key"]).distinct(), "members")
 
 
 def _by_print(rows: DataFrame) -> DataFrame:
     """Entries (key, node) of rows (node, body) by SimHash: the key is the class of the fingerprint, its least member."""
     own = prints(rows, "node", "body").withColumnRenamed("doc_id", "node")
-    classes = staged(components(near_links(own.select("fp").distinct())).withColumnRenamed("node", "fp"), "classes")
+    classes = components(near_links(own.select("fp").distinct())).withColumnRenamed("node", "fp")
     return staged(join_hot(own, classes, ["fp"], "left").select(F.coalesce("root", "fp").alias("key"), "node"), "entries")
 
 
@@ -155,23 +155,32 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return join_hot(rooted, other, ["b"], "left").where("coalesce(r, a) <> coalesce(s, b)").select("a", "b")
 
 
-def _links(members: DataFrame, signed: DataFrame, sets: DataFrame, longest: int, most: int, finer: bool = True, known: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) that connect just those nodes of members which chains of links within keys, and known components (node, root), connect."""
-    pairs = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    if known is None:
-        links = _similar_pairs(pairs, sets)
-    else:
-        links = _similar_pairs(_apart(pairs, known), sets).unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    placed = members.join(components(links).hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _to_centre(members: DataFrame) -> DataFrame:
+    """The pairs (a, b) of each node with the centres of its buckets."""
+    return members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+
+
+def _links(members: DataFrame, signed: DataFrame, sets: DataFrame, longest: int, most: int, finer: bool = True) -> DataFrame:
+    """Links (a, b) that connect just those nodes of members (key, node, centre, by_print) which chains of links within keys connect."""
+    links = _similar_pairs(_to_centre(members.where("by_print")), sets)
+    # a class gives a star, so these links are components already
+    stars = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    links = links.unionByName(_similar_pairs(_apart(_to_centre(members.where("not by_print")), stars), sets))
+    roots = components(links)
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    placed = members.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = staged(placed.join(sets.select("node", F.size("hashes").alias("size")).hint("merge"), "node").select("key", "node", "root", "size"), "placed")
     open_ = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.greatest(F.ceil(F.count("*") / longest), F.ceil(F.sum("size") / most)).alias("parts")).where("r <> s").select("key", "parts")
-    left = staged(join_hot(placed, staged(open_, "open"), ["key"]).select("key", "node", "root", "parts"), "left")
+    open_ = staged(open_, "open")
+    if open_.isEmpty():
+        return links
+    left = staged(join_hot(placed, open_, ["key"]).select("key", "node", "root", "parts"), "left")
     links = links.unionByName(_in_tasks(left.where("parts = 1"), sets))
     large = left.where("parts > 1")
     if large.isEmpty():
         return links
     if finer:
-        entries = large.join(signed.select("node", F.explode("keys").alias("k")).distinct().hint("merge"), "node").where("k <> key").select(F.xxhash64("key", "k").alias("key"), "node").distinct()
+        entries = large.join(signed.select("node", F.explode("keys").alias("k")).distinct().hint("merge"), "node").where("k <> key").select(F.xxhash64("key", "k").alias("key"), "node", F.lit(False).alias("by_print")).distinct()
         return links.unionByName(_links(_members(entries), signed, sets, longest, most, finer=False))
     # parts of half the size, two by two; each row is in one task for each part
     n = 2 * F.col("parts")
@@ -194,12 +203,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.xxhash64(id_col, body).alias("node"), F.col(id_col).cast("long").alias("doc_id"), body.alias("body"))
     signed = staged(rows.mapInArrow(_sign, "node long, doc_id long, keys array<long>"), "signed")
     copies = signed.groupBy("node").agg(F.count("*").alias("copies")).where("copies > 1")
-    close, members = _members(_by_print(rows)), _members(signed.select("node", F.explode("keys").alias("key")))
-    wanted = close.select("node").union(members.select("node")).union(copies.select("node")).distinct()
+    entries = _by_print(rows).select("key", "node", F.lit(True).alias("by_print")).union(signed.select(F.explode("keys"), "node", F.lit(False)))
+    members = _members(entries)
+    wanted = members.select("node").union(copies.select("node")).distinct()
     found = rows.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]).withColumn("text_sha256", F.sha2("body", 256))
     sets = staged(found.mapInArrow(_shingled, "node long, doc_id long, text_sha256 string, hashes array<long>"), "sets")
-    by_print = staged(components(_links(close, signed, sets, longest, most_shingles)), "roots")
-    roots = components(_links(members, signed, sets, longest, most_shingles, known=by_print))
+    roots = components(_links(members, signed, sets, longest, most_shingles))
 
     known = sets.drop("hashes").join(roots.hint("merge"), "node", "left").join(copies.hint("merge"), "node", "left").where("root is not null or copies is not null")
     known = known.withColumn("root", F.coalesce("root", "node")).withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))

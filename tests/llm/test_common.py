@@ -25,3 +25,14 @@ def test_staged_tables_go(spark):
     assert three.count() == 4 and common.mark() == since + 1
     common.clear(spark, since)
     assert common.mark() == since
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(common, "staged", lambda df, label, f=common.staged: written.append(label) or f(df, label))
+    stars = spark.createDataFrame([(3, 1), (1, 5), (4, 2), (4, 2), (6, 6)], "a long, b long")
+    assert sorted(tuple(r) for r in common.components(stars).collect()) == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 1)]
+    assert len(written) == 1
+    assert common.components(stars.limit(0)).collect() == [] and len(written) == 2
+    chain = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(30, 29), (30, 28)], "a long, b long")
+    assert {r.node: r.root for r in common.components(chain).collect()} == {k: 0 for k in range(21)} | {28: 28, 29: 28, 30: 28}

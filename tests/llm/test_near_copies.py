@@ -183,3 +183,13 @@ def test_bands_compare_only_what_simhash_left_apart(spark):
     pairs = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (5, 4), (7, 6)], "a long, b long")
     roots = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 2), (6, 6), (8, 6)], "node long, root long")
     assert sorted(tuple(r) for r in near._apart(pairs, roots).collect()) == [(2, 0), (3, 0), (5, 4), (7, 6)]
+
+
+def test_driver_plans_few_queries(spark, rows):
+    """Each query costs the driver's memory (compiled code, a thread for each exchange), however small the tables are."""
+    ran = spark._jsparkSession.sharedState().statusStore().executionsCount
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    before = ran()
+    near.near_copies(df).collect()
+    n = ran() - before
+    assert n <= 50
