@@ -100,6 +100,11 @@ class _Elements:
 html_elements = F.udtf(_Elements)
 
 
+def as_written(page: Column) -> Column:
+    """A page whose texts and attributes come out of the reader as they are written in it, with no character reference read."""
+    return F.replace(page, F.lit("&"), F.lit("&amp;"))
+
+
 def elements(pages: DataFrame, html_col: str, attributes: list[str] | None = None) -> DataFrame:
     """The elements of pages, one row each: own (a struct of the page's other columns) and the columns of ELEMENT; attrs holds the named attributes (all without names)."""
     own = pages.select(F.struct(*(F.col(c) for c in pages.columns if c != html_col), F.monotonically_increasing_id().alias("_page")).alias("own"), F.col(html_col).alias("_html"))
