@@ -248,7 +248,8 @@ def rows(pages: DataFrame, html_col: str, selector: str, rules: dict[str, str])
 
 
 def matches(pages: DataFrame, html_col: str, selector: str, name: str) -> DataFrame:
-    """pages without the HTML, but with the number of the selector's matches."""
+    """pages without the HTML, but with the number of the selector's matches, null for a null page."""
     page = _Page()
     page.add(f"{selector} match")
-    return page.read(pages, html_col).select(*(F.col("own")[c].alias(c) for c in pages.columns if c != html_col), F.size(page.select(F.col("page"), selector)).alias(name))
+    found = page.read(pages.withColumn("_stored", F.col(html_col).isNotNull()), html_col)
+    return found.select(*(F.col("own")[c].alias(c) for c in pages.columns if c != html_col), F.when(F.col("own")["_stored"], F.size(page.select(F.col("page"), selector))).alias(name))

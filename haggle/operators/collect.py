@@ -21,9 +21,10 @@ def list_urls(spark: SparkSession, site: Site, pages: int | None = None) -> Data
 
 
 def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Of rows with equal keys the first in order (which should have no ties), whatever partitions they come from."""
+    """Of rows with equal keys the first in order (which should have no ties; nulls come last), whatever partitions they come from."""
     others = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("row")).select(*keys, "row.*")
+    place = F.struct(*(x for c in order for x in (F.col(c).isNull(), F.col(c))))
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), place).alias("row")).select(*keys, "row.*")
 
 
 def rows_per_page(list_pages: DataFrame, selector: str) -> DataFrame:
